@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, matroska, secret_scan
+from quillspark.llm import byte_bpe, matroska, quality_gam, secret_scan
 from quillspark.llm.common import read, texts
 
 
@@ -15,6 +16,13 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(texts(read(spark, sf_dir, "documents")))
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(read(spark, sf_dir, "documents"))
+    model = quality_gam.learnt(docs, read(spark, sf_dir, "labels"))
+    scores = quality_gam.scored(docs, model, ["doc_id"])
+    return scores.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read(spark, sf_dir, "documents"))
 
@@ -25,6 +33,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
+    "op3_quality_gam": op3_quality_gam,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
 }
