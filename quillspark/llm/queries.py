@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, matroska, quality_gam, secret_scan, string_tiling
+from quillspark.llm import byte_bpe, jaccard_join, matroska, quality_gam, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -23,6 +23,10 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(read(spark, sf_dir, "documents"))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op3_quality_gam": op3_quality_gam,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_string_tiling": op7_string_tiling,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
