@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,16 @@ def least_partitions(spark: SparkSession) -> int:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def positioned(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df, written, with each row's place (from 0) in the order of the columns by.
+
+    A range-partitioned sort gives places within partitions; the partitions' sizes, a row each, are summed up and broadcast.
+    """
+    at = written(df.repartitionByRange(least_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(name, 33)
+    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
+    placed = at.withColumn("part", part).join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.col(name).bitwiseAND((1 << 33) - 1))
+    return placed.drop("part", "start")
