@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, jaccard_join, matroska, quality_gam, secret_scan, string_tiling
+from quillspark.llm import byte_bpe, jaccard_join, link_graph, matroska, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -23,6 +23,10 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.threads(read(spark, sf_dir, "conversations"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read(spark, sf_dir, "documents"))
 
 
+def op8_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judged(read(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(texts(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,8 +50,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op3_quality_gam": op3_quality_gam,
+    "op4_quotation": op4_quotation,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_string_tiling": op7_string_tiling,
+    "op8_link_graph": op8_link_graph,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
 }
