@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, jaccard_join, link_graph, matroska, quality_gam, quotation, secret_scan, string_tiling
+from quillspark.llm import backoff_lm, byte_bpe, jaccard_join, link_graph, matroska, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -27,6 +27,10 @@ def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.threads(read(spark, sf_dir, "conversations"))
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.scored(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op3_quality_gam": op3_quality_gam,
     "op4_quotation": op4_quotation,
+    "op5_backoff_lm": op5_backoff_lm,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_string_tiling": op7_string_tiling,
     "op8_link_graph": op8_link_graph,
