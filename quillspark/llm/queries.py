@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import backoff_lm, byte_bpe, jaccard_join, link_graph, matroska, quality_gam, quotation, secret_scan, string_tiling
+from quillspark.llm import backoff_lm, byte_bpe, jaccard_join, link_graph, matroska, page_diff, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -16,6 +16,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(texts(read(spark, sf_dir, "documents")))
 
 
+def op2_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extracted(read(spark, sf_dir, "pages"))
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(read(spark, sf_dir, "documents"))
     model = quality_gam.learnt(docs, read(spark, sf_dir, "labels"))
@@ -53,6 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
+    "op2_page_diff": op2_page_diff,
     "op3_quality_gam": op3_quality_gam,
     "op4_quotation": op4_quotation,
     "op5_backoff_lm": op5_backoff_lm,
