@@ -105,7 +105,7 @@ def _base(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
     rank = np.empty(ORDER_BUCKETS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(ORDER_BUCKETS, dtype=np.uint64)
     salts = np.maximum(1, -(-counts // hot)).astype(np.int64)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(TOKEN))])
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_key"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(TOKEN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
@@ -127,7 +127,7 @@ def _base(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate([none, *tokens]).view(np.int64)
             pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(np.concatenate([np.zeros(0, np.int64), *salted]).astype(np.int32))], ["token", "salt"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["doc_id", "key", "n", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -203,13 +203,13 @@ def _result(base: DataFrame, labels: DataFrame) -> DataFrame:
     placed = first.join(labels, first.key == labels.node, "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = placed.join(ids, "component").select("key", "component_id")
-    own = base.select("doc_id", F.col("n").alias("n_shingles"), "key", "n")
-    return own.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = base.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "key", "n")
+    return own.join(by_key, "key", "left").select("doc_id", "text_key", "n_shingles", F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    docs = texts(docs)
+    """doc_id, text_key (a hash of its text), n_shingles and component_id of every row of docs (doc_id, text)."""
+    docs = texts(docs).withColumn("text_key", F.xxhash64("text"))
     base = written(_base(docs, _bucket_counts(docs), hot))
     tokens = base.where("doc_id is not null").select("key", F.explode("first").alias("t")).select("key", "t.token", "t.salt")
     bucket = Window.partitionBy("token", "salt")
@@ -221,3 +221,24 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     links = written(_verified(_first_partners(shared), sets))
     more = _verified(_boxes_join(shared, components(links), sets).join(links, ["a", "b"], "left_anti"), sets)
     return _result(base, components(links.unionAll(more)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their own columns, that stay: of each component the one with the least doc_id, and all that link to nothing.
+
+    Rows with a null doc_id stay. Of rows that share the least doc_id the one with the least text_key stays, once.
+    """
+    found = written(linked(docs)).where("doc_id is not null")
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_key")
+    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_key").alias("stays")).where("rows > 1")
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def at_hand(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+    kept = keyed.join(at_hand(gone.select("doc_id", F.col("text_key").alias("_text_key"))), ["doc_id", "_text_key"], "left_anti")
+    if again.limit(1).count():
+        more = at_hand(again.select("doc_id"))
+        one = kept.join(more, "doc_id", "left_semi").join(at_hand(again.select("doc_id", F.col("stays").alias("_text_key"))), ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(more, "doc_id", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)

@@ -47,6 +47,8 @@ DROPPED_WORD = re.compile(
     r"|forms?|gdpr|legal|login|masthead|menus?|modal|nav|navbar|navigation|newsletters?|notices?|notifications?|pager|pagination|paywall|popups?|promos?|promoted|promotion"
     r"|reactions|recommended|related|replies|responses|respond|shar(?:e|ing)|sidebars?|signup|social|sponsor\w*|subscri\w*|toolbar|topbar|widgets?"
 )
+#: A name with one of these is of what stands around: with-sidebar, page-wrapper.
+WRAPS = {"has", "with", "without", "no", "container", "layout", "page", "wrap", "wrapper"}
 MAIN_WORDS = ({"article"}, {"post", "body"}, {"post", "content"}, {"entry", "content"}, {"story", "body"}, {"story", "content"})
 #: An element that ends an open one of the same group when it starts.
 ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,7 +64,7 @@ def _zone(name: str, attributes: str, zone: int) -> int:
     words = [set(re.findall(r"[a-z0-9]+", x)) for x in named.split()]
     if name == "header" and zone == ARTICLE:
         return zone  # an article's own heading
-    dropped = any(DROPPED_WORD.fullmatch(w) for x in words for w in x)
+    dropped = any(DROPPED_WORD.fullmatch(w) for x in words if not x & WRAPS for w in x)
     if name in DROPPED or role in DROPPED_ROLES or dropped or "hidden" in attributes.split() or given.get("aria-hidden") == "true":
         return BOILERPLATE
     if name == "article" or role == "article":

@@ -249,3 +249,13 @@ def scored(df: DataFrame, model: Gam, keep: list[str], text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, "score", "predicted"])
 
     return df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Gam) -> DataFrame:
+    """The rows of docs, with their own columns, that the model doesn't reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(matrix(batch.column("text").to_pylist())) >= THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

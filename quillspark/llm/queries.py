@@ -36,7 +36,7 @@ def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(read(spark, sf_dir, "documents"))
+    return jaccard_join.linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,15 +142,15 @@ def not_random_from(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -
     return {r["length_class"]: r["p_bin"] for r in found.groupBy("length_class").agg(F.min("p_bin").alias("p_bin")).collect()}
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: dict[int, int] | None = None) -> DataFrame:
-    """doc_id, text, base and all spans: array<struct<start, kind, end>>, sorted by start, then kind as in KINDS."""
+def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", limits: dict[int, int] | None = None) -> DataFrame:
+    """The columns to keep in a struct ``kept``, text, base and all spans: array<struct<start, kind, end>>, sorted by start, then kind as in KINDS."""
     limits = not_random_from(docs, text_col) if limits is None else limits
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda s: F.length(s) >= ASSIGN_LEAST)
     bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    parts = rows.select("doc_id", "text", _spans(text, ASSIGN, 0, long_enough).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, CANDIDATE, 3).alias("candidates"))
-    based = parts.select("doc_id", "text", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), "candidates")
+    parts = rows.select("kept", "text", _spans(text, ASSIGN, 0, long_enough).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, CANDIDATE, 3).alias("candidates"))
+    based = parts.select("kept", "text", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), "candidates")
     limit = F.lit(P_BINS)
     for length_class, p_bin in sorted(limits.items()):
         limit = (lambda rest, c, b: lambda s: F.when(_length_class(s) == c, F.lit(b)).otherwise(rest(s) if callable(rest) else rest))(limit, length_class, p_bin)
@@ -161,7 +161,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
         return apart & F.element_at(tested, 1)
 
     more = F.when(F.size("candidates") > 0, F.filter("candidates", stays)).otherwise(F.col("candidates"))
-    return based.select("doc_id", "text", "base", F.array_sort(F.concat("base", bare(more))).alias("spans"))
+    return based.select("kept", "text", "base", F.array_sort(F.concat("base", bare(more))).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -182,8 +182,17 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """docs with its own columns; each secret in text is replaced, and n_chars, where there is one, is of the new text. Null texts stay null."""
+    found = scanned(docs, docs.columns)
+    new = F.when(F.col("kept.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    found = found.select("kept", new.alias("new"))
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("new")}
+    return found.select(*(changed.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Per document: counts of each fixed pattern, the digest of their spans, and all spans as text."""
-    found = scanned(docs)
+    found = scanned(docs, ["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return found.select("kept.doc_id", count(0), count(1), count(2), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
