@@ -8,11 +8,11 @@ summed per document. A document's own n-grams are taken off the totals, so a tex
     S(w | u v) = c(u v w) / c(u v) if c(u v w) > 0, else ALPHA * S(w | v);  S(w) = c(w) / N if c(w) > 0, else ALPHA / (N + 1)
 
 Blocks and partitions hold a set number of characters, so both grow in number with the corpus, not in size. A frequent n-gram
-is one entry of a block's run however often it occurs, so it makes no partition hot. Runs are differences of sorted hashes, which pack well.
+is one entry of a block's run however often it occurs, so it makes no partition hot. Runs are differences of sorted hashes, compressed.
 
 Defined results: words are lower-cased runs between ASCII white space; null or empty texts have n_tokens 0, log_score 0 and a
 null mean; the first words of a text are scored with the history there is; repeated rows are documents of their own; ties can't arise;
-extra columns are left out. N-grams are compared by 64-bit hashes.
+extra columns are left out. N-grams are compared by hashes (KEPT_BITS).
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from quillspark.llm.common import texts
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_CHARS, PART_CHARS = 8_000_000, 8_000_000
+BLOCK_CHARS, PART_CHARS = 4_000_000, 8_000_000
+KEPT_BITS = 48  # of a hash, besides those that choose its partition; one in some 10 ** 8 n-grams shares its count with another
 
 
 class _Codes(dict):
@@ -44,17 +45,20 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def _coded(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+
+
 class Grams:
     """The n-grams of a block of texts: for each order their places, distinct hashes and counts."""
 
     def __init__(self, texts_: list[str | None], order: int):
-        words = [(x or "").lower().encode().split() for x in texts_]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+        held = [_coded((x or "").lower().encode().split()) for x in texts_]
+        self.sizes = np.array(list(map(len, held)), np.int64)
+        self.doc = np.repeat(np.arange(len(held)), self.sizes)
         start = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.doc)) - np.repeat(start, self.sizes)  # in its text
-        get = _codes.__getitem__
-        codes = np.array([get(w) for ws in words for w in ws], np.uint64)
+        codes = np.concatenate([np.zeros(0, np.uint64), *held])
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (last words' places, distinct hashes, which hash each has)
         self.counts: list[np.ndarray] = []
         mixed = np.zeros(len(codes), np.uint64)
@@ -69,21 +73,25 @@ class Grams:
             self.counts.append(counts)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Differences of sorted hashes, all first bytes before all second ones."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 8 bytes: all first bytes before all second ones, compressed; their number stands in front."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
-def _planes(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], decompressed_size=8 * n), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
+def _differences(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Differences of a run's sorted hashes, of which KEPT_BITS below the partition's bits are kept."""
+    kept = (keys << np.uint64(bits)) >> np.uint64(64 - KEPT_BITS)
+    return np.diff(kept, prepend=np.uint64(0))
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -102,15 +110,15 @@ def _runs(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         grams = Grams(table.column("text").to_pylist(), order)
-        parts, keys, counts = [0], [_packed(np.zeros(1, np.uint64))], [_planes(np.array([len(grams.doc)]))]
+        parts, keys, counts = [0], [_packed(np.zeros(1))], [_packed(np.array([len(grams.doc)]))]
         for n, ((_, hashes, _), sums) in enumerate(zip(grams.levels, grams.counts)):
             ends = _cuts(hashes, bits)
             for p in range(1 << bits):
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     parts.append(1 + (n << bits) + p)
-                    keys.append(_packed(hashes[a:b]))
-                    counts.append(_planes(sums[a:b]))
+                    keys.append(_packed(_differences(hashes[a:b], bits)))
+                    counts.append(_packed(sums[a:b]))
         return pa.table([pa.array(parts, pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "keys", "counts"])
 
     return blocks.groupBy("block").applyInArrow(run, RUN)
@@ -120,12 +128,12 @@ def _totals(runs: DataFrame) -> DataFrame:
     """Each run's counts over all blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [_unpacked(x) for x in table.column("keys").to_pylist()]
+        keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         ends = np.cumsum([0, *map(len, keys)])
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([_counts(x) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
         sums = np.bincount(which, counts).astype(np.int64)[which]
-        out = [_planes(sums[a:b]) for a, b in zip(ends, ends[1:])]
+        out = [_packed(sums[a:b]) for a, b in zip(ends, ends[1:])]
         return pa.table([table.column("part"), table.column("block"), pa.array(out, pa.binary())], ["part", "block", "totals"])
 
     return runs.groupBy("part").applyInArrow(run, TOTALS)
@@ -163,9 +171,9 @@ def scored(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS,
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         grams = Grams(table.column("text").to_pylist(), order)
         known = dict(zip(found.column("part").to_pylist(), found.column("totals").to_pylist()))
-        words = int(_counts(known[0])[0])
+        words = int(_unpacked(known[0])[0])
         none = np.zeros(0, np.int64)
-        by_level = [np.concatenate([none, *(_counts(known[k]) for p in range(1 << bits) if (k := 1 + (n << bits) + p) in known)]) for n in range(order)]
+        by_level = [np.concatenate([none, *(_unpacked(known[k]).astype(np.int64) for p in range(1 << bits) if (k := 1 + (n << bits) + p) in known)]) for n in range(order)]
         sums = _sums(grams, by_level, words)
         mean = pa.array(sums / np.maximum(grams.sizes, 1), mask=grams.sizes == 0)
         return pa.table([table.column("doc_id"), pa.array(grams.sizes), pa.array(np.where(grams.sizes > 0, sums, 0.0)), mean], schema.names)
