@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed: it no longer depends on what lost executors held."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package however the driver found it; a cluster gets it with --py-files."""
+    here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known]))

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILES = "path string, name string, content binary"
+from quillspark.session import with_package
+
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|/[^\s/\[\]<>()%]*|[^\s/\[\]<>()%]+|\(|\)", re.S)
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -225,4 +226,5 @@ def parsed(found: DataFrame) -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(pages, pa.list_(pa.list_(pa.string()))), pa.array(errors, pa.string())], ["path", "name", "pages", "error"])
 
+    with_package(found.sparkSession)
     return found.select("path", "name", "content").mapInArrow(run, "path string, name string, pages array<array<string>>, error string")
