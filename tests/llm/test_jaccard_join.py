@@ -94,12 +94,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bound_never_cuts_a_link():
+
+
+def test_fine_points_bound_the_shared(spark):
     import numpy as np
 
-    rnd = random.Random(3)
+    rnd = random.Random(4)
     for _ in range(300):
-        a = {rnd.getrandbits(64) for _ in range(rnd.randint(1, 60))}
-        b = {x for x in a if rnd.random() > 0.1} | {rnd.getrandbits(64) for _ in range(rnd.randint(0, 5))}
-        points = [np.bincount([(x >> 40) % j.GROUPS for x in s], minlength=j.GROUPS) for s in (a, b)]
-        assert np.minimum(*points).sum() >= len(a & b)
+        a = {rnd.getrandbits(64) for _ in range(rnd.randint(1, 900))}
+        b = {x for x in a if rnd.random() > 0.2} | {rnd.getrandbits(64) for _ in range(rnd.randint(1, 300))}
+        x, y = (np.minimum(j._fine(np.array(sorted(s), np.uint64)), 255).astype(np.uint8).tobytes() for s in (a, b))
+        assert j._least_minima(x, y) == j._least_minima(y, x) >= len(a & b)
+    assert j._least_minima(bytes([255] + [0] * 31), bytes([1] * 32)) > 1 << 40

@@ -1,0 +1,81 @@
+import random
+import re
+import struct
+
+import public_tokenizers
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillspark.llm import byte_bpe, quality_gam
+from tests.llm.test_jaccard_join import shingles
+from tests.llm.test_secret_scan import spans
+
+
+def corpus(spark, tmp_path):
+    rnd = random.Random(11)
+    words = ["the", "and", "of", "thing", "tion", "reed", "ouder", "with", "hand", "stone", "river", "green"]
+    good = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "s", "ing", "er"]) for _ in range(n)).capitalize() + "."
+    junk = lambda n: " ".join(rnd.choice(words) + rnd.choice(["***", "###", "$$$", "%%%"]) for _ in range(n))
+    bench = [(k, good(25)) for k in range(3)]
+    docs = [(k, good(60)) for k in range(150)] + [(200 + k, junk(50)) for k in range(60)]
+    copy = docs[3][1].split()
+    docs += [(300, docs[5][1]), (301, docs[5][1]), (302, " ".join(copy[:-1] + ["changed"])), (303, good(30) + " " + bench[1][1] + " " + good(20))]
+    docs += [(310, good(40) + ' token = "0641917ea4e9feb9cda83477b57ac2654884f485" ' + good(9)), (311, None), (312, ""), (313, "password: hunter22 " + good(50))]
+    labels = [(i, int(i < 200), 0) for i, _ in docs if i < 300]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    return sf, docs, bench
+
+
+def test_stages_as_brute_force(spark, tmp_path):
+    sf, docs, bench = corpus(spark, tmp_path)
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_gam.learnt(table, labels)
+    scores = dict(zip([i for i, _ in docs], model.score(quality_gam.matrix([t for _, t in docs]))))
+    left = [(i, t) for i, t in docs if scores[i] >= 0.3]
+    assert {i for i, _ in left} >= set(range(150)) and not {i for i, _ in left} & set(range(200, 260))
+    kept = []
+    for i, t in sorted(left):
+        a = shingles(t)
+        # copies are far from all else here, so a component is its least document and what links to that
+        if not any(a and 100 * len(a & b) >= 80 * len(a | b) for _, _, b in kept):
+            kept.append((i, t, a))
+    assert not {i for i, _, _ in kept} & {300, 301, 302}
+    plain = lambda t: re.sub(r"\W+", " ", (t or "").lower())
+    clean = [(i, t) for i, t, _ in kept if not any(plain(b).strip() in plain(t) for _, b in bench)]
+    assert 303 not in dict(clean) and len(clean) == len(kept) - 1
+
+    def redacted(text):
+        out, at = "", 0
+        for a, _, b, _ in spans(text):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    want = {i: redacted(t or "") for i, t in clean}
+    assert want[310].count("[SECRET]") == 1 and want[313].startswith("[SECRET]")
+    bpe = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert len(got) == len(want) and all(r.exact for r in got)
+    for r in got:
+        assert list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))) == library.encode_ordinary(want[r.doc_id]), r.doc_id
+
+
+def test_stages_keep_columns_and_take_strange_tables(spark, tmp_path):
+    sf, *_ = corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (1, 5, 300, 311, 312)")
+    odd = docs.unionByName(docs).withColumns({"score": F.lit("x"), "key": F.lit(1), "spans": F.lit(None).cast("string"), "shingles": F.lit(2.0)})
+    for rows in (odd, odd.limit(0), odd.withColumn("doc_id", F.lit(None).cast("long"))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, sf).schema.names == rows.schema.names, name
+            assert stage(spark, rows, sf).count() <= rows.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).count() == rows.count()
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_gam", "jaccard_join", "string_tiling", "secret_scan", "byte_bpe"]
