@@ -68,3 +68,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB. Equal sets are merged first; pairs share a shingle; components are least keys reached.
+ORACLE_SQL["op6_jaccard_join"] = r"""
+with recursive words as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) end as s
+  from words),
+classes as (select s, min(r) as k, len(s) as n, min(doc_id) as least from sets where len(s) > 0 and doc_id is not null group by s),
+grams as (select k, n, unnest(s) as g from classes),
+links as (
+  select a.k as a, b.k as b from grams a join grams b on a.g = b.g and a.k < b.k
+  group by a.k, b.k, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges as (select a, b from links union all select b, a from links),
+reach as (select k, k as m from classes union select edges.b, reach.m from reach join edges on reach.k = edges.a),
+component as (select reach.k, min(c.least) as component_id from reach join classes c on c.k = reach.m group by reach.k)
+select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(component.component_id, sets.doc_id) as component_id
+from sets left join classes on sets.s = classes.s and sets.doc_id is not null left join component on component.k = classes.k
+"""
