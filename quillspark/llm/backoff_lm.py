@@ -29,7 +29,7 @@ from quillspark.llm.common import texts
 ORDER = 3
 ALPHA = 0.4
 BLOCK_CHARS, PART_CHARS = 4_000_000, 8_000_000
-KEPT_BITS = 48  # of a hash, besides those that choose its partition; one in some 10 ** 8 n-grams shares its count with another
+KEPT_BITS = 40  # of a hash, besides those that choose its partition; one in some 10 ** 6 n-grams shares its count with another
 
 
 class _Codes(dict):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF = 24  # bytes of a leaf of the tree
-CACHE = 800_000  # pieces a worker remembers before it starts anew
+CACHE = 250_000  # pieces a worker remembers before it starts anew
 
 
 class ByteBpe:

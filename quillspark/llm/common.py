@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut, shared_dir, with_package
+
+__all__ = ["cut", "forget", "least_partitions", "positioned", "read", "same", "shared_dir", "small_batches", "texts", "written"]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so Python workers get no more than 1,000 of them at once. Workers of this machine find this package."""
+    with_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the whole text, null as empty; other columns can't clash after this."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint: the result no longer depends on shuffle files of executors that may be lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """As cut(), as a compressed table for results of the corpus' size."""
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -41,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def forget(table: DataFrame) -> None:
+    """Remove what written() wrote, once nothing will read it again."""
+    for file in table.inputFiles()[:1]:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def least_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

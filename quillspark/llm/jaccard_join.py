@@ -1,8 +1,9 @@
 """N-gram Jaccard join: sets of word shingles that overlap by 0.8 or more, as connected components.
 
-A document's point is the vector of its shingles' counts in GROUPS hash groups. Two sets can share
+A document's point is the vector of its shingles' counts in hash groups. Two sets can share
 at most the sum of the coordinates' minima; boxes of points give the same bound for all pairs between
-them, so they serve as the leaves of an R-tree. Over the whole corpus such a tree prunes nothing (all
+them, so they serve as the leaves of an R-tree. Boxes have GROUPS coordinates. Pairs are compared in as many as give PER_GROUP shingles a
+group, a power of two, so that long texts are told apart as well as short ones; of two numbers of groups the smaller is taken, as neighbours add up. Over the whole corpus such a tree prunes nothing (all
 texts of a length lie near one another), so the space is first divided by an exact equi-join:
 sets with Jaccard 0.8 share at least one of their n - ceil(0.8 n) + 1 shingles that come first in
 any fixed order. The order puts rare hash buckets first, counted over all documents.
@@ -11,9 +12,9 @@ any fixed order. The order puts rare hash buckets first, counted over all docume
 2. Write doc_id, set key, size, point and first shingles of each document. Equal sets share a key from here on.
 3. Within a shared shingle, pair each set with the least key; verify each set's best such
    partner; components of these links. A group of near copies costs one pair a member.
-4. Where a shingle still joins different components, build the leaves: boxes of up to LEAF points
-   of one component; join boxes of different components by their bounds, then their points, and verify
-   what survives. Links inside a component can't change it, so no pairs within groups are made.
+4. Where a shingle still joins different components, bound pairs of points by their minima; where it joins more than LEAF sets,
+   build leaves first, boxes of up to LEAF points of one component, join the boxes by their bounds, and bound only the points of boxes that
+   pass. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
 
 A shingle bucket with over HOT documents is salted in step 3, with a second level over the salts' least keys.
 
@@ -33,13 +34,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import texts, written
+from quillspark.llm.common import cut, forget, texts, written
 from quillspark.llm.components import components
 
 WORDS = 5
-GROUPS = 32
-ORDER_BUCKETS = 1 << 16
-LEAF = 32
+GROUPS = 32  # of the points in boxes
+PER_GROUP = 2  # shingles in a group of the points that are compared in pairs, about
+ORDER_BITS = 20
+ORDER_BUCKETS, ORDER_PARTS = 1 << ORDER_BITS, 64
+LEAF = 64
 HOT = 200_000
 BROADCAST_ROWS = 1_000_000  # ids; 16 MB at most
 
@@ -48,7 +51,7 @@ class _Codes(dict):
     """64-bit hashes of words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
@@ -57,18 +60,42 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the 5-word shingles of a text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.array(list(map(_codes.__getitem__, words)), np.uint64)
-    n = max(1, len(codes) - WORDS + 1)
-    out = np.full(n, min(len(codes), WORDS), np.uint64)
-    for k in range(min(len(codes), WORDS)):
-        out = (out ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 1 << 17  # words hashed at once
+
+
+def shingled(texts_: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its 5-word shingles."""
+    out, held, size, get = [], [], 0, _codes.__getitem__
+    for x in texts_:
+        words = (x or "").encode().lower().split()
+        held.append(np.fromiter(map(get, words), np.uint64, len(words)))
+        size += len(words)
+        if size >= CHUNK:
+            out += _sorted_shingles(held)
+            held, size = [], 0
+    return out + _sorted_shingles(held)
+
+
+def _sorted_shingles(held: list[np.ndarray]) -> list[np.ndarray]:
+    codes = np.concatenate([np.zeros(0, np.uint64), *held])
+    mixed = _mixed(codes, max(0, len(codes) - WORDS + 1), WORDS)
+    out, a = [], 0
+    for own in held:
+        n = len(own)
+        s = np.sort(mixed[a : a + n - WORDS + 1] if n >= WORDS else _mixed(own, min(1, n), n))
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
+        a += n
+    return out
+
+
+def _mixed(codes: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Hashes of the first n runs of size codes."""
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out ^= codes[k : k + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
@@ -76,21 +103,26 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 
 
 def _bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Documents' shingles in each order bucket; ORDER_BUCKETS numbers come to the driver."""
+    """Documents' shingles in each order bucket. A task sends one vector in ORDER_PARTS parts; ORDER_BUCKETS sums, 8 MB, come to the driver."""
+    schema = "part int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_BUCKETS, np.int64)
         for batch in batches:
-            sets = [shingles(x) for x in batch.column("text").to_pylist()]
-            if sets:
-                counts += np.bincount(_buckets(np.concatenate(sets)), minlength=ORDER_BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
+            sets = shingled(batch.column("text").to_pylist())
+            for k in range(0, len(sets), 500):
+                counts += np.bincount(_buckets(np.concatenate(sets[k : k + 500])), minlength=ORDER_BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(ORDER_PARTS), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(ORDER_PARTS, -1)], pa.binary())], ["part", "counts"])
 
-    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(ORDER_BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    found = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(added, schema).collect()
+    counts = np.zeros((ORDER_PARTS, ORDER_BUCKETS // ORDER_PARTS), np.int64)
+    for r in found:
+        counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return counts.ravel()
 
 
 TOKEN = T.StructType([T.StructField("token", T.LongType()), T.StructField("salt", T.IntegerType())])
@@ -100,102 +132,157 @@ def _key(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
 
 
+def _fine(s: np.ndarray) -> np.ndarray:
+    """Counts in a power of two of hash groups, GROUPS at least."""
+    bits = max(GROUPS, len(s) // PER_GROUP).bit_length() - 1
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def _least_minima(a: bytes, b: bytes) -> int:
+    """The sum of two fine points' minima. A count of 255 may stand for more, so it bounds nothing."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if y.max() == 255 or x.max() == 255:
+        return 1 << 60
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+
+
 def _base(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
-    """doc_id, key and n of its set, and ``first``: the shingles of which it shares one with any partner (once for a key in a batch)."""
-    rank = np.empty(ORDER_BUCKETS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(ORDER_BUCKETS, dtype=np.uint64)
-    salts = np.maximum(1, -(-counts // hot)).astype(np.int64)
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_key"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(TOKEN))])
+    """doc_id, key, n and point of its set, and ``first``: the shingles of which it shares one with any partner (seldom more than once for a key in a task)."""
+    ranks = np.empty(ORDER_BUCKETS, np.uint32)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(ORDER_BUCKETS, dtype=np.uint32)
+    order_of = docs.sparkSession.sparkContext.broadcast((ranks, np.maximum(1, -(-counts // hot)).astype(np.int32)))  # 8 MB
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_key"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("point", T.ArrayType(T.IntegerType())), T.StructField("fine", T.BinaryType()), T.StructField("first", T.ArrayType(TOKEN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
+        rank, salts = order_of.value
+        seen: set[int] = set()
         for batch in batches:
-            keys, sizes, tokens, salted, seen = [], [], [], [], set()
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
+            keys, sizes, points, fine, tokens, salted = [], [], [], [], [], []
+            if len(seen) > 100_000:
+                seen.clear()
+            for s in shingled(batch.column("text").to_pylist()):
                 keys.append(key := _key(s))
+                counts = _fine(s)
+                points.append(counts.reshape(GROUPS, -1).sum(1))
+                fine.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 sizes.append(len(s))
                 first = none
                 if key not in seen:
                     seen.add(key)
                     bucket = _buckets(s)
-                    order = np.argsort((rank[bucket] << np.uint64(48)) | (s >> np.uint64(16)), kind="stable")
+                    order = np.argsort((rank[bucket].astype(np.uint64) << np.uint64(64 - ORDER_BITS)) | (s >> np.uint64(ORDER_BITS)), kind="stable")
                     first = s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]] if len(s) else none
                 tokens.append(first)
                 parts = salts[_buckets(first)]
-                salted.append(np.where(parts > 1, 1 + key % parts, 0))
+                salted.append(np.where(parts > 1, 1 + key % parts.astype(np.int64), 0))
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate([none, *tokens]).view(np.int64)
             pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(np.concatenate([np.zeros(0, np.int64), *salted]).astype(np.int32))], ["token", "salt"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _points(base: DataFrame, shared: DataFrame) -> DataFrame:
+    """key, doc_id of one document, n, point and fine point of each set that shares a first shingle with another."""
+    one = base.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    return one.join(shared.select("key").distinct(), "key")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n, point and shingles of the wanted documents (doc_id, key)."""
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    """key, n and shingles of the wanted documents (doc_id, key)."""
+    rows = docs.select("doc_id", "text").join(_small(wanted), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, points, sets = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                s = shingles(text)
-                if _key(s) == key:  # a doc_id may stand for several texts
-                    keys.append(key)
-                    points.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS))
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(points, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["key", "n", "point", "shingles"])
+            # a doc_id may stand for several texts
+            found = [(key, s) for key, s in zip(batch.column("key").to_pylist(), shingled(batch.column("text").to_pylist())) if _key(s) == key]
+            keys, sets = [k for k, _ in found], [s.view(np.int64) for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "n", "shingles"])
 
-    return rows.mapInArrow(run, "key long, n long, point array<long>, shingles array<long>")
+    return rows.mapInArrow(run, "key long, n long, shingles array<long>")
 
 
 def _may_link(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     """Whether summed minima allow 9 * shared >= 4 * (n_a + n_b), which is Jaccard 0.8."""
-    minima = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    minima = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     return 9 * minima >= 4 * (n_a + n_b)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose points may link and whose sets do."""
-    side = lambda c: sets.select(*(F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "point", "shingles")))
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs a, b whose sets link."""
+    pairs = written(pairs)
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    stored = written(_sets(docs, points.join(keys, "key").select("doc_id", "key")))
+    sets = stored.dropDuplicates(["key"]) if repeated else stored
+    side = lambda c: sets.select(*(F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "shingles")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_key")).join(side("b"), F.col("b") == F.col("b_key"))
-    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return both.where(_may_link(F.col("a_point"), F.col("b_point"), F.col("a_n"), F.col("b_n")) & (9 * shared >= 4 * (F.col("a_n") + F.col("b_n")))).select("a", "b")
+    links = written(both.where(9 * F.size(F.array_intersect("a_shingles", "b_shingles")) >= 4 * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    forget(stored)
+    return links
 
 
-def _first_partners(shared: DataFrame) -> DataFrame:
-    """For each key the pair with the least key of the bucket that it meets most often; salted buckets have a second level."""
+def _first_partners(shared: DataFrame, points: DataFrame) -> DataFrame:
+    """For each key the pair that may link with the least key of the bucket that it meets most often; salted buckets have a second level."""
     heads = shared.where("salt > 0").select("token", F.col("center").alias("key")).distinct()
     heads = heads.withColumn("center", F.min("key").over(Window.partitionBy("token")))
-    pairs = shared.select("key", "center").unionAll(heads.select("key", "center")).where("key <> center").groupBy("key", "center").count()
-    best = pairs.groupBy("key").agg(F.max_by("center", F.struct("count", -F.col("center"))).alias("center"))
-    return best.select(F.least("center", "key").alias("a"), F.greatest("center", "key").alias("b"))
+    pairs = shared.select("key", "center").unionAll(heads.select("key", "center")).where("key <> center").groupBy(F.col("center").alias("a"), F.col("key").alias("b")).count()
+    best = _close(pairs, points).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    return best.select("a", "b")
+
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS (narrow) rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def _boxes_join(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _near(a_low: str, a_high: str, b_low: str, b_high: str) -> Column:
+    """Whether sizes in these ranges can be within Jaccard 0.8."""
+    return (5 * F.col(a_high) >= 4 * F.col(b_low)) & (5 * F.col(b_high) >= 4 * F.col(a_low))
+
+
+def _across(shared: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs of different components that share a first shingle and may link by their points."""
-    placed = shared.select("token", "key").join(labels, shared.key == labels.node, "left").select("token", "key", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("token", "size")
-    points = placed.join(mixed, "token").join(sets.select("key", "n", "point"), "key")
-    members = written(points.select("token", "component", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / LEAF)).alias("slot"), "key", "n", "point"))
+    known = cut(points.select("key", "n").join(labels, points.key == labels.node, "left").select("key", "n", F.coalesce("component", "key").alias("component")))
+    bucket = Window.partitionBy("token")
+    placed = shared.select("token", "key").join(_small(known), "key")
+    placed = placed.select("*", F.min("component").over(bucket).alias("least"), F.max("component").over(bucket).alias("most"), F.count("*").over(bucket).alias("size"))
+    mixed = written(placed.where("least <> most").drop("least", "most"))
+    side = lambda df, c, names: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in names))
+    # buckets of a leaf's size or less: every pair of points
+    few, names = mixed.where(F.col("size") <= LEAF), ("key", "n", "component")
+    met = side(few, "a", names).join(side(few, "b", names), "token").where((F.col("a_component") < F.col("b_component")) & _near("a_n", "a_n", "b_n", "b_n"))
+    # larger ones: every pair of leaves whose boxes are near enough, then their points
+    many = mixed.where(F.col("size") > LEAF).join(points.select("key", "point"), "key")
+    many = many.withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / LEAF)))
     corner = F.array(*(F.max(F.col("point")[k]) for k in range(GROUPS)))
-    box = members.groupBy("token", "component", "slot").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"))
-    side = lambda c: box.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("component", "slot", "corner", "low", "high")))
-    near = (5 * F.col("a_high") >= 4 * F.col("b_low")) & (5 * F.col("b_high") >= 4 * F.col("a_low"))
-    boxes = side("a").join(side("b"), "token").where((F.col("a_component") < F.col("b_component")) & near & _may_link(F.col("a_corner"), F.col("b_corner"), F.col("a_low"), F.col("b_low")))
+    leaves = many.groupBy("token", "component", "slot").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"))
+    names = ("component", "slot", "corner", "low", "high")
+    boxes = side(leaves, "a", names).join(side(leaves, "b", names), "token")
+    boxes = boxes.where((F.col("a_component") < F.col("b_component")) & _near("a_low", "a_high", "b_low", "b_high") & _may_link(F.col("a_corner"), F.col("b_corner"), F.col("a_low"), F.col("b_low")))
     boxes = boxes.select("token", "a_component", "a_slot", "b_component", "b_slot")
-    point = lambda c: members.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("component", "slot", "key", "n", "point")))
-    met = boxes.join(point("a"), ["token", "a_component", "a_slot"]).join(point("b"), ["token", "b_component", "b_slot"])
-    close = met.where((5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n")) & _may_link(F.col("a_point"), F.col("b_point"), F.col("a_n"), F.col("b_n")))
-    return close.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    names = ("component", "slot", "key", "n")
+    inside = boxes.join(side(many, "a", names), ["token", "a_component", "a_slot"]).join(side(many, "b", names), ["token", "b_component", "b_slot"]).where(_near("a_n", "a_n", "b_n", "b_n"))
+    pair = lambda df: df.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    return _close(pair(met).unionAll(pair(inside)).distinct(), points).select("a", "b")
+
 
+def _close(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs a, b (and what else is given of them) whose fine points may link."""
+    side = lambda c: points.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_n", "a_n", "b_n", "b_n"))
+    columns = pairs.columns
 
-def _wanted(base: DataFrame, shared: DataFrame) -> DataFrame:
-    """One doc_id for each key that shares a first shingle with another."""
-    first = base.where("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    return first.join(shared.select("key").distinct(), "key").select("doc_id", "key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_fine", "b_fine")))
+            keep = pa.array([9 * _least_minima(x, y) >= 4 * (n + m) for n, m, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], columns).filter(keep)
+
+    return met.mapInArrow(run, pairs.schema)
 
 
 def _result(base: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,12 +302,11 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     bucket = Window.partitionBy("token", "salt")
     met = tokens.withColumn("center", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket))
     shared = written(met.where("center <> last or salt > 0").select("token", "salt", "key", "center"))
-    sets = written(_sets(docs, _wanted(base, shared)))
-    if base.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["key"])
-    links = written(_verified(_first_partners(shared), sets))
-    more = _verified(_boxes_join(shared, components(links), sets).join(links, ["a", "b"], "left_anti"), sets)
-    return _result(base, components(links.unionAll(more)))
+    points = written(_points(base, shared))
+    repeated = base.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
+    links = _verified(docs, _first_partners(shared, points), points, repeated)
+    more = _across(shared, components(links), points).join(links, ["a", "b"], "left_anti")
+    return _result(base, components(links.unionAll(_verified(docs, more, points, repeated))))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -233,12 +319,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_key").alias("stays")).where("rows > 1")
     keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
-    def at_hand(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-
-    kept = keyed.join(at_hand(gone.select("doc_id", F.col("text_key").alias("_text_key"))), ["doc_id", "_text_key"], "left_anti")
+    kept = keyed.join(_small(gone.select("doc_id", F.col("text_key").alias("_text_key"))), ["doc_id", "_text_key"], "left_anti")
     if again.limit(1).count():
-        more = at_hand(again.select("doc_id"))
-        one = kept.join(more, "doc_id", "left_semi").join(at_hand(again.select("doc_id", F.col("stays").alias("_text_key"))), ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id"])
+        more = _small(again.select("doc_id"))
+        one = kept.join(more, "doc_id", "left_semi").join(_small(again.select("doc_id", F.col("stays").alias("_text_key"))), ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(more, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)
