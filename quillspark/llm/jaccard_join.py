@@ -10,13 +10,13 @@ any fixed order. The order puts rare hash buckets first, counted over all docume
 
 1. Count shingles per bucket (ORDER_BUCKETS counts whatever the corpus' size).
 2. Write doc_id, set key, size, point and first shingles of each document. Equal sets share a key from here on.
-3. Within a shared shingle, pair each set with the least key; verify each set's best such
+3. Within a shared shingle, pair each set with the one that meets most sets anywhere; verify each set's best such
    partner; components of these links. A group of near copies costs one pair a member.
-4. Where a shingle still joins different components, bound pairs of points by their minima; where it joins more than LEAF sets,
-   build leaves first, boxes of up to LEAF points of one component, join the boxes by their bounds, and bound only the points of boxes that
-   pass. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
+4. Where a shingle still joins different components, bound pairs of points by their minima; where it joins more than SMALL sets,
+   deal them into leaves of about LEAF points, compare points with the other leaf's box first, and with its points if that may pass,
+   in few coordinates, then in many. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
 
-A shingle bucket with over HOT documents is salted in step 3, with a second level over the salts' least keys.
+A shingle bucket with over HOT documents is salted in step 3, with a second level over the salts' own centers.
 
 Defined results: null or empty texts have the empty set, n_shingles 0, and are linked with nothing; texts of one
 to four words are one shingle; rows with a null doc_id get a null component and link nothing;
@@ -42,7 +42,7 @@ GROUPS = 32  # of the points in boxes
 PER_GROUP = 2  # shingles in a group of the points that are compared in pairs, about
 ORDER_BITS = 20
 ORDER_BUCKETS, ORDER_PARTS = 1 << ORDER_BITS, 64
-LEAF = 64
+LEAF, SMALL = 128, 16
 HOT = 200_000
 BROADCAST_ROWS = 1_000_000  # ids; 16 MB at most
 
@@ -206,12 +206,6 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n long, shingles array<long>")
 
 
-def _may_link(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Whether summed minima allow 9 * shared >= 4 * (n_a + n_b), which is Jaccard 0.8."""
-    minima = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return 9 * minima >= 4 * (n_a + n_b)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bool) -> DataFrame:
     """The pairs a, b whose sets link."""
     pairs = written(pairs)
@@ -226,7 +220,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bo
 
 
 def _first_partners(shared: DataFrame, points: DataFrame) -> DataFrame:
-    """For each key the pair that may link with the least key of the bucket that it meets most often; salted buckets have a second level."""
+    """For each key the pair that may link with the center of a bucket that it meets most often; salted buckets have a second level."""
     heads = shared.where("salt > 0").select("token", F.col("center").alias("key")).distinct()
     heads = heads.withColumn("center", F.min("key").over(Window.partitionBy("token")))
     pairs = shared.select("key", "center").unionAll(heads.select("key", "center")).where("key <> center").groupBy(F.col("center").alias("a"), F.col("key").alias("b")).count()
@@ -252,22 +246,58 @@ def _across(shared: DataFrame, labels: DataFrame, points: DataFrame) -> DataFram
     placed = placed.select("*", F.min("component").over(bucket).alias("least"), F.max("component").over(bucket).alias("most"), F.count("*").over(bucket).alias("size"))
     mixed = written(placed.where("least <> most").drop("least", "most"))
     side = lambda df, c, names: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in names))
-    # buckets of a leaf's size or less: every pair of points
-    few, names = mixed.where(F.col("size") <= LEAF), ("key", "n", "component")
+    # buckets of SMALL sets or less: every pair of points
+    few, names = mixed.where(F.col("size") <= SMALL), ("key", "n", "component")
     met = side(few, "a", names).join(side(few, "b", names), "token").where((F.col("a_component") < F.col("b_component")) & _near("a_n", "a_n", "b_n", "b_n"))
-    # larger ones: every pair of leaves whose boxes are near enough, then their points
-    many = mixed.where(F.col("size") > LEAF).join(points.select("key", "point"), "key")
-    many = many.withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / LEAF)))
-    corner = F.array(*(F.max(F.col("point")[k]) for k in range(GROUPS)))
-    leaves = many.groupBy("token", "component", "slot").agg(corner.alias("corner"), F.min("n").alias("low"), F.max("n").alias("high"))
-    names = ("component", "slot", "corner", "low", "high")
-    boxes = side(leaves, "a", names).join(side(leaves, "b", names), "token")
-    boxes = boxes.where((F.col("a_component") < F.col("b_component")) & _near("a_low", "a_high", "b_low", "b_high") & _may_link(F.col("a_corner"), F.col("b_corner"), F.col("a_low"), F.col("b_low")))
-    boxes = boxes.select("token", "a_component", "a_slot", "b_component", "b_slot")
-    names = ("component", "slot", "key", "n")
-    inside = boxes.join(side(many, "a", names), ["token", "a_component", "a_slot"]).join(side(many, "b", names), ["token", "b_component", "b_slot"]).where(_near("a_n", "a_n", "b_n", "b_n"))
     pair = lambda df: df.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
-    return _close(pair(met).unionAll(pair(inside)).distinct(), points).select("a", "b")
+    large = _leaves_met(mixed.where(F.col("size") > SMALL), points)
+    return _close(pair(met).unionAll(large).distinct(), points).select("a", "b")
+
+
+def _leaves_met(members: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs a, b of different components whose points may link, of large buckets (token, key, n, component).
+
+    The members of a bucket's commonest component and all others are dealt into leaves of about LEAF points. Leaves of others meet one another and
+    those of the commonest; its own leaves don't meet. A task has two leaves: their boxes are compared with points, then points with points.
+    """
+    common = members.groupBy("token").agg(F.mode("component", True).alias("common"))
+    sized = members.join(common, "token").withColumn("other", F.col("component") != F.col("common"))
+    sizes = sized.groupBy("token").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(c) / LEAF)).cast("int").alias(x) for x, c in (("others", F.col("other")), ("commons", ~F.col("other")))))
+    placed = sized.join(sizes, "token").join(points.select("key", "point", "fine"), "key")
+    leaf = F.pmod(F.xxhash64("key"), F.when(F.col("other"), F.col("others")).otherwise(F.col("commons"))).cast("int")
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    tasks = F.when(
+        F.col("other"),
+        F.concat(
+            F.transform(numbers(F.col("others")), lambda j: task("others", F.least(j, F.col("leaf")), F.greatest(j, F.col("leaf")))),
+            F.transform(numbers(F.col("commons")), lambda j: task("common", F.col("leaf"), j)),
+        ),
+    ).otherwise(F.transform(numbers(F.col("others")), lambda i: task("common", i, F.col("leaf"))))
+    dealt = placed.withColumn("leaf", leaf).select("token", "key", "n", "component", "point", "fine", "other", "leaf", F.explode(tasks).alias("task"))
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, sizes_, component, leaf_ = (table.column(c).to_numpy() for c in ("key", "n", "component", "leaf"))
+        fine = table.column("fine").to_pylist()
+        place = table.column("point").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        one = table.column("task")[0].as_py()
+        first = table.column("other").to_numpy() if one["kind"] == "common" else leaf_ == one["i"]
+        second = ~first if one["kind"] == "common" else leaf_ == one["j"]
+        x, y = np.flatnonzero(first), np.flatnonzero(second)
+        if len(x) and len(y):  # points against the other leaf's box
+            x = x[9 * np.minimum(place[x], place[y].max(0)).sum(1) >= 4 * (sizes_[x] + sizes_[y].min())]
+        if len(x) and len(y):
+            y = y[9 * np.minimum(place[y], place[x].max(0)).sum(1) >= 4 * (sizes_[y] + sizes_[x].min())]
+        out = []
+        for k in x:
+            near = y[(component[y] != component[k]) & (5 * np.minimum(sizes_[y], sizes_[k]) >= 4 * np.maximum(sizes_[y], sizes_[k]))]
+            near = near[9 * np.minimum(place[near], place[k]).sum(1) >= 4 * (sizes_[near] + sizes_[k])]
+            near = near[[9 * _least_minima(fine[k], fine[m]) >= 4 * (sizes_[m] + sizes_[k]) for m in near]] if len(near) else near
+            out.append(np.stack([np.minimum(keys[near], keys[k]), np.maximum(keys[near], keys[k])]))
+        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.groupBy("token", "task").applyInArrow(run, "a long, b long")
 
 
 def _close(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -300,8 +330,12 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     base = written(_base(docs, _bucket_counts(docs), hot))
     tokens = base.where("doc_id is not null").select("key", F.explode("first").alias("t")).select("key", "t.token", "t.salt")
     bucket = Window.partitionBy("token", "salt")
-    met = tokens.withColumn("center", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket))
-    shared = written(met.where("center <> last or salt > 0").select("token", "salt", "key", "center"))
+    met = tokens.select("*", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high"), F.count("*").over(bucket).alias("size"))
+    met = written(met.where("low <> high or salt > 0").select("token", "salt", "key", "size"))
+    # the set that meets most others is the likeliest original of its copies
+    degrees = cut(met.groupBy("key").agg(F.sum("size").alias("degree")))
+    central = F.max(F.struct("degree", "key")).over(bucket)["key"]
+    shared = written(met.join(_small(degrees), "key").select("token", "salt", "key", central.alias("center")))
     points = written(_points(base, shared))
     repeated = base.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
     links = _verified(docs, _first_partners(shared, points), points, repeated)
