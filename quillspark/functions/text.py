@@ -31,6 +31,11 @@ def number_in(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit("")).try_cast("decimal(38,10)")
 
 
+def percent_in(value: Column) -> Column:
+    """A float as decimal(5,2); null if it doesn't fit. The range is tested first: a try_cast that fails throws and catches."""
+    return F.when(F.abs(value) < 999.995, value.cast("decimal(5,2)"))
+
+
 def name_key(value: Column) -> Column:
     """What spellings of a name have in common: case, white space and ASCII punctuation don't count."""
     return F.trim(F.regexp_replace(F.lower(value), r"[\p{Punct}\s]+", " "))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import name_key, number_in, page_numbers, page_text
+from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
 from quillspark.operators import constraints, evidence
 from quillspark.operators.numbering import numbered
 from quillspark.sources.tables import as_json
@@ -105,8 +105,7 @@ def over_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_orderkey, l_linenumber, l_extendedprice, try_cast(l_extendedprice as decimal(5,2)) price, try_cast(l_quantity as decimal(5,2)) quantity from lineitem")
 def decimal_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem")
-    fits = lambda c: F.col(c).try_cast("decimal(5,2)")
-    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", fits("l_extendedprice").alias("price"), fits("l_quantity").alias("quantity"))
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", percent_in(F.col("l_extendedprice")).alias("price"), percent_in(F.col("l_quantity")).alias("quantity"))
 
 
 @query("select l_orderkey, count(*) n from lineitem where l_orderkey in (select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')) group by 1")

@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import fitted, iso_millis, page_numbers, page_text, too_long
+from quillspark.functions.text import fitted, page_numbers, page_text, percent_in, too_long
 from quillspark.operators.constraints import Violation, checked, typed, violations, with_defaults, with_ids
 from quillspark.operators.deletes import after_delete, blockers, victims
 from quillspark.schema import TABLES, references, struct_of
@@ -46,6 +46,13 @@ def test_percent(spark, value, kept):
         assert typed(rows, "evidence_items").first()[0] == (None if kept == "null" else Decimal(kept))
 
 
+@pytest.mark.parametrize("value", [0.0, 1.005, -1.005, 999.99, 999.994, 999.995, -999.995, 1000.0, float("nan"), None])
+def test_percent_of_a_float(spark, value):
+    rows = spark.createDataFrame([(value,)], "x double")
+    a, b = rows.select(percent_in(F.col("x")), F.col("x").try_cast("decimal(5,2)")).first()
+    assert a == b
+
+
 def test_defaults_fill_absent_columns_only(spark):
     absent = with_defaults(spark.createDataFrame([("x",)], "document_name string"), "documents").first()
     assert absent["status"] == "UPLOADED" and absent["uploaded_at"] is not None and absent["document_type"] is None
