@@ -5,8 +5,8 @@ at hosts in proportion to pages that a rule blocks and goes against links. A hos
 distrust is at least ``threshold`` of both is blocked.
 
 Links are summed per pair of hosts before they are shuffled, and so are the shares that a host
-receives, so a hub needs no room of its own. Rounds end when ranks move less than TOLERANCE in
-all, or after ROUNDS; each is checkpointed.
+receives, so a hub needs no room of its own. Rounds end when none reaches a new host and no host's rank
+grows by more than TOLERANCE of itself, however small it is and however many rounds it takes; each is checkpointed.
 
 Defined results: null urls, and urls without ``://``, have an empty host and path; no host, no links; a host without trust
 and distrust is allowed; links inside a host don't count; repeated pages count again as seeds and links and stay in the result;
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
 
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-4, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+LEAST = 1e-290  # what a host gets at least when it is first reached, so that no walk is too long or too widely shared to count
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -83,22 +84,22 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """host, rank: PageRank that restarts at the seeds (host, weight), whose weights sum to 1. What dangling hosts hold restarts too."""
+    """host, rank: PageRank that restarts at the seeds (host, weight), whose weights sum to 1. What dangling hosts hold restarts too.
+
+    Ranks are the shares of a sum over walks from the seeds, one step longer each round: ``came`` is what the last round added to a host.
+    """
     out = links.groupBy("source").agg(F.sum("n").alias("all"))
     shares = cut(links.join(out, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share")))
-    seeds = cut(seeds)
-    ranks = seeds.select("host", F.col("weight").alias("rank"))
-    for _ in range(ROUNDS):
-        sent = shares.join(ranks, shares.source == ranks.host).select(F.col("target").alias("host"), (DAMPING * F.col("share") * F.col("rank")).alias("rank"))
-        got = sent.groupBy("host").agg(F.sum("rank").alias("rank"))
-        passed = got.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        back = seeds.select("host", (F.col("weight") * (1 - passed)).alias("rank"))
-        new = cut(got.unionAll(back).groupBy("host").agg(F.sum("rank").alias("rank")))
-        moved = new.join(ranks.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        ranks = new
-        if (moved or 0.0) < TOLERANCE:
-            break
-    return ranks
+    ranks = cut(seeds.select("host", F.col("weight").alias("rank"), F.col("weight").alias("came")))
+    largest = 1.0
+    while largest >= TOLERANCE:  # of a host that is reached for the first time it is 1
+        moving = ranks.where("came > 0")
+        sent = shares.join(moving, shares.source == moving.host).groupBy(F.col("target").alias("host")).agg(F.sum(DAMPING * F.col("share") * F.col("came")).alias("sent"))
+        came = F.when(F.col("rank").isNull(), F.greatest("sent", F.lit(LEAST))).otherwise(F.coalesce("sent", F.lit(0.0)))
+        ranks = cut(ranks.drop("came").join(sent, "host", "full").select("host", (F.coalesce("rank", F.lit(0.0)) + came).alias("rank"), came.alias("came")))
+        largest = ranks.agg(F.max(F.col("came") / F.col("rank"))).first()[0] or 0.0
+    total = ranks.agg(F.sum("rank")).first()[0]
+    return ranks.select("host", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
 
 
 def blocked_hosts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -76,3 +76,28 @@ def test_empty_and_repeated(spark):
     assert g.judged(none).count() == 0
     twice = spark.createDataFrame([(1, "http://a.com/en/", "")] * 2 + [(2, "http://a.com/fr/", "")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.verdict) for r in g.judged(twice).collect()) == [(1, "block"), (1, "block"), (2, "block")]
+
+
+def chained(n, bad):
+    """Pages of n hosts, each linking to the next; the last links to a blocked page."""
+    hosts = [f"h{k}.io" for k in range(n)] + [bad]
+    return [(k, f"http://{h}/q", f'<a href="http://{hosts[k + 1]}/">t</a>') for k, h in enumerate(hosts[:-1])] + [(n, f"http://{bad}/en/1", "")]
+
+
+def test_long_chain_is_blocked_to_its_end(spark):
+    rows = chained(36, "bad.com") + [(99, "http://good.net/de/1", '<a href="http://fine.io/">t</a>'), (100, "http://fine.io/q", "")]
+    got = {r.page_id: r.verdict for r in g.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k in range(37) if got[k] != "block"] == []
+    assert got[99] == got[100] == "allow"
+
+
+def test_chain_counts_among_many_seeds(spark):
+    rows = chained(4, "bad.com") + [(100 + k, f"http://s{k}.com/en/{k}", "") for k in range(30_000)]
+    got = {r.page_id: r.verdict for r in g.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id < 100").collect()}
+    assert set(got.values()) == {"block"} and len(got) == 5
+
+
+def test_rank_too_small_for_a_double_still_counts(spark):
+    links = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(3)] + [(f"h{k}", "x", 10**18) for k in range(3)], "source string, target string, n long")
+    ranks = {r.host: r["rank"] for r in g.personalised_rank(links, spark.createDataFrame([("h0", 1e-280), ("y", 1.0)], "host string, weight double")).collect()}
+    assert set(ranks) == {"h0", "h1", "h2", "h3", "x", "y"} and min(ranks.values()) > 0
