@@ -11,6 +11,10 @@ Only line hashes are shuffled for the pairing: a range-partitioned sort gives ev
 an equi-join on places, so a host with a third of all pages costs no more than others. Pages that equal one another in
 id, url and html are aligned once.
 
+A copy would delete a page's whole text. So pages next to one another that share COPIED of their open text form a run, however long, and each
+of its pages is paired with the nearer of the pages before and after the run; if the host has no others, they keep their open lines.
+A passage that a page and its nearest neighbour both quote in the open zone is deleted: nothing in the two pages tells it from boilerplate.
+
 Defined results: null html is empty, and empty or blank html has the text ''; a null url has an empty host and path; a host's only page
 keeps its open lines; of equally near neighbours the one before wins; repeated rows give repeated results; unclosed elements reach to the end; character references
 are decoded once, and a text is joined from its lines by single spaces.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import positioned
+from quillspark.llm.common import least_partitions, positioned, written
 from quillspark.llm.link_graph import host_of, path_of
 
 ARTICLE, MAIN, OPEN, BOILERPLATE = range(4)
+LENGTH_BITS = 12  # of a line's hash; they hold its length
+MOST_LENGTH = (1 << LENGTH_BITS) - 1
+COPIED = 0.85  # share of the open text that two near copies have in common
+PIECE = 1000  # pages of a run of near copies in one row
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -177,6 +186,11 @@ def _key() -> Column:
     return F.xxhash64(F.col("page_id"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
 
 
+def _line_hash(zone: int, text: str) -> int:
+    """52 bits of the text's hash, then its length where it is open (at most 4,095): what pages may lose to a copy."""
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "big", signed=True) >> LENGTH_BITS << LENGTH_BITS | (min(len(text), MOST_LENGTH) if zone == OPEN else 0)
+
+
 def _hashed(pages: DataFrame) -> DataFrame:
     """host, path, key and the hashes of each page's lines."""
     rows = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), _key().alias("key"), "html")
@@ -184,12 +198,26 @@ def _hashed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [[int.from_bytes(xxhash.xxh3_64_digest(t.encode()), "big", signed=True) for _, t in lines(x)] for x in batch.column("html").to_pylist()]
+            hashes = [[_line_hash(zone, t) for zone, t in lines(x)] for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "path", "key")), pa.array(hashes, pa.list_(pa.int64()))], schema.names)
 
     return rows.mapInArrow(run, schema).dropDuplicates(["key"])
 
 
+def near_copies(a: list[int], b: list[int]) -> bool:
+    """Whether both pages share COPIED of their open text, in any order."""
+    least, most = sorted(sum(x & MOST_LENGTH for x in page) for page in (a, b))
+    if not least or least < COPIED * most:
+        return False
+    left = Counter(b)
+    shared = 0
+    for x in a:
+        if left[x] > 0:
+            left[x] -= 1
+            shared += x & MOST_LENGTH
+    return shared >= COPIED * most
+
+
 def _common(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -199,24 +227,56 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _shared(path: str, own: list[int], near: list[tuple[str | None, list[int]]]) -> list[int]:
+    """The numbers of the lines that are shared with the page of the nearest path, of those there are."""
+    pairs = [(_common(path, p), h) for p, h in near if p is not None]
+    bare = lambda page: [x >> LENGTH_BITS for x in page]
+    return shared_lines(bare(own), bare(max(pairs, key=lambda x: x[0])[1])) if pairs else []
+
+
+def _past_copies(placed: DataFrame, copies: DataFrame) -> DataFrame:
+    """key and ``shared`` of the pages in runs of near copies. copies: place, of pages whose next page is a near copy."""
+    runs = positioned(copies, ["place"], "number").groupBy((F.col("place") - F.col("number")).alias("run")).agg(F.min("place").alias("start"), (F.max("place") + 1).alias("end"), F.first("host").alias("host"))
+    for name, place in (("before", F.col("start") - 1), ("after", F.col("end") + 1)):
+        edge = placed.select(F.col("place").alias(f"{name}_place"), F.col("host").alias("of"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(f"{name}_hashes"))
+        runs = runs.join(edge, (place == F.col(f"{name}_place")) & (F.col("host") == F.col("of")), "left").drop("of", f"{name}_place")
+    # a long run is dealt in pieces
+    pieces = runs.drop("host").withColumn("piece", F.explode(F.sequence("start", "end", F.lit(PIECE).cast("bigint")))).repartition(least_partitions(placed.sparkSession), "piece")
+    members = pieces.withColumn("place", F.explode(F.sequence("piece", F.least("end", F.col("piece") + PIECE - 1)))).drop("run", "start", "end", "piece")
+    columns = ["key", "path", "hashes", "before_path", "before_hashes", "after_path", "after_hashes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = [_shared(path, own, [near[:2], near[2:]]) for _, path, own, *near in zip(*(batch.column(c).to_pylist() for c in columns))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(shared, pa.list_(pa.int32()))], ["key", "shared"])
+
+    return members.join(placed, "place").select(*columns).mapInArrow(run, "key long, shared array<int>")
+
+
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """key and ``shared``: the numbers of the lines that a page shares, in order, with the page of its host with the nearest path."""
+    """key and ``shared``: the numbers of the lines that a page shares, in order, with the page of its host with the nearest path, past near copies."""
     placed = positioned(_hashed(pages), ["host", "path", "key"], "place")
     other = lambda name, step: placed.select((F.col("place") + step).alias("place"), F.col("host").alias("of"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(f"{name}_hashes"))
     met = placed
     for name, step in (("before", 1), ("after", -1)):
         met = met.join(other(name, step).withColumnRenamed("place", f"{name}_place").withColumnRenamed("of", f"{name}_of"), (F.col("place") == F.col(f"{name}_place")) & (F.col("host") == F.col(f"{name}_of")), "left")
-    columns = ["key", "path", "hashes", "before_path", "before_hashes", "after_path", "after_hashes"]
+    columns = ["place", "key", "host", "path", "hashes", "before_path", "before_hashes", "after_path", "after_hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = []
-            for _, path, own, *near in zip(*(batch.column(c).to_pylist() for c in columns)):
-                pairs = [(_common(path, p), h) for p, h in (near[:2], near[2:]) if p is not None]
-                shared.append(shared_lines(own, max(pairs, key=lambda x: x[0])[1]) if pairs else [])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(shared, pa.list_(pa.int32()))], ["key", "shared"])
-
-    return met.select(*columns).mapInArrow(run, "key long, shared array<int>")
+            copied, next_copied, shared = [], [], []
+            for _, _, _, path, own, *near in zip(*(batch.column(c).to_pylist() for c in columns)):
+                before, after = (h is not None and near_copies(own, h) for h in (near[1], near[3]))
+                copied.append(before or after)
+                next_copied.append(after)
+                shared.append([] if before or after else _shared(path, own, [near[:2], near[2:]]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "key", "host")), pa.array(copied), pa.array(next_copied), pa.array(shared, pa.list_(pa.int32()))], schema.names)
+
+    schema = T.StructType([*(placed.schema[c] for c in ("place", "key", "host")), T.StructField("copied", T.BooleanType()), T.StructField("next_copied", T.BooleanType()), T.StructField("shared", T.ArrayType(T.IntegerType()))])
+    found = written(met.select(*columns).mapInArrow(run, schema))
+    apart = found.where("not copied").select("key", "shared")
+    copies = found.where("next_copied").select("place", "host")
+    return apart.unionAll(_past_copies(placed, copies)) if copies.limit(1).count() else apart
 
 
 def main_text(found: list[tuple[int, str]], shared: list[int]) -> str:

@@ -98,3 +98,32 @@ def test_whole_table(spark):
         want[r.page_id] = " ".join(" ".join(html.unescape(x) for x in blocks).split())
     got = p.extracted(pages).collect()
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got) and p.extracted(pages.limit(0)).count() == 0
+
+
+def body(k, n=8):
+    return "".join(f"<p>Paragraph {j} of story {k} with words of its own {'xyz'[j % 3] * (k % 7 + 3)}</p>" for j in range(n))
+
+
+def unmarked(k, inner, path, host="u.com"):
+    return (k, f"http://{host}{path}", f"<div>Menu home</div>{inner}<div>All rights</div>")
+
+
+def plain(inner):
+    return " ".join(t for _, t in p.lines(inner))
+
+
+def test_copies_of_unmarked_pages_keep_their_text(spark):
+    near = body(2).replace("Paragraph 3", "Section 3")
+    rows = [unmarked(1, body(1), "/a"), unmarked(2, body(2), "/x"), unmarked(3, body(2), "/x?utm_source=feed"), unmarked(4, body(2), "/x/amp"), unmarked(5, near, "/xa"), unmarked(6, body(6), "/z")]
+    rows += [unmarked(7, body(7), "/only", "v.com"), unmarked(8, body(7), "/only?a=1", "v.com")]
+    got = {r.page_id: r.text for r in p.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {1: body(1), 2: body(2), 3: body(2), 4: body(2), 5: near, 6: body(6)}
+    assert {k: got[k] for k in want} == {k: plain(v) for k, v in want.items()}
+    assert got[7] == got[8] == f"Menu home {plain(body(7))} All rights"
+
+
+def test_long_run_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(p, "PIECE", 7)
+    rows = [unmarked(0, body(1), "/a")] + [unmarked(k, body(2) + f"<p>{k}</p>", f"/x{k:03}") for k in range(1, 40)]
+    got = {r.page_id: r.text for r in p.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {0: plain(body(1))} | {k: f"{plain(body(2))} {k}" for k in range(1, 40)}
