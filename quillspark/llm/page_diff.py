@@ -56,6 +56,8 @@ DROPPED_WORD = re.compile(
     r"|forms?|gdpr|legal|login|masthead|menus?|modal|nav|navbar|navigation|newsletters?|notices?|notifications?|pager|pagination|paywall|popups?|promos?|promoted|promotion"
     r"|reactions|recommended|related|replies|responses|respond|shar(?:e|ing)|sidebars?|signup|social|sponsor\w*|subscri\w*|toolbar|topbar|widgets?"
 )
+#: Whole names of article elements that aren't the page's own.
+ASIDE_NAME = re.compile(r"ads?|advert\w*|comment\w*|comentarios?|kommentare?|promo|promoted|promotion|recommended|related|replies|sponsored")
 #: A name with one of these is of what stands around: with-sidebar, page-wrapper.
 WRAPS = {"has", "with", "without", "no", "container", "layout", "page", "wrap", "wrapper"}
 MAIN_WORDS = ({"article"}, {"post", "body"}, {"post", "content"}, {"entry", "content"}, {"story", "body"}, {"story", "content"})
@@ -73,7 +75,10 @@ def _zone(name: str, attributes: str, zone: int) -> int:
     words = [set(re.findall(r"[a-z0-9]+", x)) for x in named.split()]
     if name == "header" and zone == ARTICLE:
         return zone  # an article's own heading
-    dropped = any(DROPPED_WORD.fullmatch(w) for x in words if not x & WRAPS for w in x)
+    if "article" in (name, role) or "main" in (name, role):  # what a page calls its article may be filed under any word
+        dropped = any(ASIDE_NAME.fullmatch(x) for x in named.split())
+    else:
+        dropped = any(DROPPED_WORD.fullmatch(w) for x in words if not x & WRAPS for w in x)
     if name in DROPPED or role in DROPPED_ROLES or dropped or "hidden" in attributes.split() or given.get("aria-hidden") == "true":
         return BOILERPLATE
     if name == "article" or role == "article":
@@ -279,29 +284,37 @@ def shared_with_nearest(pages: DataFrame) -> DataFrame:
     return apart.unionAll(_past_copies(placed, copies)) if copies.limit(1).count() else apart
 
 
+def marked_text(found: list[tuple[int, str]]) -> str | None:
+    """The lines of articles or those of the main element outside them, whichever are longer; null without any."""
+    marked = [[t for zone, t in found if zone == best] for best in (ARTICLE, MAIN)]
+    return " ".join(max(marked, key=lambda x: sum(map(len, x)))) or None
+
+
 def main_text(found: list[tuple[int, str]], shared: list[int]) -> str:
-    """The article's lines; without any the main element's; without these the open lines that the page doesn't share."""
-    for best in (ARTICLE, MAIN):
-        if kept := [t for zone, t in found if zone == best]:
-            return " ".join(kept)
+    """What extracted() gives for a page: its marked text; without any, the open lines that it doesn't share."""
     deleted = set(shared)
-    return " ".join(t for k, (zone, t) in enumerate(found) if zone == OPEN and k not in deleted)
+    return marked_text(found) or " ".join(t for k, (zone, t) in enumerate(found) if zone == OPEN and k not in deleted)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines and n_shared of every row of pages (page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html", _key().alias("key")).join(shared_with_nearest(pages), "key", "left").drop("key")
-    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chars", "n_lines", "n_shared"))])
+    rows = pages.select("page_id", "url", "html", _key().alias("key"))
+    # texts are shuffled to meet what is shared, not markup; lines (null unless open) only of pages that mark no text
+    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("key", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("marked", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_lines, n_shared = [], [], []
-            for page, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist()):
+            n_lines, marked, open_lines = [], [], []
+            for page in batch.column("html").to_pylist():
                 found = lines(page)
-                texts.append(main_text(found, shared or []))
                 n_lines.append(len(found))
-                n_shared.append(len(shared or []))
-            sizes = [list(map(len, texts)), n_lines, n_shared]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in sizes)], schema.names)
-
-    return rows.mapInArrow(run, schema)
+                marked.append(text := marked_text(found))
+                open_lines.append([t if zone == OPEN else None for zone, t in found] if text is None else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "key")), pa.array(n_lines, pa.int64()), pa.array(marked, pa.string()), pa.array(open_lines, pa.list_(pa.string()))], schema.names)
+
+    met = rows.mapInArrow(run, schema).join(shared_with_nearest(pages), "key", "left")
+    shared = F.coalesce("shared", F.array().cast("array<int>"))
+    places = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.array_join(F.transform(F.array_except(places, shared), lambda k: F.get("lines", k)), " ")  # leaves nulls out
+    text = F.coalesce("marked", own).alias("text")
+    return met.select("page_id", "url", text, "n_lines", F.size(shared).cast("bigint").alias("n_shared")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")

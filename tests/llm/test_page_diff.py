@@ -127,3 +127,19 @@ def test_long_run_of_near_copies(spark, monkeypatch):
     rows = [unmarked(0, body(1), "/a")] + [unmarked(k, body(2) + f"<p>{k}</p>", f"/x{k:03}") for k in range(1, 40)]
     got = {r.page_id: r.text for r in p.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {0: plain(body(1))} | {k: f"{plain(body(2))} {k}" for k in range(1, 40)}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><p>a long body of the page</p><p>and more of it</p><article class=teaser>short</article></main>", "a long body of the page and more of it"),
+        ("<main>On <article><p>a long article of the page</p></article></main>", "a long article of the page"),
+        ("<p>out</p><article class='post category-legal'>yes</article>", "yes"),
+        ("<p>out</p><article class='tag-cookies format-social category-forms'><p>yes</p></article>", "yes"),
+        ("<p>out</p><div role=article class='post social'>yes</div>", "yes"),
+        ("<p>out</p><main class='site-main no-menu tag-legal'>yes</main>", "yes"),
+        ("<p>out</p><article class='comment odd'>no</article><article hidden>no</article>", "out"),
+    ],
+)
+def test_the_longer_of_article_and_main_whatever_its_class(page, want):
+    assert text(page) == want
