@@ -1,12 +1,13 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for everything else.
 
 Native: column expressions only. Every row is scanned on its own, so the plan of the scan has no
-shuffle. The battery takes runs of 20 or more token characters that hold a digit and a letter,
+shuffle. The battery takes runs of 20 or more token characters that hold a letter (24 digits are a fixed pattern, and fewer lack LEAST_BITS),
 infers each one's encoding from the characters used, and tests whether its symbols look drawn at
 random from that alphabet: chi-squared uniformity, runs above and below the middle, and lag-one serial
 correlation, combined by Fisher's method. Tokens that aren't random are the discoveries; the
 Benjamini-Hochberg step holds their false-discovery rate within each length class (powers of
-two), over all documents. What is left undiscovered and has enough symbols is reported as
+two), over all documents. Among many identifiers that step alone would drop one random token in five, so nothing with p over LOSS is dropped,
+whatever the other rows hold. What is left undiscovered and has enough symbols is reported as
 kind ``random`` where it overlaps no span of a fixed pattern.
 
 The step needs the ranks of all p-values. They are counted by length class and twentieth of
@@ -18,6 +19,8 @@ points, ends exclusive; repeated rows and ties are scanned alike; other columns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order in which they are tried: characters allowed, alphabet.
 ENCODINGS = (
@@ -42,6 +45,7 @@ ENCODINGS = (
     ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 FDR = 0.2  # share of random tokens among those called not random
+LOSS = 0.001  # largest p at which a token may be dropped: about the chance that a random one is
 LEAST_BITS = 80  # symbols times bits a symbol that a reported token must have
 LENGTH_CLASSES, P_BINS, BINS_A_DECADE = 32, 400, 20
 
@@ -130,7 +134,7 @@ def _p_bin(p: Column) -> Column:
 
 
 def not_random_from(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
-    """Per length class the least p bin whose tokens are called not random. At most LENGTH_CLASSES entries come to the driver."""
+    """Per length class the least p bin whose tokens are called not random, of those with p up to LOSS. At most LENGTH_CLASSES entries come to the driver."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     token = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("token"))
     tested = token.select(_length_class(F.col("token")).alias("length_class"), battery(F.col("token"))["p"].alias("p"))
@@ -139,7 +143,8 @@ def not_random_from(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -
     ranked = counts.withColumn("rank", F.sum("count").over(w.orderBy(F.desc("p_bin")))).withColumn("m", F.sum("count").over(w))
     # the largest p of bin b is 10 ** (-b / BINS_A_DECADE)
     found = ranked.where(F.pow(F.lit(10.0), -F.col("p_bin") / BINS_A_DECADE) <= fdr * F.col("rank") / F.col("m"))
-    return {r["length_class"]: r["p_bin"] for r in found.groupBy("length_class").agg(F.min("p_bin").alias("p_bin")).collect()}
+    least = math.ceil(-math.log10(LOSS) * BINS_A_DECADE)
+    return {r["length_class"]: max(least, r["p_bin"]) for r in found.groupBy("length_class").agg(F.min("p_bin").alias("p_bin")).collect()}
 
 
 def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", limits: dict[int, int] | None = None) -> DataFrame:

@@ -77,3 +77,15 @@ def test_native_and_empty(spark):
 def test_overlaps_are_covered_once(spark):
     rows = spark.createDataFrame([("abcdefghij",)], "text string").withColumn("spans", F.expr("array(struct(1L as start, 0 as kind, 5L as end), struct(3L as start, 2 as kind, 4L as end), struct(4L as start, 2 as kind, 7L as end))"))
     assert rows.select(s.redacted(F.col("text"), F.col("spans"), "#")).first()[0] == "a#hij"
+
+
+def test_random_tokens_are_kept_among_many_identifiers(spark):
+    rnd = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    made = {"base64": (upper + lower + digits + "+/", 40), "base62": (upper + lower + digits, 32), "base32": (upper + "234567", 32), "letters": (upper + lower, 24)}
+    rows = [(f"{kind} {k}", "".join(rnd.choice(letters) for _ in range(n))) for kind, (letters, n) in made.items() for k in range(500)]
+    words = "the old name of table in parts and half with user order item total count value first last index cache".split()
+    rows += [(f"name {k}", "_".join(rnd.choice(words) for _ in range(9))[: rnd.choice((24, 32, 40))] + str(k)) for k in range(12_000)]
+    got = s.report(spark.createDataFrame(rows, "doc_id string, text string")).where("spans like 'random:0:%'").selectExpr("split(doc_id, ' ')[0] as kind").groupBy("kind").count()
+    found = {r.kind: r["count"] for r in got.collect()}
+    assert all(found.get(kind, 0) >= 490 for kind in made), found
