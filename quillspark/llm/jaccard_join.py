@@ -163,14 +163,14 @@ def _base(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
             keys, sizes, points, fine, tokens, salted = [], [], [], [], [], []
             if len(seen) > 100_000:
                 seen.clear()
-            for s in shingled(batch.column("text").to_pylist()):
+            for s, known in zip(shingled(batch.column("text").to_pylist()), batch.column("doc_id").is_valid().to_pylist()):
                 keys.append(key := _key(s))
                 counts = _fine(s)
                 points.append(counts.reshape(GROUPS, -1).sum(1))
                 fine.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 sizes.append(len(s))
                 first = none
-                if key not in seen:
+                if known and key not in seen:  # rows without an id link nothing
                     seen.add(key)
                     bucket = _buckets(s)
                     order = np.argsort((rank[bucket].astype(np.uint64) << np.uint64(64 - ORDER_BITS)) | (s >> np.uint64(ORDER_BITS)), kind="stable")

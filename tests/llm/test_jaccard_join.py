@@ -106,3 +106,10 @@ def test_fine_points_bound_the_shared(spark):
         x, y = (np.minimum(j._fine(np.array(sorted(s), np.uint64)), 255).astype(np.uint8).tobytes() for s in (a, b))
         assert j._least_minima(x, y) == j._least_minima(y, x) >= len(a & b)
     assert j._least_minima(bytes([255] + [0] * 31), bytes([1] * 32)) > 1 << 40
+
+
+def test_a_row_without_id_before_its_copy_hides_no_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "something else of more than five words")]
+    got = {r.doc_id: r.component_id for r in j.linked(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 3}
