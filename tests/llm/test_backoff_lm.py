@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillspark.llm import backoff_lm as b
@@ -58,3 +59,8 @@ def test_the_corpus_is_shuffled_once(spark):
     plan.write.format("noop").mode("overwrite").save()
     plan.collect()
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_that_agree_in_40_bits_are_apart():
+    keys = np.sort(np.array([5 << 40, (5 << 40) + (1 << 18), 7 << 50], np.uint64))
+    assert len(np.unique(np.cumsum(b._differences(keys, 0)))) == 3
