@@ -12,9 +12,9 @@ any fixed order. The order puts rare hash buckets first, counted over all docume
 2. Write doc_id, set key, size, point and first shingles of each document. Equal sets share a key from here on.
 3. Within a shared shingle, pair each set with the one that meets most sets anywhere; verify each set's best such
    partner; components of these links. A group of near copies costs one pair a member.
-4. Where a shingle still joins different components, bound pairs of points by their minima; where it joins more than SMALL sets,
-   deal them into leaves of about LEAF points, compare points with the other leaf's box first, and with its points if that may pass,
-   in few coordinates, then in many. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
+4. Where a shingle still joins different components, bound pairs of points by their minima. Shingles of more than SMALL sets are merged into
+   buckets with much the same sets, so that a pair meets about once; a bucket's points are packed into an R-tree by size and place, whose boxes are met
+   level by level before points are, first in few coordinates, then in many. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
 
 A shingle bucket with over HOT documents is salted in step 3, with a second level over the salts' own centers.
 
@@ -25,16 +25,18 @@ repeated rows are repeated in the result; extra columns are left out. Shingles a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, forget, texts, written
+from quillspark.llm.common import cut, forget, least_partitions, positioned, texts, written
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -42,7 +44,8 @@ GROUPS = 32  # of the points in boxes
 PER_GROUP = 2  # shingles in a group of the points that are compared in pairs, about
 ORDER_BITS = 20
 ORDER_BUCKETS, ORDER_PARTS = 1 << ORDER_BITS, 64
-LEAF, SMALL = 128, 16
+LEAF, FAN, SMALL = 128, 32, 16
+BAND = 1.05  # sizes of points that are sorted by their coordinates alone
 HOT = 200_000
 BROADCAST_ROWS = 1_000_000  # ids; 16 MB at most
 
@@ -104,7 +107,7 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 
 def _bucket_counts(docs: DataFrame) -> np.ndarray:
     """Documents' shingles in each order bucket. A task sends one vector in ORDER_PARTS parts; ORDER_BUCKETS sums, 8 MB, come to the driver."""
-    schema = "part int, counts binary"
+    schema = "part int, task int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_BUCKETS, np.int64)
@@ -112,13 +115,18 @@ def _bucket_counts(docs: DataFrame) -> np.ndarray:
             sets = shingled(batch.column("text").to_pylist())
             for k in range(0, len(sets), 500):
                 counts += np.bincount(_buckets(np.concatenate(sets[k : k + 500])), minlength=ORDER_BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(ORDER_PARTS), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(ORDER_PARTS, -1)], pa.binary())], ["part", "counts"])
+        _codes.clear()
+        task = pa.array([TaskContext.get().partitionId()] * ORDER_PARTS, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(range(ORDER_PARTS), pa.int32()), task, pa.array([x.tobytes() for x in counts.reshape(ORDER_PARTS, -1)], pa.binary())], ["part", "task", "counts"])
 
     def added(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+        return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
-    found = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(added, schema).collect()
+    sums = docs.select("text").mapInArrow(run, schema)
+    for fan in (1 << 8, 1 << 16, 1 << 32):  # 256 vectors are added at once
+        sums = sums.groupBy("part", F.floor(F.col("task") / fan).alias("of")).applyInArrow(added, schema)
+    found = sums.select("part", "counts").collect()
     counts = np.zeros((ORDER_PARTS, ORDER_BUCKETS // ORDER_PARTS), np.int64)
     for r in found:
         counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
@@ -182,6 +190,7 @@ def _base(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
             flat = np.concatenate([none, *tokens]).view(np.int64)
             pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(np.concatenate([np.zeros(0, np.int64), *salted]).astype(np.int32))], ["token", "salt"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema.names)
+        _codes.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -202,6 +211,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [(key, s) for key, s in zip(batch.column("key").to_pylist(), shingled(batch.column("text").to_pylist())) if _key(s) == key]
             keys, sets = [k for k, _ in found], [s.view(np.int64) for _, s in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "n", "shingles"])
+        _codes.clear()
 
     return rows.mapInArrow(run, "key long, n long, shingles array<long>")
 
@@ -222,7 +232,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bo
 def _first_partners(shared: DataFrame, points: DataFrame) -> DataFrame:
     """For each key the pair that may link with the center of a bucket that it meets most often; salted buckets have a second level."""
     heads = shared.where("salt > 0").select("token", F.col("center").alias("key")).distinct()
-    heads = heads.withColumn("center", F.min("key").over(Window.partitionBy("token")))
+    heads = heads.join(heads.groupBy("token").agg(F.min("key").alias("center")), "token")
     pairs = shared.select("key", "center").unionAll(heads.select("key", "center")).where("key <> center").groupBy(F.col("center").alias("a"), F.col("key").alias("b")).count()
     best = _close(pairs, points).groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     return best.select("a", "b")
@@ -239,65 +249,103 @@ def _near(a_low: str, a_high: str, b_low: str, b_high: str) -> Column:
 
 
 def _across(shared: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of different components that share a first shingle and may link by their points."""
+    """Pairs of different components that share a first shingle and may link by their points.
+
+    Shingles with more than SMALL sets are merged into one bucket where their sets have the same member with the least hash: near copies share
+    dozens of first shingles, all with much the same sets, and shall meet once or twice, not dozens of times.
+    """
     known = cut(points.select("key", "n").join(labels, points.key == labels.node, "left").select("key", "n", F.coalesce("component", "key").alias("component")))
-    bucket = Window.partitionBy("token")
-    placed = shared.select("token", "key").join(_small(known), "key")
-    placed = placed.select("*", F.min("component").over(bucket).alias("least"), F.max("component").over(bucket).alias("most"), F.count("*").over(bucket).alias("size"))
-    mixed = written(placed.where("least <> most").drop("least", "most"))
+    placed = written(shared.select("token", "key").join(_small(known), "key"))
+    buckets = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("bucket"))
+    mixed = written(placed.join(_small(buckets.where("least <> most").select("token", "size", "bucket")), "token"))
     side = lambda df, c, names: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in names))
-    # buckets of SMALL sets or less: every pair of points
+    # shingles of SMALL sets or less: every pair of points
     few, names = mixed.where(F.col("size") <= SMALL), ("key", "n", "component")
     met = side(few, "a", names).join(side(few, "b", names), "token").where((F.col("a_component") < F.col("b_component")) & _near("a_n", "a_n", "b_n", "b_n"))
-    pair = lambda df: df.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
-    large = _leaves_met(mixed.where(F.col("size") > SMALL), points)
-    return _close(pair(met).unionAll(large).distinct(), points).select("a", "b")
+    pair = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    large = _tree_met(mixed.where(F.col("size") > SMALL).select("bucket", *names).distinct(), points)
+    return _close(pair, points).select("a", "b").unionAll(large).distinct()
+
+
+def _box(point: str) -> Column:
+    """The greatest of each coordinate."""
+    return F.array(*(F.max(F.get(F.col(point), F.lit(g))) for g in range(GROUPS)))
+
 
+def _boxes_met(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of nodes (a_id, b_id, with their buckets) that may hold a pair of points that may link: of others with others, once, and with those of the commonest component."""
+    columns = ("bucket", "other", "id", "low", "high", "box", *[c for c in by if c != "bucket"])
+    one, two = (df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns)) for s, df in (("a", a.where("other")), ("b", b)))
+    minima = sum((F.least(F.get("a_box", F.lit(g)), F.get("b_box", F.lit(g))) for g in range(GROUPS)), F.lit(0))
+    once = ~F.col("b_other") | (F.col("a_id") <= F.col("b_id"))
+    return one.join(two, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]).where(once & _near("a_low", "a_high", "b_low", "b_high") & (9 * minima >= 4 * (F.col("a_low") + F.col("b_low"))))
 
-def _leaves_met(members: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs a, b of different components whose points may link, of large buckets (token, key, n, component).
 
-    The members of a bucket's commonest component and all others are dealt into leaves of about LEAF points. Leaves of others meet one another and
-    those of the commonest; its own leaves don't meet. A task has two leaves: their boxes are compared with points, then points with points.
+def _tree_met(members: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs a, b of different components whose points may link, of large buckets (bucket, key, n, component).
+
+    A packed R-tree: within a bucket the members of its commonest component and all others are sorted by size and coordinates; LEAF neighbours
+    make a leaf, and leaves of FAN times as many points a node. Nodes of others meet one another and those of the commonest
+    component by their boxes, which don't meet among themselves; then the leaves of nodes that may hold a pair do; then the points of leaves that may.
     """
-    common = members.groupBy("token").agg(F.mode("component", True).alias("common"))
-    sized = members.join(common, "token").withColumn("other", F.col("component") != F.col("common"))
-    sizes = sized.groupBy("token").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(c) / LEAF)).cast("int").alias(x) for x, c in (("others", F.col("other")), ("commons", ~F.col("other")))))
-    placed = sized.join(sizes, "token").join(points.select("key", "point", "fine"), "key")
-    leaf = F.pmod(F.xxhash64("key"), F.when(F.col("other"), F.col("others")).otherwise(F.col("commons"))).cast("int")
-    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    numbers = lambda n: F.sequence(F.lit(0), n - 1)
-    tasks = F.when(
-        F.col("other"),
-        F.concat(
-            F.transform(numbers(F.col("others")), lambda j: task("others", F.least(j, F.col("leaf")), F.greatest(j, F.col("leaf")))),
-            F.transform(numbers(F.col("commons")), lambda j: task("common", F.col("leaf"), j)),
-        ),
-    ).otherwise(F.transform(numbers(F.col("others")), lambda i: task("common", i, F.col("leaf"))))
-    dealt = placed.withColumn("leaf", leaf).select("token", "key", "n", "component", "point", "fine", "other", "leaf", F.explode(tasks).alias("task"))
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, sizes_, component, leaf_ = (table.column(c).to_numpy() for c in ("key", "n", "component", "leaf"))
-        fine = table.column("fine").to_pylist()
-        place = table.column("point").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
-        one = table.column("task")[0].as_py()
-        first = table.column("other").to_numpy() if one["kind"] == "common" else leaf_ == one["i"]
-        second = ~first if one["kind"] == "common" else leaf_ == one["j"]
-        x, y = np.flatnonzero(first), np.flatnonzero(second)
-        if len(x) and len(y):  # points against the other leaf's box
-            x = x[9 * np.minimum(place[x], place[y].max(0)).sum(1) >= 4 * (sizes_[x] + sizes_[y].min())]
-        if len(x) and len(y):
-            y = y[9 * np.minimum(place[y], place[x].max(0)).sum(1) >= 4 * (sizes_[y] + sizes_[x].min())]
-        out = []
-        for k in x:
-            near = y[(component[y] != component[k]) & (5 * np.minimum(sizes_[y], sizes_[k]) >= 4 * np.maximum(sizes_[y], sizes_[k]))]
-            near = near[9 * np.minimum(place[near], place[k]).sum(1) >= 4 * (sizes_[near] + sizes_[k])]
-            near = near[[9 * _least_minima(fine[k], fine[m]) >= 4 * (sizes_[m] + sizes_[k]) for m in near]] if len(near) else near
-            out.append(np.stack([np.minimum(keys[near], keys[k]), np.maximum(keys[near], keys[k])]))
-        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return dealt.groupBy("token", "task").applyInArrow(run, "a long, b long")
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
+    common = counts.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("common"))
+    sized = members.join(_small(common), "bucket").select("bucket", (F.col("component") != F.col("common")).alias("other"), F.floor(F.log(F.col("n")) / math.log(BAND)).alias("band"), "key", "n", "component")
+    placed = positioned(sized.join(points.select("key", "point", "fine"), "key"), ["bucket", "other", "band", "point", "key"], "place")
+    place = lambda n: F.floor(F.col("place") / n)
+    rows = F.collect_list(F.struct("key", "n", "component", "point", "fine")).alias("rows")
+    leaves = written(placed.groupBy("bucket", "other", place(LEAF * FAN).alias("node"), place(LEAF).alias("leaf")).agg(F.min("place").alias("id"), F.min("n").alias("low"), F.max("n").alias("high"), _box("point").alias("box"), rows))
+    nodes = cut(leaves.groupBy("bucket", "other", "node").agg(F.min("id").alias("id"), F.min("low").alias("low"), F.max("high").alias("high"), _box("box").alias("box")))
+    near = _boxes_met(nodes, nodes, ["bucket"]).select("a_bucket", "a_id", "b_id")
+    of_node = F.min("id").over(Window.partitionBy("bucket", "other", "node"))
+    index = cut(leaves.select("bucket", "other", "id", "low", "high", "box", of_node.alias("of")))  # FAN rows a window
+    sides = [index.withColumnRenamed("of", "via").join(near.select(F.col("a_bucket").alias("bucket"), F.col(f"{c}_id").alias("via"), F.struct("a_id", "b_id").alias("pair")), ["bucket", "via"]) for c in ("a", "b")]
+    leaf_pairs = cut(_boxes_met(sides[0], sides[1], ["bucket", "pair"]).select("a_id", "b_id").distinct())
+    whole = lambda c: leaves.select(F.col("id").alias(f"{c}_id"), F.col("rows").alias(f"{c}_rows"))
+    met = leaf_pairs.join(whole("a"), "a_id").join(whole("b"), "b_id").repartition(least_partitions(members.sparkSession), "a_id", "b_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = _Rows(batch.column("a_rows")), _Rows(batch.column("b_rows"))
+            same = [x == y for x, y in zip(batch.column("a_id").to_pylist(), batch.column("b_id").to_pylist())]
+            found = [np.zeros((2, 0), np.int64), *(_points_met(one.of(k), two.of(k), same[k]) for k in range(len(same)))]
+            a, b = np.concatenate(found, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+class _Rows:
+    """The points of leaves: one leaf a row."""
+
+    def __init__(self, column: pa.ListArray):
+        values = column.flatten()
+        self.ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+        self.keys, self.n, self.component = (values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "component"))
+        self.point = values.field("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
+        self.fine = values.field("fine")
+
+    def of(self, k: int) -> tuple:
+        at = slice(self.ends[k], self.ends[k + 1])
+        return self.keys[at], self.n[at], self.component[at], self.point[at], self.fine[at]
+
+
+def _points_met(a: tuple, b: tuple, same: bool) -> np.ndarray:
+    """The keys of pairs of points that may link; same: both are one leaf."""
+    (a_key, a_n, a_component, a_point, a_fine), (b_key, b_n, b_component, b_point, b_fine) = a, b
+    x = np.flatnonzero(9 * np.minimum(a_point, b_point.max(0)).sum(1) >= 4 * (a_n + b_n.min()))
+    y = np.flatnonzero(9 * np.minimum(b_point, a_point.max(0)).sum(1) >= 4 * (b_n + a_n.min()))
+    n, m = a_n[x][:, None], b_n[y][None]
+    may = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (a_component[x][:, None] != b_component[y][None])
+    if same:
+        may &= x[:, None] < y[None]
+    i, j = np.nonzero(may)
+    i, j = x[i], y[j]
+    near = 9 * np.minimum(a_point[i], b_point[j]).sum(1) >= 4 * (a_n[i] + b_n[j])
+    i, j = i[near], j[near]
+    fine_a, fine_b = {k: a_fine[k].as_py() for k in set(i.tolist())}, {k: b_fine[k].as_py() for k in set(j.tolist())}
+    keep = np.array([9 * _least_minima(fine_a[k], fine_b[m]) >= 4 * (a_n[k] + b_n[m]) for k, m in zip(i.tolist(), j.tolist())], bool)
+    return np.stack([a_key[i[keep]], b_key[j[keep]]])
 
 
 def _close(pairs: DataFrame, points: DataFrame) -> DataFrame:

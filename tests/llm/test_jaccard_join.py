@@ -61,6 +61,32 @@ def test_as_brute_force(spark, hot):
     assert got == brute(rows)
 
 
+def test_as_brute_force_through_all_levels_of_the_tree(spark, monkeypatch):
+    for name, value in (("LEAF", 3), ("FAN", 2), ("SMALL", 2)):
+        monkeypatch.setattr(j, name, value)
+    rows = corpus()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in j.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == brute(rows)
+
+
+def test_the_tree_meets_each_pair_once(spark, monkeypatch):
+    """Against all pairs of points of different components."""
+    monkeypatch.setattr(j, "LEAF", 5)
+    monkeypatch.setattr(j, "FAN", 2)
+    rnd = random.Random(7)
+    base, points, members = [rnd.getrandbits(64) for _ in range(200)], [], []
+    import numpy as np
+
+    for k in range(120):
+        s = np.array(sorted({x for x in base if rnd.random() > k / 900} | {rnd.getrandbits(64) for _ in range(rnd.randint(0, 20))}), np.uint64)
+        fine = j._fine(s)
+        points.append((k, k, len(s), fine.reshape(j.GROUPS, -1).sum(1).tolist(), bytes(np.minimum(fine, 255).astype(np.uint8).tobytes())))
+        members.append((k % 2, k, len(s), 0 if k < 60 else k))
+    want = sorted((a[0], b[0]) for a in points for b in points if a[0] < b[0] and members[a[0]][0] == members[b[0]][0] and members[a[0]][3] != members[b[0]][3] and min(a[2], b[2]) * 5 >= 4 * max(a[2], b[2]) and 9 * j._least_minima(a[4], b[4]) >= 4 * (a[2] + b[2]))
+    got = j._tree_met(spark.createDataFrame(members, "bucket long, key long, n long, component long"), spark.createDataFrame(points, "key long, doc_id long, n long, point array<int>, fine binary"))
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, k, "s") for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long, shingles string")
