@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A piece (one match of the split pattern) is cut in halves down to short leaves. Leaves are
+A piece (one match of the split pattern) that isn't a token itself is cut in halves down to leaves of LEAF bytes. Leaves are
 encoded by lowest-rank merges; neighbours are joined by re-encoding a window around the seam
 that grows until it provably stops mattering. The proof rests on a property of BPE: a token
 sequence is the encoding of its bytes exactly if each adjacent pair of tokens is the encoding
@@ -10,7 +10,7 @@ encode to themselves. Decoding concatenates the tokens' bytes up the same kind o
 Defined results: null text counts as empty; empty text has no tokens; ids are packed as
 little-endian unsigned 32-bit integers in a binary column (``ids_as_array`` unpacks them).
 Rows are independent, so repeated rows, ties and skewed sources need nothing special, and the
-plan has no shuffle.
+plan has no shuffle. A worker remembers what pieces, and short halves of them, encode to.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF = 24  # bytes of a leaf of the tree
-CACHE = 250_000  # pieces a worker remembers before it starts anew
+LEAF = 4  # bytes of a leaf of the tree
+SHORT = 6  # bytes of halves and windows that recur often enough to be remembered
+PIECES, HALVES = 250_000, 60_000  # that a worker remembers before it starts anew
 
 
 class ByteBpe:
@@ -37,8 +38,10 @@ class ByteBpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pieces = _Pieces(self)
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pieces = _Pieces(self.piece)
+        self.windows: dict[bytes, list[bytes]] = {}
+        self.trees: dict[bytes, list[bytes]] = {}
+        self.seams = 0  # joined so far
 
     def merged(self, data: bytes) -> list[bytes]:
         """Encoding of data from scratch: merge the lowest rank, leftmost first, until none is left."""
@@ -86,29 +89,47 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def stable(self, a: bytes, b: bytes) -> bool:
-        """Whether the two tokens stay two tokens beside each other."""
-        known = self.pairs.get((a, b))
+    def window(self, data: bytes) -> list[bytes]:
+        """merged(), remembered if data is short."""
+        if len(data) > SHORT:
+            return self.merged(data)
+        known = self.windows.get(data)
         if known is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            if len(self.windows) >= HALVES:
+                self.windows.clear()
+            known = self.windows[data] = self.merged(data)
         return known
 
+    def stable(self, a: bytes, b: bytes) -> bool:
+        """Whether the two tokens stay two tokens beside each other."""
+        both = self.window(a + b)
+        return len(both) == 2 and len(both[0]) == len(a)
+
     def joined(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+        self.seams += 1
+        if self.stable(left[-1], right[0]):
+            return left + right
         k = 1
         while True:
             low, high = max(0, len(left) - k), min(len(right), k)
-            window = self.merged(b"".join(left[low:] + right[:high]))
+            window = self.window(b"".join(left[low:] + right[:high]))
             if (not low or self.stable(left[low - 1], window[0])) and (high == len(right) or self.stable(window[-1], right[high])):
                 return left[:low] + window + right[high:]
             k *= 2
 
     def tree(self, data: bytes) -> list[bytes]:
-        if len(data) <= LEAF:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.joined(self.tree(data[:half]), self.tree(data[half:]))
+        n = len(data)
+        if n <= LEAF:
+            return self.window(data)
+        half = n // 2
+        if n > SHORT:
+            return self.joined(self.tree(data[:half]), self.tree(data[half:]))
+        known = self.trees.get(data)
+        if known is None:
+            if len(self.trees) >= HALVES:
+                self.trees.clear()
+            known = self.trees[data] = self.joined(self.tree(data[:half]), self.tree(data[half:]))
+        return known
 
     def piece(self, text: str) -> bytes:
         data = text.encode()
@@ -137,13 +158,13 @@ _NO = 1 << 62
 class _Pieces(dict):
     """Encodings of pieces seen lately."""
 
-    def __init__(self, bpe: ByteBpe):
-        self.bpe = bpe
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.bpe.piece(text)
+        ids = self.encode(text)
         if len(text) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= PIECES:
                 self.clear()
             self[text] = ids
         return ids
@@ -154,11 +175,12 @@ _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 def load(path: str, pattern: str) -> ByteBpe:
     """The encoder of a rank file; a worker process reads the file once."""
-    if (path, pattern) not in _loaded:
+    key = path, pattern
+    if key not in _loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
-        _loaded[path, pattern] = ByteBpe(ranks, pattern)
-    return _loaded[path, pattern]
+        _loaded[key] = ByteBpe(ranks, pattern)
+    return _loaded[key]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -200,10 +222,27 @@ def ids_as_array(ids):
     return F.when(n >= 1, some).otherwise(F.array().cast("array<bigint>"))
 
 
+def transcoded(df: DataFrame, path: str, pattern: str, text_col: str = "text", give: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """df without its text and with what to give of: packed ``ids``, the bytes that they are ``decoded`` to, and whether those are the text's (``exact``). One worker does all."""
+    kinds = {"ids": (T.BinaryType(), pa.binary()), "decoded": (T.BinaryType(), pa.binary()), "exact": (T.BooleanType(), pa.bool_())}
+    kept = [f for f in df.schema if f.name != text_col and f.name not in give]
+    schema = T.StructType([*kept, *(T.StructField(n, kinds[n][0]) for n in give)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(text_col).to_pylist()]
+            ids = [bpe.encode(x) for x in texts]
+            decoded = [bpe.decode(x) for x in ids]
+            found = {"ids": ids, "decoded": decoded, "exact": [x.encode() == y for x, y in zip(texts, decoded)]}
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(found[n], kinds[n][1]) for n in give)], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: n_tokens and the digests of its ids and of the bytes they decode to."""
-    both = decode(encode(docs, path, pattern).select("doc_id", "ids"), path, pattern)
-    return both.select(
+    """Per document (doc_id, text): n_tokens and the digests of its ids and of the bytes they decode to."""
+    return transcoded(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -69,6 +69,27 @@ def test_round_trip_of_a_table(spark, library):
     assert arrays == library.encode_ordinary("Hello  world") and encoded.where("doc_id = 2").select(byte_bpe.ids_as_array(encoded.ids)).first()[0] == []
 
 
+def test_pieces_of_the_table_go_through_the_tree(spark, library):
+    """Of the pieces that aren't tokens and have more bytes than a leaf all are joined over seams, and the whole table's ids are the library's."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    own = byte_bpe.ByteBpe(byte_bpe.load(PATH, public_tokenizers.PATTERN).ranks, public_tokenizers.PATTERN)
+    missed = {x.encode() for _, t in docs for x in own.pattern.findall(t)} - set(own.ranks)
+    split = []
+    for x in missed:
+        own.trees.clear()
+        own.seams = 0
+        assert own.tree(x) == own.merged(x)
+        split.append(own.seams > 0)
+    assert len(missed) > 10_000 and sum(split) == sum(len(x) > byte_bpe.LEAF for x in missed) > 0.9 * len(missed)
+    import hashlib
+
+    got = {r.doc_id: r for r in byte_bpe.round_trip(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), PATH, public_tokenizers.PATTERN).collect()}
+    for i, text in docs:
+        ids = library.encode_ordinary(text)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.round_trip(none, PATH, public_tokenizers.PATTERN).collect() == []
