@@ -41,9 +41,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: packed ids of every text, their number, and whether they decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(texts(docs), path, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(ids, path, public_tokenizers.PATTERN)
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.encode("text", "UTF-8")).alias("exact"))
+    found = byte_bpe.transcoded(texts(docs), path, public_tokenizers.PATTERN, give=("ids", "exact"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "exact")
 
 
 STAGES: list[tuple[str, Stage]] = [
