@@ -47,7 +47,7 @@ ORDER_BUCKETS, ORDER_PARTS = 1 << ORDER_BITS, 64
 LEAF, FAN, SMALL = 128, 32, 16
 BAND = 1.05  # sizes of points that are sorted by their coordinates alone
 HOT = 200_000
-BROADCAST_ROWS = 1_000_000  # ids; 16 MB at most
+BROADCAST_ROWS = 200_000  # of a few numbers; some 20 MB at most
 
 
 class _Codes(dict):
@@ -220,7 +220,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bo
     """The pairs a, b whose sets link."""
     pairs = written(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    stored = written(_sets(docs, points.join(keys, "key").select("doc_id", "key")))
+    stored = written(_sets(docs, cut(points.join(keys, "key").select("doc_id", "key"))))
     sets = stored.dropDuplicates(["key"]) if repeated else stored
     side = lambda c: sets.select(*(F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "shingles")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_key")).join(side("b"), F.col("b") == F.col("b_key"))
