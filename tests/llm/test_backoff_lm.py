@@ -33,8 +33,11 @@ def brute(rows, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("sizes", [(b.BLOCK_CHARS, b.PART_CHARS), (700, 900)], ids=["one block", "many"])
-def test_as_brute_force(spark, order, sizes):
+@pytest.mark.parametrize("sizes", [(b.BLOCK_CHARS, b.PART_CHARS, 8, 256), (700, 900, 8, 256), (20, 150, 2, 3)], ids=["one block", "many", "levels"])
+def test_as_brute_force(spark, monkeypatch, order, sizes):
+    *sizes, fan_bits, fan = sizes
+    monkeypatch.setattr(b, "FAN_BITS", fan_bits)
+    monkeypatch.setattr(b, "FAN", fan)
     docs = spark.createDataFrame([(i, t, "x", 7) for i, t in ROWS], "doc_id long, text string, block string, n_tokens int")
     got = sorted((str(r.doc_id), r.n_tokens, r.log_score, r.mean_log_score) for r in b.scored(docs, order, *sizes).collect())
     want = brute(ROWS, order)
@@ -63,4 +66,21 @@ def test_the_corpus_is_shuffled_once(spark):
 
 def test_hashes_that_agree_in_40_bits_are_apart():
     keys = np.sort(np.array([5 << 40, (5 << 40) + (1 << 18), 7 << 50], np.uint64))
-    assert len(np.unique(np.cumsum(b._differences(keys, 0)))) == 3
+    assert len(np.unique(b._kept(keys, 0, b.KEPT_BITS))) == 3
+
+
+def test_runs_grow_with_the_blocks(spark, monkeypatch):
+    """Twice the blocks and twice the partitions make twice the runs at each level."""
+    monkeypatch.setattr(b, "FAN_BITS", 2)
+    monkeypatch.setattr(b, "FAN", 4)
+    n_rows = []
+    for n in (64, 128):
+        docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i * i) % 997}" for i in range(40))) for k in range(n)], "doc_id long, text string").repartition(4)
+        runs = b._runs(b._blocks(docs, 150), 3, 2, 56)
+        n_rows.append(runs.count())
+    assert n_rows[1] <= 2.2 * n_rows[0] <= 2.2 * 64 * 3 * 4
+
+
+def test_a_block_with_other_rows_is_an_error():
+    with pytest.raises(RuntimeError, match="another order"):
+        b._whole([b._packed(np.array([1, 2]))], 3)
