@@ -8,7 +8,8 @@ correlation, combined by Fisher's method. Tokens that aren't random are the disc
 Benjamini-Hochberg step holds their false-discovery rate within each length class (powers of
 two), over all documents. Among many identifiers that step alone would drop one random token in five, so nothing with p over LOSS is dropped,
 whatever the other rows hold. What is left undiscovered and has enough symbols is reported as
-kind ``random`` where it overlaps no span of a fixed pattern.
+kind ``random`` where it overlaps no span of a fixed pattern. So the rate is controlled on the side of what is dropped: of the tokens dropped as not random few are random. The reported
+ones have no such bound, as a test can't prove that a token is random; some are names.
 
 The step needs the ranks of all p-values. They are counted by length class and twentieth of
 a decade, at most LENGTH_CLASSES * P_BINS counts however large the corpus, so no rows meet in one task.
@@ -20,6 +21,7 @@ points, ends exclusive; repeated rows and ties are scanned alike; other columns
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,23 +50,46 @@ FDR = 0.2  # share of random tokens among those called not random
 LOSS = 0.001  # largest p at which a token may be dropped: about the chance that a random one is
 LEAST_BITS = 80  # symbols times bits a symbol that a reported token must have
 LENGTH_CLASSES, P_BINS, BINS_A_DECADE = 32, 400, 20
+STEPS, CHUNK = 128, 4096  # values of a running sum, and characters of a text, that are handled together
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each of values (array<bigint>) what step makes of first and all values before it. An array grows by copying, so this goes piece by piece."""
+
+    def grown(piece: Column, start: Column) -> Column:
+        acc = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(piece, acc, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def pieced(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.size(v), F.lit(STEPS)), lambda k: F.slice(v, k, STEPS))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    start = F.lit(first).cast("bigint")
+    ends = lambda pieces: F.transform(pieces, lambda piece: F.aggregate(piece, start, step))
+    return _let(values, lambda v: _let(pieced(v), lambda pieces: F.flatten(F.zip_with(pieces, grown(ends(pieces), start), grown))))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """array<struct<start, kind, end, match>> of the matches of a pattern."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     long = lambda c: F.length(c).cast("bigint")
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"), (keep if keep is not None else F.transform(found, lambda _: F.lit(True))).alias("keep"))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,found:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + long(x["gap"])
-        end = start + F.coalesce(long(x["found"]), F.lit(0))
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found")))
-        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["found"])), x["found"], lambda gap, found: long(gap) + long(found))
 
-    all_of = F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), all_of).otherwise(none)
+        def span(before: Column, i: Column) -> Column:
+            start = before + long(F.get(x["gaps"], i))
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + long(F.get(x["found"], i))).alias("end"), F.get(x["found"], i).alias("found"))
+
+        all_of = F.transform(_running(lengths, lambda a, b: a + b, 0), span)
+        return all_of if keep is None else F.filter(all_of, lambda _, i: F.get(x["keep"], i))
+
+    given = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), *([] if keep is None else [keep.alias("keep")]))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,found:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(given, placed)).otherwise(none)
 
 
 def _encoding(s: Column) -> tuple[Column, Column]:
@@ -160,13 +185,29 @@ def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", limits: di
     for length_class, p_bin in sorted(limits.items()):
         limit = (lambda rest, c, b: lambda s: F.when(_length_class(s) == c, F.lit(b)).otherwise(rest(s) if callable(rest) else rest))(limit, length_class, p_bin)
 
-    def stays(x: Column) -> Column:
-        apart = F.forall("base", lambda b: (b["end"] <= x["start"]) | (b["start"] >= x["end"]))
-        tested = F.transform(F.array(battery(x["found"])), lambda t: F.coalesce((t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < (limit(x["found"]) if callable(limit) else limit)), F.lit(False)))
-        return apart & F.element_at(tested, 1)
+    def random(x: Column) -> Column:
+        tested = _let(battery(x["found"]), lambda t: (t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < (limit(x["found"]) if callable(limit) else limit)))
+        return F.coalesce(tested, F.lit(False))
+
+    more = F.when(F.size("candidates") > 0, bare(F.filter(_apart(F.col("base"), F.col("candidates")), random))).otherwise(bare(F.col("candidates")))
+    return based.select("kept", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
-    more = F.when(F.size("candidates") > 0, F.filter("candidates", stays)).otherwise(F.col("candidates"))
-    return based.select("kept", "text", "base", F.array_sort(F.concat("base", bare(more))).alias("spans"))
+
+def _apart(base: Column, candidates: Column) -> Column:
+    """The candidates that overlap no span of base: among both by start, no earlier base span ends after theirs starts, and no later one starts before theirs ends."""
+    late = 1 << 62
+    given = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("").alias("found")))
+    ends = lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0).cast("bigint"))
+    starts = lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(late))
+
+    def free(both: Column) -> Column:
+        around = F.struct(
+            _running(F.transform(both, ends), lambda a, b: F.greatest(a, b), 0).alias("before"),
+            F.reverse(_running(F.reverse(F.transform(both, starts)), lambda a, b: F.least(a, b), late)).alias("after"),
+        )
+        return _let(around, lambda n: F.filter(both, lambda x, i: (x["kind"] == 3) & (F.get(n["before"], i) <= x["start"]) & (F.get(n["after"], i) >= x["end"])))
+
+    return F.when(F.size(base) > 0, _let(F.array_sort(F.concat(given, candidates)), free)).otherwise(candidates)
 
 
 def as_text(spans: Column) -> Column:
@@ -177,14 +218,20 @@ def as_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with each stretch that spans cover replaced by mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    chunks = F.when(F.length(text) > CHUNK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(text))
+    ends = _running(F.concat(F.transform(spans, lambda x: x["end"]), F.array(F.length(text).cast("bigint"))), lambda a, b: F.greatest(a, b), 0)
+    given = F.struct(chunks.alias("chunks"), ends.alias("ends"), spans.alias("spans"), F.length(text).cast("bigint").alias("size"))
+
+    def done(x: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:  # counted from the chunk's start, not from the text's
+            first = F.floor(a / CHUNK).cast("int")
+            some = F.slice(x["chunks"], first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1)
+            return F.when(b > a, F.substring(F.array_join(some, ""), (a - first * CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
+        parts = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= F.get(x["ends"], i), F.concat(between(F.get(x["ends"], i), s["start"]), F.lit(mark))))
+        return F.concat(F.array_join(parts, ""), between(F.element_at(x["ends"], -1), x["size"]))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(given, done)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

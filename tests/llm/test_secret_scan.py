@@ -89,3 +89,78 @@ def test_random_tokens_are_kept_among_many_identifiers(spark):
     got = s.report(spark.createDataFrame(rows, "doc_id string, text string")).where("spans like 'random:0:%'").selectExpr("split(doc_id, ' ')[0] as kind").groupBy("kind").count()
     found = {r.kind: r["count"] for r in got.collect()}
     assert all(found.get(kind, 0) >= 490 for kind in made), found
+
+
+def test_battery_as_written_out(spark):
+    import math
+
+    alphabets = {"hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    rnd = random.Random(3)
+    tokens = ["".join(rnd.choice(a) for _ in range(rnd.randint(20, 90))) for a in alphabets.values() for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaaaa", "abababababababababababab", "0123456789abcdefghijklmnopqrstuvwxyz"]
+
+    def p_of(token):
+        letters = next(a for n, a in (("hex", alphabets["hex"]), ("base32", alphabets["base32"]), ("base36", alphabets["base36"]), ("base62", alphabets["base62"])) if set(token) <= set(a))
+        at, k, n = [letters.index(c) for c in token], len(letters), len(token)
+        chi = sum((token.count(c) - n / k) ** 2 / (n / k) for c in letters)
+        # mean and spread of chi-squared of a multinomial
+        z = [(chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)]
+        high = [v >= k / 2 for v in at]
+        a, b = sum(high), n - sum(high)
+        runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+        spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        z.append((runs - 2 * a * b / n - 1) / math.sqrt(spread) if spread > 0 else 12.0)
+        mean = sum(at) / n
+        around = sum((v - mean) ** 2 for v in at)
+        z.append((sum((x - mean) * (y - mean) for x, y in zip(at, at[1:])) / around + 1 / n) * math.sqrt(n) if around else 12.0)
+        # both tails of a normal, by the logistic approximation; Fisher's sum has 6 degrees of freedom
+        tails = [2 / (1 + math.exp(1.5976 * min(abs(x), 12) + 0.07056 * min(abs(x), 12) ** 3)) for x in z]
+        assert all(abs(t - math.erfc(min(abs(x), 12) / math.sqrt(2))) < 3e-4 for t, x in zip(tails, z))
+        half = -sum(map(math.log, tails))
+        return math.exp(-half) * (1 + half + half * half / 2)
+
+    got = {r.t: r.p for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", s.battery(F.col("t"))["p"].alias("p")).collect()}
+    for t in tokens:
+        assert math.isclose(got[t], p_of(t), rel_tol=1e-6, abs_tol=1e-12), t
+
+
+def test_benjamini_hochberg_as_written_out(spark):
+    import math
+
+    rnd = random.Random(9)
+    tokens = ["".join(rnd.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(150)] + [f"the_old_table_name_of_part_{k}_and_some_more_words" for k in range(100, 250)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(tokens)], "doc_id long, text string")
+    rows = docs.select(F.length("text").alias("n"), s.battery(F.col("text"))["p"].alias("p")).collect()
+    want = {}
+    for c in {int(math.log2(r.n)) for r in rows}:
+        # p-values are counted by bins, each taken at its largest p
+        bins = sorted((min(math.floor(-math.log10(max(r.p, 1e-30)) * s.BINS_A_DECADE), s.P_BINS - 1) for r in rows if int(math.log2(r.n)) == c), reverse=True)
+        passed = [b for k, b in enumerate(bins) if (k + 1 == len(bins) or bins[k + 1] != b) and 10 ** (-b / s.BINS_A_DECADE) <= s.FDR * (k + 1) / len(bins)]
+        if passed:
+            want[c] = max(min(passed), math.ceil(-math.log10(s.LOSS) * s.BINS_A_DECADE))
+    assert want and s.not_random_from(docs) == want
+
+
+def test_long_texts_of_many_secrets(spark):
+    """Thousands of matches in one text, beside random tokens and overlapping kinds."""
+    import time
+
+    parts = [f"password: hunter{k} é token=0641917ea4e9feb9cda83477b57ac2654884{k:04} word Zm9vYmFyQmF6cXV4MTIzNDU2Nzg5MA{k} " for k in range(4000)]
+    text = "".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (r,) = s.report(docs).collect()
+    (redacted,) = s.without_secrets(docs).collect()
+    took = time.perf_counter() - began
+    want = spans(text)
+    assert [x for x in r.spans.split(",") if not x.startswith("random")] == [f"{n}:{a}:{b}" for a, _, b, n in want]
+    assert redacted.text.count("[SECRET]") >= 8000 and "hunter" not in redacted.text and "0641917" not in redacted.text
+    assert len(text) > 400_000 and took < 60, took
+
+
+def test_candidates_beside_base_spans(spark):
+    rnd = random.Random(2)
+    base = [(a, rnd.randrange(3), a + rnd.randint(1, 9)) for a in sorted(rnd.sample(range(2000), 300))]
+    cands = [(a, 3, a + rnd.randint(1, 4), "x") for a in sorted(rnd.sample(range(2000), 300))]
+    df = spark.createDataFrame([(base, cands)], "base array<struct<start:bigint,kind:int,end:bigint>>, c array<struct<start:bigint,kind:int,end:bigint,found:string>>")
+    got = [(x.start, x.end) for x in df.select(s._apart(F.col("base"), F.col("c")).alias("x")).first().x]
+    assert got == [(a, b) for a, _, b, _ in cands if all(e <= a or t >= b for t, _, e in base)]
