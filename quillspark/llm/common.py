@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import cut, shared_dir, with_package
 
-__all__ = ["cut", "forget", "least_partitions", "positioned", "read", "same", "shared_dir", "small_batches", "texts", "written"]
+__all__ = ["cut", "forget", "least_partitions", "let", "positioned", "read", "running", "same", "shared_dir", "small_batches", "texts", "written"]
+
+
+STEPS = 128  # values of a running sum that are handled together
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long, so Python workers get no more than 1,000 of them at once. Workers of this machine find this package."""
+    """Texts may be long, so Python workers get no more than BATCH_ROWS of them, or some BATCH_BYTES, at once, unless the session says otherwise. Workers of this machine find this package."""
     with_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, default, ours in (("Records", "10000", BATCH_ROWS), ("Bytes", "-1", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if spark.conf.get(key, default) in (default, str((1 << 31) - 1), "2147483647b"):
+            spark.conf.set(key, str(ours))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,14 +59,35 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def positioned(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """df, written, with each row's place (from 0) in the order of the columns by.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each of values (array<bigint>) what step makes of first and all values before it. An array grows by copying, so this goes piece by piece."""
+
+    def grown(piece: Column, start: Column) -> Column:
+        acc = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(piece, acc, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def pieced(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.size(v), F.lit(STEPS)), lambda k: F.slice(v, k, STEPS))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    start = F.lit(first).cast("bigint")
+    ends = lambda pieces: F.transform(pieces, lambda piece: F.aggregate(piece, start, step))
+    return let(values, lambda v: let(pieced(v), lambda pieces: F.flatten(F.zip_with(pieces, grown(ends(pieces), start), grown))))
+
+
+def positioned(df: DataFrame, by: list[str], name: str, part: str | None = None) -> DataFrame:
+    """df, written, with each row's place (from 0) in the order of the columns by, and the number of its partition if a name for it is given.
 
     A range-partitioned sort gives places within partitions; the partitions' sizes, a row each, are summed up and broadcast.
     """
     at = written(df.repartitionByRange(least_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned(name, 33)
-    sizes = at.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
-    starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
-    placed = at.withColumn("part", part).join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.col(name).bitwiseAND((1 << 33) - 1))
-    return placed.drop("part", "start")
+    own = part or "part"
+    number = F.shiftrightunsigned(name, 33)
+    sizes = at.groupBy(number.alias(own)).agg(F.count("*").alias("size"))
+    starts = sizes.select(own, (F.sum("size").over(Window.orderBy(own)) - F.col("size")).alias("start"))
+    placed = at.withColumn(own, number).join(F.broadcast(starts), own).withColumn(name, F.col("start") + F.col(name).bitwiseAND((1 << 33) - 1))
+    return placed.drop("start", *([] if part else [own]))

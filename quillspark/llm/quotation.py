@@ -6,8 +6,9 @@ and joined within their conversation to the earliest message that says the same
 the latest message that its least nested linked passage leads to; roots and depths follow from parents by pointer
 doubling. The result has one row a message, without quotes, in reply order: by root, then by turn.
 
-A conversation may hold any share of the rows: joins are keyed by conversation and hash, or by conversation and turn, minima
-are combined before the shuffle, and places come from a range-partitioned sort. Nothing gathers a conversation.
+A conversation may hold any share of the rows: joins are keyed by conversation and hash, by conversation and turn, or by conversation and
+sorted partition; minima are combined before the shuffle, and places come from a range-partitioned sort. Nothing gathers a conversation. Answers to one
+message meet it in one key, which Spark's skew join splits where there are very many.
 
 Defined results: null text counts as empty; messages without linked quotes have no parent and are their own root at depth
 0; with null conv_id or turn they link to nothing and come first; repeated rows are all kept, and count once as an
@@ -19,36 +20,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, positioned, same
+from quillspark.llm.common import cut, let, positioned, running, same
 
 LEAST_WORDS = 3  # of a line that is looked up by itself
 ROUNDS = 40  # of pointer doubling; enough for 2 ** 40 nested replies
 MARK = r"^[ \t]*((?:>[ \t]*)+)"
-#: Lines that introduce a quote and aren't the writer's words.
+#: Lines that introduce the quote below them and aren't the writer's words.
 INTRODUCES = r"(?i)^(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:$"
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<level, body>>."""
+    """array<struct<level, body, intro>>. A line introduces a quote only if the next line that isn't blank is quoted."""
     marks = lambda line: F.regexp_extract(line, MARK, 1)
     level = lambda line: F.length(marks(line)) - F.length(F.replace(marks(line), F.lit(">"), F.lit("")))
-    return F.transform(F.split(text, "\r?\n"), lambda line: F.struct(level(line).alias("level"), F.trim(F.regexp_replace(line, MARK, "")).alias("body")))
+    split = F.transform(F.split(text, "\r?\n"), lambda line: F.struct(level(line).alias("level"), F.trim(F.regexp_replace(line, MARK, "")).alias("body")))
+
+    def introduced(lines: Column) -> Column:
+        given = F.struct(
+            F.filter(F.transform(lines, lambda x, i: F.when(x["body"] != "", i)), lambda i: i.isNotNull()).alias("said"),  # numbers of lines that aren't blank
+            running(F.transform(lines, lambda x: (x["body"] != "").cast("bigint")), lambda a, b: a + b, 0).alias("rank"),
+        )
+
+        def marked(n: Column) -> Column:
+            after = lambda i: F.get(lines, F.get(n["said"], (F.get(n["rank"], i) + 1).cast("int")))
+            intro = lambda x, i: F.when(F.regexp_like(x["body"], F.lit(INTRODUCES)), F.coalesce(after(i)["level"] > 0, F.lit(False))).otherwise(F.lit(False))
+            return F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), intro(x, i).alias("intro")))
+
+        return let(given, marked)
+
+    # without a > nothing is quoted, so nothing is introduced
+    plain = lambda lines: F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.lit(False).alias("intro")))
+    return F.when(F.contains(text, F.lit(">")), let(split, introduced)).otherwise(plain(split))
 
 
 def _runs(lines: Column) -> Column:
     """array<struct<level, start, stop>> of neighbouring lines of a level; blank lines and introductions are in none."""
-    none = F.array().cast("array<struct<level:int,start:int,stop:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("level"), F.lit(0).alias("start"), none.alias("out"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["level"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["level"].alias("level"), acc["start"].alias("start"), acc["at"].alias("stop"))))).otherwise(acc["out"])
+    levels = F.transform(lines, lambda x: F.when((x["body"] == "") | x["intro"], F.lit(-1)).otherwise(x["level"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        level = F.when((x["body"] == "") | F.regexp_like(x["body"], F.lit(INTRODUCES)), F.lit(-1)).otherwise(x["level"])
-        goes_on = level == acc["level"]
-        return F.struct((acc["at"] + 1).alias("at"), level.alias("level"), F.when(goes_on, acc["start"]).otherwise(acc["at"]).alias("start"), F.when(goes_on, acc["out"]).otherwise(closed(acc)).alias("out"))
+    def runs(level: Column) -> Column:
+        starts = F.filter(F.transform(level, lambda x, i: F.when((i == 0) | (x != F.get(level, i - 1)), i)), lambda i: i.isNotNull())
+        made = lambda at: F.transform(at, lambda i, k: F.struct(F.get(level, i).alias("level"), i.alias("start"), F.coalesce(F.get(at, k + 1), F.size(level)).alias("stop")))
+        return F.filter(let(starts, made), lambda r: r["level"] >= 0)
 
-    return F.aggregate(lines, start, step, closed)
+    return let(levels, runs)
 
 
 def _normal(text: Column) -> Column:
@@ -63,7 +77,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, lines, runs, and own: what the message says itself, trimmed."""
     rows = messages.select("conv_id", "turn", "role", _lines(F.coalesce("text", F.lit(""))).alias("lines"))
     rows = rows.withColumn("runs", _runs(F.col("lines")))
-    mine = F.filter("lines", lambda x: (x["level"] == 0) & ~F.regexp_like(x["body"], F.lit(INTRODUCES)))
+    mine = F.filter("lines", lambda x: (x["level"] == 0) & ~x["intro"])
     return rows.withColumn("own", F.regexp_replace(F.array_join(F.transform(mine, lambda x: x["body"]), "\n"), r"^\s+|\s+$", ""))
 
 
@@ -113,7 +127,9 @@ def threads(messages: DataFrame) -> DataFrame:
     full = own.join(tree, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "text"
     )
-    placed = positioned(full, ["conv_id", "root_turn", "turn", "role", "text"], "place")
-    first = placed.groupBy("conv_id").agg(F.min("place").alias("first")).withColumnRenamed("conv_id", "of")
-    out = placed.join(first, same(F.col("conv_id"), F.col("of"))).withColumn("position", F.col("place") - F.col("first"))
+    placed = positioned(full, ["conv_id", "root_turn", "turn", "role", "text"], "place", "part")
+    # a conversation's first place, told to each partition that it runs through, so that none of its rows need to meet
+    parts = placed.groupBy("conv_id", "part").agg(F.min("place").alias("least"))
+    first = parts.groupBy("conv_id").agg(F.min("least").alias("first"), F.collect_set("part").alias("parts")).select(F.col("conv_id").alias("of"), "first", F.explode("parts").alias("in"))
+    out = placed.join(first, same(F.col("conv_id"), F.col("of")) & (F.col("part") == F.col("in"))).withColumn("position", F.col("place") - F.col("first"))
     return out.select("conv_id", "turn", "role", "position", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked", "text")

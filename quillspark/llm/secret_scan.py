@@ -21,11 +21,12 @@ points, ends exclusive; repeated rows and ties are scanned alike; other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let, running
+
 # The patterns that the scan's contract names, with the least length of a match (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -50,27 +51,7 @@ FDR = 0.2  # share of random tokens among those called not random
 LOSS = 0.001  # largest p at which a token may be dropped: about the chance that a random one is
 LEAST_BITS = 80  # symbols times bits a symbol that a reported token must have
 LENGTH_CLASSES, P_BINS, BINS_A_DECADE = 32, 400, 20
-STEPS, CHUNK = 128, 4096  # values of a running sum, and characters of a text, that are handled together
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _running(values: Column, step: Callable[[Column, Column], Column], first: int) -> Column:
-    """For each of values (array<bigint>) what step makes of first and all values before it. An array grows by copying, so this goes piece by piece."""
-
-    def grown(piece: Column, start: Column) -> Column:
-        acc = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(piece, acc, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
-    def pieced(v: Column) -> Column:
-        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.size(v), F.lit(STEPS)), lambda k: F.slice(v, k, STEPS))).otherwise(F.array().cast("array<array<bigint>>"))
-
-    start = F.lit(first).cast("bigint")
-    ends = lambda pieces: F.transform(pieces, lambda piece: F.aggregate(piece, start, step))
-    return _let(values, lambda v: _let(pieced(v), lambda pieces: F.flatten(F.zip_with(pieces, grown(ends(pieces), start), grown))))
+CHUNK = 4096  # characters of a text that are handled together
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
@@ -84,12 +65,12 @@ def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) ->
             start = before + long(F.get(x["gaps"], i))
             return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + long(F.get(x["found"], i))).alias("end"), F.get(x["found"], i).alias("found"))
 
-        all_of = F.transform(_running(lengths, lambda a, b: a + b, 0), span)
+        all_of = F.transform(running(lengths, lambda a, b: a + b, 0), span)
         return all_of if keep is None else F.filter(all_of, lambda _, i: F.get(x["keep"], i))
 
     given = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), *([] if keep is None else [keep.alias("keep")]))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,found:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(given, placed)).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(given, placed)).otherwise(none)
 
 
 def _encoding(s: Column) -> tuple[Column, Column]:
@@ -186,7 +167,7 @@ def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", limits: di
         limit = (lambda rest, c, b: lambda s: F.when(_length_class(s) == c, F.lit(b)).otherwise(rest(s) if callable(rest) else rest))(limit, length_class, p_bin)
 
     def random(x: Column) -> Column:
-        tested = _let(battery(x["found"]), lambda t: (t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < (limit(x["found"]) if callable(limit) else limit)))
+        tested = let(battery(x["found"]), lambda t: (t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < (limit(x["found"]) if callable(limit) else limit)))
         return F.coalesce(tested, F.lit(False))
 
     more = F.when(F.size("candidates") > 0, bare(F.filter(_apart(F.col("base"), F.col("candidates")), random))).otherwise(bare(F.col("candidates")))
@@ -202,12 +183,12 @@ def _apart(base: Column, candidates: Column) -> Column:
 
     def free(both: Column) -> Column:
         around = F.struct(
-            _running(F.transform(both, ends), lambda a, b: F.greatest(a, b), 0).alias("before"),
-            F.reverse(_running(F.reverse(F.transform(both, starts)), lambda a, b: F.least(a, b), late)).alias("after"),
+            running(F.transform(both, ends), lambda a, b: F.greatest(a, b), 0).alias("before"),
+            F.reverse(running(F.reverse(F.transform(both, starts)), lambda a, b: F.least(a, b), late)).alias("after"),
         )
-        return _let(around, lambda n: F.filter(both, lambda x, i: (x["kind"] == 3) & (F.get(n["before"], i) <= x["start"]) & (F.get(n["after"], i) >= x["end"])))
+        return let(around, lambda n: F.filter(both, lambda x, i: (x["kind"] == 3) & (F.get(n["before"], i) <= x["start"]) & (F.get(n["after"], i) >= x["end"])))
 
-    return F.when(F.size(base) > 0, _let(F.array_sort(F.concat(given, candidates)), free)).otherwise(candidates)
+    return F.when(F.size(base) > 0, let(F.array_sort(F.concat(given, candidates)), free)).otherwise(candidates)
 
 
 def as_text(spans: Column) -> Column:
@@ -219,7 +200,7 @@ def as_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with each stretch that spans cover replaced by mark."""
     chunks = F.when(F.length(text) > CHUNK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(text))
-    ends = _running(F.concat(F.transform(spans, lambda x: x["end"]), F.array(F.length(text).cast("bigint"))), lambda a, b: F.greatest(a, b), 0)
+    ends = running(F.concat(F.transform(spans, lambda x: x["end"]), F.array(F.length(text).cast("bigint"))), lambda a, b: F.greatest(a, b), 0)
     given = F.struct(chunks.alias("chunks"), ends.alias("ends"), spans.alias("spans"), F.length(text).cast("bigint").alias("size"))
 
     def done(x: Column) -> Column:
@@ -231,7 +212,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         parts = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= F.get(x["ends"], i), F.concat(between(F.get(x["ends"], i), s["start"]), F.lit(mark))))
         return F.concat(F.array_join(parts, ""), between(F.element_at(x["ends"], -1), x["size"]))
 
-    return F.when(F.size(spans) > 0, _let(given, done)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(given, done)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

@@ -15,15 +15,17 @@ def read(text):
     for line in re.split("\r?\n", text or ""):
         m = re.match(r"[ \t]*((?:>[ \t]*)+)", line)
         lines.append((m[1].count(">") if m else 0, (line[m.end() :] if m else line).strip(" ")))
+    after = lambda k: next((n for n, b in lines[k + 1 :] if b), 0)
+    intro = {k for k, (_, b) in enumerate(lines) if INTRODUCES.search(b) and after(k) > 0}
     runs, last = [], None
-    for level, body in lines:
-        level = None if not body or INTRODUCES.search(body) else level
+    for k, (level, body) in enumerate(lines):
+        level = None if not body or k in intro else level
         if level is not None and level == last:
             runs[-1][1].append(body)
         elif level is not None:
             runs.append((level, [body]))
         last = level
-    own = "\n".join(b for n, b in lines if n == 0 and not INTRODUCES.search(b)).strip()
+    own = "\n".join(b for k, (n, b) in enumerate(lines) if n == 0 and k not in intro).strip()
     units = [(0, n, normal(" ".join(b))) for n, b in runs] + [(1, n, normal(b)) for n, b in lines if len(normal(b).split(" ")) >= q.LEAST_WORDS]
     return own, runs, [u for u in units if u[2]]
 
@@ -50,6 +52,9 @@ def brute(rows):
 
 
 ROWS = [
+    (4, 0, "user", "On balance I wrote:\nnothing much of note"),
+    (4, 1, "user", "On Sunday, Y wrote:\n\n\n> nothing much of note\nOn second thought he wrote:\n\nstill nothing of note"),
+    (4, 2, "user", "> still nothing of note\n\n\n> nothing much of note\n>> deep words of old\n> > deep words of old\nOn Monday Z wrote:"),
     (1, 0, "user", "Hello there my friend.\nHow are you doing today?"),
     (1, 1, "assistant", "On Monday, X wrote:\n> Hello there my friend.\n> How are you doing today?\nI am fine, thanks a lot."),
     (1, 2, "user", "> > Hello there my friend.\n> I am fine, thanks a lot.\n\nGreat to hear that."),
@@ -104,3 +109,16 @@ def test_table_empty_table_and_native_plan(spark):
     assert q.threads(table.limit(0)).count() == 0
     plan = q.threads(table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_messages(spark):
+    """Tens of thousands of lines and passages in one message."""
+    import time
+
+    lines = [f"{'> ' * (k % 3)}line number {k} of this message" if k % 7 else "" for k in range(30_000)]
+    rows = [(1, 0, "u", "\n".join(x.lstrip("> ") for x in lines)), (1, 1, "u", "\n".join(lines)), (1, 2, "u", "On 1 May X wrote:\n" * 5000 + "> x")]
+    began = time.perf_counter()
+    got = sorted(q.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.turn)
+    took = time.perf_counter() - began
+    assert [r.parent_turn for r in got] == [None, 0, None] and got[1].n_quotes == len([1 for n, _ in read(rows[1][3])[1] if n]) and got[2].text.count("\n") == 4998
+    assert took < 60, took
