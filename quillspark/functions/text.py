@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,16 @@ def number_in(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit("")).try_cast("decimal(38,10)")
 
 
+def decimal_in(value: Column, precision: int, scale: int) -> Column:
+    """A number as decimal(precision, scale), rounded half away from zero; null if it doesn't fit. The range is tested first: a try_cast that fails throws and catches."""
+    kind = f"decimal({precision},{scale})"
+    if precision > 20:  # a limit that a decimal can't hold
+        return value.try_cast(kind)
+    return F.when(F.abs(value) < F.lit(Decimal(10) ** (precision - scale) - Decimal(5).scaleb(-scale - 1)), value.cast(kind))
+
+
 def percent_in(value: Column) -> Column:
-    """A float as decimal(5,2); null if it doesn't fit. The range is tested first: a try_cast that fails throws and catches."""
-    return F.when(F.abs(value) < 999.995, value.cast("decimal(5,2)"))
+    return decimal_in(value, 5, 2)
 
 
 def name_key(value: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.functions.text import fitted, too_long
+from quillspark.functions.text import decimal_in, fitted, too_long
 from quillspark.operators.numbering import numbered
 from quillspark.schema import TABLES, key_of
 
@@ -27,9 +28,19 @@ def with_defaults(rows: DataFrame, table: str) -> DataFrame:
 
 
 def typed(rows: DataFrame, table: str) -> DataFrame:
-    """Columns cast as declared; what doesn't fit raises under ANSI mode. Spaces beyond a varchar's limit are cut."""
+    """Columns cast as declared; what doesn't fit raises. Spaces beyond a varchar's limit are cut."""
     fields = {f.name: f for f in TABLES[table]}
-    cast = lambda c: fitted(F.col(c).cast("string"), fields[c].limit) if fields[c].limit else F.col(c).cast(fields[c].type)
+
+    def cast(c: str) -> Column:
+        if fields[c].limit:
+            return fitted(F.col(c).cast("string"), fields[c].limit)
+        if isinstance(kind := fields[c].type, T.DecimalType):
+            value = F.col(c).cast("decimal(38,10)") if isinstance(rows.schema[c].dataType, (T.StringType, T.NullType)) else F.col(c)
+            fit = decimal_in(value, kind.precision, kind.scale)
+            lost = F.raise_error(F.concat(F.lit(f"{table}.{c} out of range: "), F.col(c).cast("string"))).cast(fields[c].type)
+            return F.when(F.col(c).isNull() | fit.isNotNull(), fit).otherwise(lost)
+        return F.col(c).cast(fields[c].type)
+
     return rows.select(*(cast(c).alias(c) for c in rows.columns if c in fields))
 
 

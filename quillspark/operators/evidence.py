@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, page_text
+from quillspark.operators.numbering import numbered
 
 
 def page_rows(docs: DataFrame, key: str, items: str) -> DataFrame:
@@ -51,21 +52,33 @@ def rollup(records: DataFrame, by: list[str], value: str) -> DataFrame:
     return records.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("greatest"))
 
 
-def lineage(claims: DataFrame, evidence: DataFrame, records: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """claim_id down to document_id, one row a claim."""
+def lineage(claims: DataFrame, evidence: DataFrame, records: DataFrame, pages: DataFrame, documents: DataFrame, entities: DataFrame) -> DataFrame:
+    """claim_id down to document_id, one row a claim, with the record's entity and the number of the page that the evidence names, null where there is none."""
+    source = pages.select(F.col("page_id").alias("source_page_id"), F.col("page_number").alias("source_page_number"))
     return (
         claims.select("claim_id", "evidence_id")
         .join(evidence.select("evidence_id", "record_id", "source_page_id"), "evidence_id")
         .join(records.select("record_id", "page_id", "entity_id"), "record_id")
         .join(pages.select("page_id", "document_id", "page_number"), "page_id")
         .join(documents.select("document_id", "document_name"), "document_id")
+        .join(entities.select("entity_id", "canonical_name"), "entity_id", "left")
+        .join(source, "source_page_id", "left")
     )
 
 
+def confidence(rows: DataFrame, value: str, low: float) -> DataFrame:
+    """n, low and median of a column, one row: how many values there are, how many under low, and the mean of the middle one or two. Values are placed by a range-partitioned sort."""
+    known = rows.select(F.col(value).alias("v")).where("v is not null")
+    placed = numbered(known, [F.col("v")], "pos")
+    n = placed.count()
+    middle = F.col("pos").isin((n + 1) // 2, (n + 2) // 2)
+    return placed.agg(F.count("*").alias("n"), F.count_if(F.col("v") < low).alias("low"), F.avg(F.when(middle, F.col("v"))).alias("median"))
+
+
 def conflicts(items: DataFrame, key: str, same: list[str], value: str) -> DataFrame:
     """a_id < b_id of items that agree on the columns same (none null) and differ in value.
 
-    Values, not items, are paired where all of a group agrees: groups with one value never reach the join.
+    Groups with one value never reach the join. The result is pairs, so a group of many values makes many; Spark's skew join splits a large one.
     """
     several = items.groupBy(*same).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high").select(*same)
     split = items.select(key, *same, value).join(several, same, "left_semi")

@@ -1,7 +1,7 @@
 """The document library: list, add and upload documents, delete them, and say whether it is there.
 
-A writer at a time. An upload writes its pages before its documents, and readers come to pages through documents, so a
-failed upload shows nothing.
+A writer at a time. An upload writes its pages, then which file becomes which document, then its documents; readers come to pages through
+documents, so a failed upload shows nothing. New keys are above all that any row of a failed one refers to, so what it left behind never joins a later document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import page_text
 from quillspark.operators.constraints import Violation, checked, with_defaults, with_ids
 from quillspark.operators.deletes import after_delete
-from quillspark.schema import TABLES
+from quillspark.schema import TABLES, key_of, references
 from quillspark.session import cut
 from quillspark.sources import pdf
 from quillspark.sources.tables import append, read
@@ -22,6 +22,9 @@ UPLOAD_ORGANIZATION = "Ministry of Coal"
 UPLOAD_PERIOD = "March 2025"
 UPLOAD_TYPE = "Monthly Statistical Report"
 
+LEDGER, LEDGER_SCHEMA = "_uploads", "path string, document_id int"
+REQUEST = "document_name string, source_organization string, reporting_period string, document_type string"
+
 
 def newest_first(documents: DataFrame, at: str = "uploaded_at", key: str = "document_id") -> DataFrame:
     """All rows, latest first, unknown times before all; the greater key first among equals."""
@@ -39,6 +42,23 @@ class Library:
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.root, name)
 
+    def _taken(self, table: str) -> DataFrame:
+        """Keys of a table that are used, be it by rows that refer to one that was never written."""
+        key = key_of(table)
+        found = self.table(table).select(key)
+        for child, f in references():
+            if f.parent == table:
+                found = found.unionByName(self.table(child).select(F.col(f.name).alias(key)))
+        return found.unionByName(self.ledger().select(key)) if table == "documents" else found
+
+    def ledger(self) -> DataFrame:
+        """path, document_id of all files whose upload was begun."""
+        return read(self.spark, self.root, LEDGER, LEDGER_SCHEMA)
+
+    def uploaded(self) -> DataFrame:
+        """path of the files whose upload was ended."""
+        return self.ledger().join(self.table("documents").select("document_id"), "document_id", "left_semi").select("path").distinct()
+
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
@@ -51,14 +71,17 @@ class Library:
         rows = rows.select(*(c for c in rows.columns if c in known))
         filled = cut(with_defaults(rows, table))  # the clock is read once
         parents = {f.parent: self.table(f.parent) for f in TABLES[table] if f.parent}
-        new = cut(with_ids(checked(filled, table, parents), table, self.table(table)))
+        new = cut(with_ids(checked(filled, table, parents), table, self._taken(table)))
         append(new, self.root, table)
         return new
 
     def add_document(self, document_name: str | None = None, source_organization: str | None = None, reporting_period: str | None = None, document_type: str | None = None) -> DataFrame:
         given = (document_name, source_organization, reporting_period, document_type)
-        names = "document_name string, source_organization string, reporting_period string, document_type string"
-        return self.add("documents", self.spark.createDataFrame([given], names))
+        return self.add("documents", self.spark.createDataFrame([given], REQUEST))
+
+    def add_requests(self, bodies: DataFrame) -> DataFrame:
+        """Add a document for each JSON object in the column body; other fields are ignored, missing ones are null, and a body that is no object breaks a rule."""
+        return self.add("documents", bodies.select(F.from_json("body", REQUEST).alias("x")).select("x.*"))
 
     def upload(self, path: str) -> DataFrame:
         """document_id, document_name, pages_detected of each PDF under path. An unreadable file fails the whole upload."""
@@ -73,15 +96,16 @@ class Library:
         fixed = {"source_organization": UPLOAD_ORGANIZATION, "reporting_period": UPLOAD_PERIOD, "document_type": UPLOAD_TYPE}
         rows = found.select("path", "pages", F.col("name").alias("document_name"), *(F.lit(v).alias(k) for k, v in fixed.items()))
         checked(rows, "documents", {})
-        numbered = with_ids(rows, "documents", self.table("documents"), ["document_name", "path"])
+        numbered = cut(with_ids(rows, "documents", self._taken("documents"), ["document_name", "path"]))
         documents = cut(with_defaults(numbered, "documents").join(numbered.select("document_id", "pages"), "document_id"))
         pages = documents.select("document_id", F.posexplode("pages").alias("at", "items"))
         pages = pages.select("document_id", (F.col("at") + 1).alias("page_number"), page_text(F.col("items")).alias("extracted_text"))
         broken = pages.where(F.contains("extracted_text", F.lit("\0"))).limit(1).count()
         if broken:
             raise Violation("document_pages.extracted_text: zero character")
-        append(with_ids(pages, "document_pages", self.table("document_pages"), ["document_id", "page_number"]), self.root, "document_pages")
-        append(documents, self.root, "documents")
+        append(with_ids(pages, "document_pages", self._taken("document_pages"), ["document_id", "page_number"]), self.root, "document_pages")
+        append(numbered.select("path", "document_id"), self.root, LEDGER, LEDGER_SCHEMA)
+        append(documents.coalesce(1), self.root, "documents")  # one file, there or not
         return documents.select("document_id", "document_name", F.size("pages").alias("pages_detected"))
 
     def without_documents(self, ids: DataFrame) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
-from quillspark.operators import constraints, evidence
+from quillspark.operators import constraints, deletes, evidence
 from quillspark.operators.numbering import numbered
 from quillspark.sources.tables import as_json
 
@@ -110,16 +110,24 @@ def decimal_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_orderkey, count(*) n from lineitem where l_orderkey in (select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')) group by 1")
 def cascade_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(gone, "o_custkey", "left_semi")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """Customers stand for documents, orders for their pages, lines for records on them."""
+    tables = {
+        "documents": read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id")),
+        "document_pages": read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("document_id")),
+        "extracted_records": read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_orderkey").alias("page_id")),
+    }
+    gone = deletes.victims(tables, "documents", read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"))
+    return gone["extracted_records"].groupBy(F.col("record_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
 
 
-@query("select o_orderkey from orders semi join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F'")
+@query("select 'evidence_items' \"table\", 'record_id' \"column\", l_orderkey * 100 + l_linenumber id from lineitem semi join (select * from orders where o_orderstatus = 'F') x on l_orderkey = o_orderkey")
 def delete_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    return gone.join(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    """Orders stand for records, lines for evidence that refers to them."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderstatus")
+    evidence_items = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("record_id"))
+    tables = {"extracted_records": orders, "evidence_items": evidence_items.withColumn("source_page_id", F.lit(None).cast("bigint"))}
+    gone = deletes.victims(tables, "extracted_records", orders.where("o_orderstatus = 'F'").select("record_id"))
+    return deletes.blockers(tables, gone)
 
 
 @query(
@@ -158,19 +166,21 @@ def backed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select l_orderkey, l_linenumber, l_quantity, o_custkey, c_nationkey, n_regionkey, r_name from lineitem join orders on l_orderkey = o_orderkey "
-    "join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+    "select l_orderkey, l_linenumber, l_quantity, o_custkey, c.c_nationkey, n.n_regionkey, r_name, s_name, cast(x.n_regionkey as integer) source_page from lineitem join orders on l_orderkey = o_orderkey "
+    "join customer c on o_custkey = c_custkey join nation n on c.c_nationkey = n.n_nationkey join region on n.n_regionkey = r_regionkey "
+    "left join supplier on s_suppkey = o_custkey left join nation x on x.n_nationkey = o_orderkey % 30"
 )
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), "l_linenumber", "l_quantity")
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("record_id"))
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_nationkey").alias("page_id"))
-    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), F.col("n_regionkey").alias("document_id"))
+    """Lines stand for claims, orders for evidence, customers for records, nations for pages, regions for documents, suppliers for entities."""
+    claims = read(spark, sf_dir, "lineitem").select(F.struct("l_linenumber", "l_quantity").alias("claim_id"), F.col("l_orderkey").alias("evidence_id"))
+    items = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("record_id"), (F.col("o_orderkey") % 30).cast("int").alias("source_page_id"))
+    records = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_nationkey").alias("page_id"), F.col("c_custkey").alias("entity_id"))
+    pages = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), F.col("n_regionkey").alias("document_id"), F.col("n_regionkey").alias("page_number"))
     regions = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("document_id"), F.col("r_name").alias("document_name"))
-    claims = lines.withColumn("claim_id", F.struct("evidence_id", "l_linenumber", "l_quantity"))
-    found = evidence.lineage(claims, orders.withColumn("source_page_id", F.lit(None)), customers.withColumn("entity_id", F.lit(None)), nations.withColumn("page_number", F.lit(1)), regions)
-    names = {"evidence_id": "l_orderkey", "record_id": "o_custkey", "page_id": "c_nationkey", "document_id": "n_regionkey", "document_name": "r_name"}
-    return found.select("claim_id.l_linenumber", "claim_id.l_quantity", *(F.col(f"`{k}`").alias(v) for k, v in names.items()))
+    entities = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("canonical_name"))
+    found = evidence.lineage(claims, items, records, pages, regions, entities)
+    names = {"evidence_id": "l_orderkey", "record_id": "o_custkey", "page_id": "c_nationkey", "document_id": "n_regionkey", "document_name": "r_name", "canonical_name": "s_name", "source_page_number": "source_page"}
+    return found.select("claim_id.l_linenumber", "claim_id.l_quantity", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 @query("select o_orderstatus, count(*) n from orders group by 1")
@@ -197,10 +207,9 @@ def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rollup(rows, ["l_suppkey", "l_returnflag"], "q")
 
 
-@query("select count(*) n, count(*) filter (c < 0.05) low, quantile_cont(c, 0.5) median from (select l_discount c from lineitem)")
+@query("select count(c) n, count(*) filter (c < 0.05) low, quantile_cont(c, 0.5) median from (select l_discount c from lineitem)")
 def confidence_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("l_discount")
-    return read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.count_if(c < 0.05).alias("low"), F.percentile(c, 0.5).alias("median"))
+    return evidence.confidence(read(spark, sf_dir, "lineitem"), "l_discount", 0.05)
 
 
 @query("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey")
@@ -210,11 +219,12 @@ def documents_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.documents_with_pages(customers, orders).withColumnRenamed("document_id", "c_custkey")
 
 
-@query("select c_custkey from customer anti join orders on c_custkey = o_custkey")
+@query("select c_custkey from customer left join (select o_custkey, count(*) n from orders group by 1) on c_custkey = o_custkey where coalesce(n, 0) < c_nationkey")
 def incomplete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
+    """Customers stand for documents of c_nationkey pages each, orders for the pages that are there."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("pages_detected"))
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"))
-    return evidence.incomplete(customers, orders).withColumnRenamed("document_id", "c_custkey")
+    return evidence.incomplete(customers.select("document_id"), orders, customers).withColumnRenamed("document_id", "c_custkey")
 
 
 @query("select sha256(text) digest, count(*) n, min(doc_id) \"first\" from documents group by 1 having count(*) > 1")
@@ -222,11 +232,8 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.duplicates(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(
-    "with k as (select p_partkey, trim(regexp_replace(lower(p_type), '[!-/:-@\\[-`{-~\\s]+', ' ', 'g')) k from part) "
-    "select a.p_partkey, b.entity_id from k a left join (select k, min(p_partkey) entity_id from k group by k) b on a.k = b.k"
-)
+@query("select p_partkey, entity_id from part left join (select k, min(n_nationkey) entity_id from (values ('promo', 1), ('small', 2), ('medium', 4), ('medium', 3)) v(k, n_nationkey) group by k) on lower(p_type) = k")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_type")
-    entities = parts.groupBy(name_key(F.col("p_type")).alias("canonical_name")).agg(F.min("p_partkey").alias("entity_id"))
-    return evidence.resolved(parts, "p_type", entities).select("p_partkey", "entity_id")
+    """Parts' types against names of three sizes, two of which are spelt alike."""
+    entities = read(spark, sf_dir, "nation").where("n_nationkey between 1 and 4").select(F.element_at(F.array(*map(F.lit, ("Promo", " small.", "MEDIUM", "Medium "))), F.col("n_nationkey")).alias("canonical_name"), F.col("n_nationkey").alias("entity_id"))
+    return evidence.resolved(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", entities).select("p_partkey", "entity_id")

@@ -159,7 +159,7 @@ class Pdf:
         for v in _values(self.stream(ref)):
             if v == "endbfchar":
                 for a, b in zip(held[::2], held[1::2]):
-                    found[int.from_bytes(a, "big")] = b.decode("utf-16-be", "replace")
+                    found[int.from_bytes(a, "big")] = _named(b) if isinstance(b, str) else b.decode("utf-16-be", "replace")
             elif v == "endbfrange":
                 for a, b, c in zip(held[::3], held[1::3], held[2::3]):
                     for k, code in enumerate(range(int.from_bytes(a, "big"), int.from_bytes(b, "big") + 1)):
@@ -177,7 +177,12 @@ class Pdf:
         """The text that each showing operator of a page shows."""
         contents = page.get("Contents", [])
         refs = contents if isinstance(contents, list) else self.get(contents) if isinstance(self.get(contents), list) else [contents]
-        data = b"\n".join(self.stream(r) for r in refs if isinstance(r, Ref))
+        return self.shown(b"\n".join(self.stream(r) for r in refs if isinstance(r, Ref)), resources, ())
+
+    def shown(self, data: bytes, resources: dict, inside: tuple) -> list[str]:
+        """The same of a content stream, and of the forms that it draws. inside: the forms around it."""
+        forms = self.get(resources.get("XObject", {})) or {}
+        data = re.sub(rb"\bBI\s.*?\sID\s.*?\sEI\b", b" ", data, flags=re.S)  # images
         fonts = {k: self.unicode_map(self.get(v) or {}) for k, v in (self.get(resources.get("Font", {})) or {}).items()}
         width, codes, held, out = 1, {}, [], []
 
@@ -190,7 +195,13 @@ class Pdf:
             if not isinstance(v, Operator):
                 held.append(v)
                 continue
-            if v == "Tf" and held:
+            if v == "Do" and held and isinstance(ref := forms.get(held[-1]), Ref):
+                form = self.get(ref) or {}
+                if form.get("Subtype") == "Form":
+                    if ref in inside:
+                        raise Unreadable("form draws itself")
+                    out += self.shown(self.stream(ref), self.get(form.get("Resources", resources)) or {}, (*inside, ref))
+            elif v == "Tf" and held:
                 width, codes = fonts.get(held[-2] if len(held) > 1 else "", (1, {}))
             elif v in ("Tj", "'", '"') and held and isinstance(held[-1], bytes):
                 out.append(text(held[-1]))
@@ -200,6 +211,14 @@ class Pdf:
         return out
 
 
+def _named(glyph: str) -> str:
+    """The character of a glyph's name: uniXXXX, uXXXX to uXXXXXX, space, or itself; otherwise the replacement character."""
+    code = re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", glyph)
+    if code:
+        return chr(int(code[1] or code[2], 16))
+    return " " if glyph == "space" else glyph if len(glyph) == 1 else "\ufffd"
+
+
 def pages_of(content: bytes) -> list[list[str]]:
     pdf = Pdf(content)
     return [pdf.items(*p) for p in pdf.pages()]
@@ -221,7 +240,7 @@ def parsed(found: DataFrame) -> DataFrame:
                 try:
                     pages.append(pages_of(content or b""))
                     errors.append(None)
-                except (Unreadable, zlib.error, KeyError, TypeError, ValueError, IndexError) as e:
+                except Exception as e:  # noqa: BLE001  an odd file is an error of its own
                     pages.append([])
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(pages, pa.list_(pa.list_(pa.string()))), pa.array(errors, pa.string())], ["path", "name", "pages", "error"])

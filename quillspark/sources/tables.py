@@ -10,16 +10,25 @@ from quillspark.functions.text import iso_millis
 from quillspark.schema import struct_of
 
 
-def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the data model with its declared types; one that was never written has no rows."""
+def read(spark: SparkSession, root: str, table: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A table of the data model with its declared types, or another with the schema given; one that was never written has no rows."""
+    schema = schema or struct_of(table)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], struct_of(table))
-    return spark.read.schema(struct_of(table)).parquet(f"{root}/{table}")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 
-def append(rows: DataFrame, root: str, table: str) -> None:
-    rows.select(*(f.name for f in struct_of(table))).write.mode("append").parquet(f"{root}/{table}")
+def append(rows: DataFrame, root: str, table: str, schema: str | None = None) -> None:
+    rows.select(*((c.split()[0] for c in schema.split(", ")) if schema else (f.name for f in struct_of(table)))).write.mode("append").parquet(f"{root}/{table}")
+
+
+def reply(rows: DataFrame, message: str, name: str | None = None) -> DataFrame:
+    """One JSON object a row: status, message, and the row's columns, in an object called name if one is given."""
+    given = as_json(rows, "given")
+    body = F.col("given") if name is None else F.concat(F.lit(f'{{"{name}":'), "given", F.lit("}"))
+    head = F.regexp_replace(F.to_json(F.struct(F.lit("ok").alias("status"), F.lit(message).alias("message"))), r"\}$", ",")
+    return given.select(F.concat(head, F.substring(body, 2, 1 << 30)).alias("json"))
 
 
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:

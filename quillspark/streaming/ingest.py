@@ -14,21 +14,15 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 def watch(spark: SparkSession, folder: str, library: Library, checkpoint: str) -> StreamingQuery:
     """Upload all files that are there and stop. The next call, with the same checkpoint, takes those that came since.
 
-    A batch that is tried again after a failure finds what it stored before by path and skips it.
+    A file is uploaded once, by path: which file becomes which document is written before the documents are, so a batch that is
+    tried again after a failure, wherever that was, skips the files whose documents are there.
     """
-    done = f"{library.root}/_uploaded"
 
     def one(batch: DataFrame, batch_id: int) -> None:
         files = batch.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-        try:
-            files = files.join(spark.read.schema("path string").json(done), "path", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        files = files.persist()
+        files = files.join(library.uploaded(), "path", "left_anti").persist()
         if files.limit(1).count():
             library.store(files)
-            files.select("path").write.mode("append").json(done)
         files.unpersist()
 
     found = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.pdf").load(folder)

@@ -101,3 +101,116 @@ def test_delete_through_library(spark, tmp_path):
     lib.add("document_pages", spark.createDataFrame([(1, 1, "x")], "document_id int, page_number int, extracted_text string"))
     left = lib.without_documents(spark.createDataFrame([(1,)], "id int"))
     assert left["documents"].count() == 0 and left["document_pages"].count() == 0
+
+
+def failing(monkeypatch, table):
+    """Let the next append to a table fail."""
+    from quillspark.plans import library
+
+    real, left = library.append, [1]
+
+    def append(rows, root, name, *more):
+        if name == table and left:
+            left.pop()
+            raise OSError("disk")
+        real(rows, root, name, *more)
+
+    monkeypatch.setattr(library, "append", append)
+
+
+@pytest.mark.parametrize("table", ["document_pages", "_uploads", "documents"])
+def test_what_a_failed_upload_leaves_joins_no_later_document(spark, tmp_path, monkeypatch, table):
+    lib = Library(spark, str(tmp_path / "lib"))
+    for name, pages in (("a", [b"(first a) Tj", b"(second a) Tj"]), ("b", [b"(only b) Tj"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.pdf").write_bytes(pdf(pages))
+    failing(monkeypatch, table)
+    with pytest.raises(OSError):
+        lib.upload(str(tmp_path / "a"))
+    assert lib.documents().count() == 0 and lib.uploaded().count() == 0
+    got = lib.upload(str(tmp_path / "b")).collect()
+    rows = lib.documents().join(lib.table("document_pages"), "document_id").collect()
+    assert [r.document_name for r in got] == ["b.pdf"] and [(r.document_name, r.extracted_text) for r in rows] == [("b.pdf", "only b")]
+    assert lib.add_document("c").first()["document_id"] > got[0].document_id
+
+
+@pytest.mark.parametrize("table", ["document_pages", "_uploads", "documents"])
+def test_a_stream_that_failed_uploads_each_file_once(spark, tmp_path, monkeypatch, table):
+    files = tmp_path / "in"
+    files.mkdir()
+    lib = Library(spark, str(tmp_path / "lib"))
+    for name in ("x", "y"):
+        (files / f"{name}.pdf").write_bytes(pdf([PAGE]))
+    failing(monkeypatch, table)
+    with pytest.raises(Exception, match="disk"):
+        watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(60)
+    watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(60)
+    assert sorted(r.document_name for r in lib.documents().collect()) == ["x.pdf", "y.pdf"]
+
+
+def test_a_stream_that_failed_after_all_was_stored(spark, tmp_path, monkeypatch):
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "x.pdf").write_bytes(pdf([PAGE]))
+    lib = Library(spark, str(tmp_path / "lib"))
+    store = lib.store
+
+    def stored_and_died(found):
+        store(found)
+        monkeypatch.setattr(lib, "store", store)
+        raise OSError("killed")
+
+    monkeypatch.setattr(lib, "store", stored_and_died)
+    with pytest.raises(Exception, match="killed"):
+        watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(60)
+    watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(60)
+    assert lib.documents().count() == 1
+
+
+def test_forms_images_and_glyph_names():
+    cmap = b"1 beginbfchar <01> /uni00E9 endbfchar 2 beginbfchar <02> /A <03> /odd endbfchar"
+    form = b"<< /Type /XObject /Subtype /Form /Resources << /Font << /F 6 0 R >> >> /Length 0 >>"
+    data = b"".join(
+        [b"%PDF-1.5\n", obj(1, b"<< /Type /Catalog /Pages 2 0 R >>"), obj(2, b"<< /Type /Pages /Kids [3 0 R] >>"), obj(3, b"<< /Type /Page /Resources << /XObject << /X 5 0 R /I 8 0 R >> >> /Contents 4 0 R >>")]
+        + [stream(4, b"(a) Tj /X Do BI /W 1 ID (no) Tj ) ( \xff EI /I Do (z) Tj"), stream(5, b"/F 9 Tf <010203> Tj", True, b"/Subtype /Form /Resources << /Font << /F 6 0 R >> >>")]
+        + [obj(6, b"<< /Type /Font /ToUnicode 7 0 R >>"), stream(7, cmap), stream(8, b"(no) Tj", False, b"/Subtype /Image")]
+    )
+    assert form and pages_of(data) == [["a", "éA\ufffd", "z"]]
+    with pytest.raises(Unreadable, match="itself"):
+        pages_of(data.replace(b"/F 9 Tf <010203> Tj", b"") .replace(stream(5, b"/F 9 Tf <010203> Tj", True, b"/Subtype /Form /Resources << /Font << /F 6 0 R >> >>"), stream(5, b"/X Do", True, b"/Subtype /Form")))
+
+
+def test_one_odd_file_fails_by_itself(spark, tmp_path):
+    from quillspark.sources import pdf as source
+
+    odd = pdf([PAGE]).replace(b"/Type /Font ", b"/Type /Font /ToUnicode 1 0 R /Subtype 7 ")
+    (tmp_path / "odd.pdf").write_bytes(b"%PDF-1.4 1 0 obj [ endobj trailer << /Root [1] >> startxref")
+    (tmp_path / "odd2.pdf").write_bytes(odd)
+    (tmp_path / "good.pdf").write_bytes(pdf([PAGE]))
+    got = {r.name: r for r in source.parsed(source.files(spark, str(tmp_path))).collect()}
+    assert got["odd.pdf"].error and got["good.pdf"].error is None and len(got["good.pdf"].pages) == 1 and "odd2.pdf" in got
+
+
+def test_requests_and_replies(spark, tmp_path):
+    from quillspark.sources.tables import reply
+
+    lib = Library(spark, str(tmp_path / "lib"))
+    made = lib.add_requests(spark.createDataFrame([('{"document_name": "a", "status": "no", "odd": [1]}',)], "body string"))
+    assert reply(made.select("document_id", "document_name", "status", "document_type"), "Added", "document").first()[0] == '{"status":"ok","message":"Added","document":{"document_id":1,"document_name":"a","status":"UPLOADED","document_type":null}}'
+    assert reply(spark.sql("select 3 as document_id, 2 as pages_detected"), "Read").first()[0] == '{"status":"ok","message":"Read","document_id":3,"pages_detected":2}'
+    for body in ('{"document_type": "t"}', "no object", None):
+        with pytest.raises(Violation, match="document_name"):
+            lib.add_requests(spark.createDataFrame([(body,)], "body string"))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quillspark import session
+
+    made = []
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    sc = SimpleNamespace(_jsc=jsc, master="spark://host:7077", setCheckpointDir=made.append)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+    assert made == []
