@@ -20,9 +20,9 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 def small_batches(spark: SparkSession) -> None:
     """Texts may be long, so Python workers get no more than BATCH_ROWS of them, or some BATCH_BYTES, at once, unless the session says otherwise. Workers of this machine find this package."""
     with_package(spark)
-    for name, default, ours in (("Records", "10000", BATCH_ROWS), ("Bytes", "-1", BATCH_BYTES)):
+    for name, default, ours in (("Records", "10000", BATCH_ROWS), ("Bytes", "67108864b", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.max{name}PerBatch"
-        if spark.conf.get(key, default) in (default, str((1 << 31) - 1), "2147483647b"):
+        if spark.conf.get(key) == default:
             spark.conf.set(key, str(ours))
 
 

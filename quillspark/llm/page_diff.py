@@ -16,7 +16,7 @@ of its pages is paired with the nearer of the pages before and after the run; if
 A passage that a page and its nearest neighbour both quote in the open zone is deleted: nothing in the two pages tells it from boilerplate.
 
 Defined results: null html is empty, and empty or blank html has the text ''; a null url has an empty host and path; a host's only page
-keeps its open lines; of equally near neighbours the one before wins; repeated rows give repeated results; unclosed elements reach to the end; character references
+keeps its open lines; of equally near neighbours the one before wins; repeated rows give repeated results; unclosed elements reach to the end, and a tag that never ends is left out with all after it; an unclosed quote ends with its tag; character references
 are decoded once, and a text is joined from its lines by single spaces.
 """
 
@@ -43,8 +43,10 @@ MOST_LENGTH = (1 << LENGTH_BITS) - 1
 COPIED = 0.85  # share of the open text that two near copies have in common
 PIECE = 1000  # pages of a run of near copies in one row
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+OPENS = re.compile(r"<(?=!--|/?[a-zA-Z]|[!?])")
+#: A tag to its end. A quote that is never closed is a character like others, so the tag ends at the next >.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -56,6 +58,8 @@ DROPPED_WORD = re.compile(
     r"|forms?|gdpr|legal|login|masthead|menus?|modal|nav|navbar|navigation|newsletters?|notices?|notifications?|pager|pagination|paywall|popups?|promos?|promoted|promotion"
     r"|reactions|recommended|related|replies|responses|respond|shar(?:e|ing)|sidebars?|signup|social|sponsor\w*|subscri\w*|toolbar|topbar|widgets?"
 )
+#: Those of them that are common words of articles too, and say nothing inside one.
+ARTICLE_WORD = re.compile(r"alerts?|copyright|discussion|legal|promotion|responses|respond|reactions")
 #: Whole names of article elements that aren't the page's own.
 ASIDE_NAME = re.compile(r"ads?|advert\w*|comment\w*|comentarios?|kommentare?|promo|promoted|promotion|recommended|related|replies|sponsored")
 #: A name with one of these is of what stands around: with-sidebar, page-wrapper.
@@ -78,7 +82,7 @@ def _zone(name: str, attributes: str, zone: int) -> int:
     if "article" in (name, role) or "main" in (name, role):  # what a page calls its article may be filed under any word
         dropped = any(ASIDE_NAME.fullmatch(x) for x in named.split())
     else:
-        dropped = any(DROPPED_WORD.fullmatch(w) for x in words if not x & WRAPS for w in x)
+        dropped = any(DROPPED_WORD.fullmatch(w) and not (zone == ARTICLE and ARTICLE_WORD.fullmatch(w)) for x in words if not x & WRAPS for w in x)
     if name in DROPPED or role in DROPPED_ROLES or dropped or "hidden" in attributes.split() or given.get("aria-hidden") == "true":
         return BOILERPLATE
     if name == "article" or role == "article":
@@ -96,7 +100,8 @@ def lines(page: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
-    zone, held, at = OPEN, OPEN, 0
+    open_names: Counter[str] = Counter()
+    zone, held = OPEN, OPEN
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -104,16 +109,33 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         if text:
             out.append((held, text))
 
+    def pop() -> str:
+        nonlocal zone
+        name, zone = stack.pop()
+        open_names[name] -= 1
+        return name
+
+    last = page.rfind(">")
     stop = 0
     while True:
-        found = TAG.search(page, at)
+        found = OPENS.search(page, stop)
         parts.append(page[stop : found.start() if found else len(page)])
-        if not found:
-            break
-        at = stop = found.end()
-        close, name, attributes = found[1], (found[2] or "").lower(), found[3] or ""
-        if not name:
+        if not found or found.start() > last:
+            break  # a tag that never ends has no text
+        at = found.start()
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            stop = end + 3 if end >= 0 else len(page)
+            continue
+        if page[at + 1] in "!?":
+            stop = page.find(">", at) + 1
             continue
+        tag = TAG.match(page, at, last + 1)
+        if not tag:  # its end is in an attribute
+            stop = page.find(">", at) + 1
+            continue
+        stop = tag.end()
+        close, name, attributes = tag[1], tag[2].lower(), tag[3]
         if name in INLINE:
             continue
         if name == "br":
@@ -122,21 +144,19 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         flush()
         if name in RAW and not close:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = stop = end.end() if end else len(page)
+                end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, stop)
+                stop = page.find(">", end.end()) + 1 if end else 0
+                stop = stop or len(page)
             continue
         if close:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, zone = stack.pop()
-                    if n == name:
-                        break
+            if open_names[name] > 0:
+                while pop() != name:
+                    pass
         elif name not in VOID and not (attributes.endswith("/") and name not in ("p", "div")):
-            if stack and stack[-1][0] in ENDS.get(name, ()):
-                zone = stack.pop()[1]
-            elif stack and stack[-1][0] == "p":
-                zone = stack.pop()[1]
+            if stack and (stack[-1][0] in ENDS.get(name, ()) or stack[-1][0] == "p"):
+                pop()
             stack.append((name, zone))
+            open_names[name] += 1
             zone = _zone(name, attributes, zone)
         held = zone
     flush()
@@ -186,7 +206,6 @@ def _aligned(a: list[int], start: int, stop: int, b: list[int]) -> list[int]:
     return _aligned(a, start, half, b[:cut]) + _aligned(a, half, stop, b[cut:])
 
 
-
 def _key() -> Column:
     return F.xxhash64(F.col("page_id"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
 
@@ -312,7 +331,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 open_lines.append([t if zone == OPEN else None for zone, t in found] if text is None else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "key")), pa.array(n_lines, pa.int64()), pa.array(marked, pa.string()), pa.array(open_lines, pa.list_(pa.string()))], schema.names)
 
-    met = rows.mapInArrow(run, schema).join(shared_with_nearest(pages), "key", "left")
+    met = rows.mapInArrow(run, schema).join(shared_with_nearest(pages).hint("merge"), "key", "left")
     shared = F.coalesce("shared", F.array().cast("array<int>"))
     places = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     own = F.array_join(F.transform(F.array_except(places, shared), lambda k: F.get("lines", k)), " ")  # leaves nulls out

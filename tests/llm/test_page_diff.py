@@ -45,6 +45,15 @@ def text(page, shared=()):
         ("<!-- <p>no</p> --><p title='a>b'>yes</p><!-- open <p>no", "yes"),
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
         ("1 < 2 and <3", "1 < 2 and <3"),
+        ("<article><p>one</p><p title=\"it's>two</p><p>three</p></article>", "one two three"),
+        ("<article><p>one</p><p title='it>two</p><p>three</p></article>", "one two three"),
+        ("<p class=a\"b>it's</p><p title = \"x>y\" id='z'>two</p>", "it's two"),
+        ("<p>one</p><a href='x", "one"),
+        ("<p>one</p><!doctype", "one"),
+        ("<p>one<!-- > no", "one"),
+        ("<script>no</script <p>yes", "yes"),
+        ("<p>a</p></div></p><div>b</section></div>c", "a b c"),
+        ("<article><p>a</p><div class='discussion'>b</div><div class='legal'>c</div><div class='share'>no</div></article>", "a b c"),
     ],
 )
 def test_main_text(page, want):
@@ -143,3 +152,13 @@ def test_long_run_of_near_copies(spark, monkeypatch):
 )
 def test_the_longer_of_article_and_main_whatever_its_class(page, want):
     assert text(page) == want
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    pages = ["<a " * 350_000, "<a b='" * 170_000, "<p>x</p>" + "<a b=\"" * 150_000 + ">y", "<!" * 500_000, "<!--" * 250_000, "<div>" * 120_000 + "</section>" * 60_000 + "end", "<script>" + "</script " * 110_000, "<p " + "a" * 1_000_000 + " b=c>x</p>", "<p " + "a " * 500_000 + "b=c>x</p>", "& " * 500_000, "< " * 500_000]
+    for page in pages:
+        began = time.perf_counter()
+        p.lines(page)
+        assert time.perf_counter() - began < 3, page[:20]
