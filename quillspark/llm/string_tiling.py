@@ -95,7 +95,10 @@ def _rolled(codes: list[int], marked: bytearray, start: int, stop: int, size: in
 
 
 def tiled(item: list[int], doc: list[int], stretches: list[tuple[int, int]], least: int) -> int:
-    """Tokens of item that non-overlapping tiles of at least least tokens cover. stretches: parts of doc outside which nothing can match."""
+    """Tokens of item that non-overlapping tiles of at least least tokens cover. stretches: parts of doc outside which nothing can match.
+
+    The longest match of unmarked tokens is marked first; of equally long ones the first in item, then in doc.
+    """
     done_item, done_doc = bytearray(len(item)), bytearray(len(doc))
     size = max(least, min(len(item), max(b - a for a, b in stretches)))
     while True:
@@ -116,13 +119,20 @@ def tiled(item: list[int], doc: list[int], stretches: list[tuple[int, int]], lea
         if longest > 2 * size:
             size = longest
             continue
-        again = False
+        again, left = False, 0
         for k, i, p in sorted(found):
-            if any(done_item[i : i - k]) or any(done_doc[p : p - k]):
-                again = True  # what is left of it is found in the next pass
-            else:
+            if -k <= left:  # what a tile left of a longer match may come first; the next pass finds it
+                again = True
+                break
+            taken, in_doc = done_item[i : i - k], done_doc[p : p - k]
+            if not any(taken) and not any(in_doc):
                 done_item[i : i - k] = b"\1" * -k
                 done_doc[p : p - k] = b"\1" * -k
+            elif not all(taken) and not all(in_doc):
+                both = (int.from_bytes(taken) | int.from_bytes(in_doc)).to_bytes(-k)
+                rest = max(map(len, both.split(b"\1")))
+                left = max(left, rest if rest >= size else 0)
+        again = again or left > 0
         if size == least and not again:
             return sum(done_item)
         size = size if again else max(least, size // 2)
