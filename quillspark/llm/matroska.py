@@ -31,7 +31,7 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE = 0x1654AE6B, 0xAE, 0xD
 CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 FLAG_LACING = 0x9C
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
-CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
+CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
 LACINGS = ("none", "xiph", "fixed", "ebml")
@@ -52,7 +52,7 @@ class Media:
     duration: float = 0.0
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple] = field(default_factory=list)
-    cues: list[tuple[int, int, int]] = field(default_factory=list)
+    cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster's place in its segment
     clusters: int = 0
     error: str | None = None
 
@@ -337,7 +337,7 @@ _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(
 
 
 def packet_table(df: DataFrame, key_col: str, content_col: str) -> DataFrame:
-    """One row per packet: the key, PACKET's columns, codec, and the file's error if it has one. Files without packets have no row."""
+    """One row per packet: the key, PACKET's columns, codec, and the file's error if it has one. A file without packets has no row, or one without a packet if it has an error."""
     schema = T.StructType([T.StructField("key", df.schema[key_col].dataType), *PACKET.fields, T.StructField("codec", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,6 +351,23 @@ def packet_table(df: DataFrame, key_col: str, content_col: str) -> DataFrame:
                     codec = [media.tracks.get(p[0], {}).get("codec") for p in part]
                     arrays = [keys, *(pa.array(c, t) for c, t in zip(columns, _ARROW)), pa.array(codec, pa.string()), pa.array([media.error] * len(part), pa.string())]
                     yield pa.RecordBatch.from_arrays(arrays, schema.names)
+                if media.error and not media.packets:
+                    yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, 1), *(pa.nulls(1, t) for t in _ARROW), pa.nulls(1, pa.string()), pa.array([media.error], pa.string())], schema.names)
+
+    return df.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).mapInArrow(run, schema)
+
+
+def cue_table(df: DataFrame, key_col: str, content_col: str) -> DataFrame:
+    """One row per cue: the key, cue_no, track, timestamp_ns, and the place of the cluster it leads to, counted from the first byte of its segment's content."""
+    schema = T.StructType([T.StructField("key", df.schema[key_col].dataType), *(T.StructField(n, T.LongType()) for n in ("cue_no", "track", "timestamp_ns", "cluster_position"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in enumerate(batch.column("content")):
+                media = parsed(content.as_py())
+                rows = [(k, track, time * media.scale, place) for k, (time, track, place) in enumerate(media.cues)]
+                keys = batch.column("key").take(pa.array([at] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))], schema.names)
 
     return df.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).mapInArrow(run, schema)
 

@@ -92,5 +92,71 @@ def test_packet_table(spark):
     b = m.mux(m.padded(b"q" * 1200))
     df = spark.createDataFrame([("a", bytearray(b)), ("b", None), ("c", bytearray(b[:-5])), ("d", bytearray(b"junk"))], "name string, content binary")
     got = m.packet_table(df, "name", "content").collect()
-    assert {r.key for r in got} == {"a", "c"} and all(b[r.offset : r.offset + r.length] in (b"q" * 576, b"q" * 48 + b"\xff" * 528) for r in got)
-    assert {r.error is None for r in got if r.key == "a"} == {True} and {r.codec for r in got} == {"A_PCM/INT/LIT"}
+    assert {r.key for r in got} == {"a", "c", "d"} and all(b[r.offset : r.offset + r.length] in (b"q" * 576, b"q" * 48 + b"\xff" * 528) for r in got if r.key != "d")
+    assert [(r.packet_no, r.length, bool(r.error)) for r in got if r.key == "d"] == [(None, None, True)]
+    assert {r.error is None for r in got if r.key == "a"} == {True} and {r.codec for r in got if r.key != "d"} == {"A_PCM/INT/LIT"}
+
+
+def walked(b):
+    """(id, start, stop) of each element inside b, read by the specification: ids keep their length marker, sizes lose it."""
+
+    def inside(at, stop):
+        while at < stop:
+            n = 9 - b[at].bit_length()
+            name, at = int.from_bytes(b[at : at + n], "big"), at + n
+            n = 9 - b[at].bit_length()
+            size, at = int.from_bytes(b[at : at + n], "big") & ~(1 << 7 * n), at + n
+            yield name, at, at + size
+            if name in (0x18538067, 0x1F43B675, 0x1654AE6B, 0xAE, 0x1C53BB6B, 0xBB, 0xB7):
+                yield from inside(at, at + size)
+            at += size
+
+    return list(inside(0, len(b)))
+
+
+def test_stored_form_by_another_reader(spark):
+    """Frames of laced blocks, cluster times and cues of what is written, without the operator's parser."""
+    for n in (1, 576 * 9 + 5, 576 * 200):
+        payload = m.padded(bytes(i * 31 % 256 for i in range(n)))
+        b = m.mux(payload)
+        found, out, clusters, start = walked(b), b"", [], None
+        for name, a, z in found:
+            if name == 0x18538067:
+                start = a
+            elif name == 0x1F43B675:
+                clusters.append(a)
+            elif name == 0xA3:
+                assert b[a] == 0x81
+                lacing, at = b[a + 3] >> 1 & 3, a + 4
+                sizes = [z - at]
+                if lacing:
+                    count, at = b[at] + 1, at + 1
+                    sizes = []
+                    if lacing == 2:
+                        sizes = [(z - at) // count] * count
+                    elif lacing == 1:
+                        for _ in range(count - 1):
+                            size = 0
+                            while b[at] == 255:
+                                size, at = size + 255, at + 1
+                            sizes.append(size + b[at])
+                            at += 1
+                    else:
+                        for k in range(count - 1):
+                            w = 9 - b[at].bit_length()
+                            raw = int.from_bytes(b[at : at + w], "big") & ~(1 << 7 * w)
+                            sizes.append(raw if not k else sizes[-1] + raw - ((1 << 7 * w - 1) - 1))
+                            at += w
+                    if lacing != 2:
+                        sizes.append(z - at - sum(sizes))
+                for size in sizes:
+                    assert size == 576
+                    out += b[at : at + size]
+                    at += size
+                assert at == z
+        assert out == payload
+        places = [int.from_bytes(b[a:z], "big") for name, a, z in found if name == 0xF1]
+        times = [int.from_bytes(b[a:z], "big") for name, a, z in found if name == 0xB3]
+        assert len(places) == len(clusters) and all(start + p < c <= start + p + 12 for p, c in zip(places, clusters))
+        df = spark.createDataFrame([(1, bytearray(b)), (2, None), (3, bytearray(b"junk"))], "k long, c binary")
+        assert [(r.key, r.cue_no, r.track, r.timestamp_ns, r.cluster_position) for r in m.cue_table(df, "k", "c").collect()] == [(1, k, 1, t * 1_000_000, p) for k, (t, p) in enumerate(zip(times, places))]

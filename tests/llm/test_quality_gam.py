@@ -61,3 +61,88 @@ def test_sample_is_bounded(spark):
 
 def test_empty_text_features():
     assert len(q.features("")) == len(q.FEATURES) and all(np.isfinite(q.features("")))
+
+
+def plain_split(rows, a, b):
+    """rows: (bin, g, h). The cut of bins a to b with the greatest gain."""
+    best = (1e-9, None)
+    total = [sum(r[k] for r in rows if a <= r[0] < b) for k in (1, 2)]
+    for cut in range(a + 1, b):
+        left, right = [[r for r in rows if lo <= r[0] < hi] for lo, hi in ((a, cut), (cut, b))]
+        if min(len(left), len(right)) < q.LEAST_LEAF:
+            continue
+        gain = sum(sum(r[1] for r in x) ** 2 / (sum(r[2] for r in x) + q.SHRINK) for x in (left, right)) - total[0] ** 2 / (total[1] + q.SHRINK)
+        if gain > best[0] + 1e-12:
+            best = (gain, cut)
+    return best
+
+
+def plain_tree(rows, bins, leaves):
+    parts = [(0, bins)]
+    while len(parts) < leaves:
+        found = [(*plain_split(rows, a, b), a, b) for a, b in parts]
+        found = [x for x in found if x[1] is not None]
+        if not found:
+            break
+        _, cut, a, b = max(found, key=lambda x: (x[0], x[2]))
+        parts.remove((a, b))
+        parts += [(a, cut), (cut, b)]
+    out = {}
+    for a, b in parts:
+        inside = [r for r in rows if a <= r[0] < b]
+        for k in range(a, b):
+            out[k] = sum(r[1] for r in inside) / (sum(r[2] for r in inside) + q.SHRINK)
+    return out
+
+
+def test_boosting_as_written_out(monkeypatch):
+    """Cyclic rounds over each feature's bins, row by row, and the score as a sum of the looked-up values."""
+    import math
+
+    monkeypatch.setattr(q, "ROUNDS", 3)
+    monkeypatch.setattr(q, "PAIRS", 0)
+    monkeypatch.setattr(q, "BINS", 6)
+    monkeypatch.setattr(q, "LEAST_LEAF", 4)
+    rng = np.random.default_rng(5)
+    x = rng.random((120, 3))
+    y = ((x[:, 0] > 0.4) & (x[:, 2] < 0.8)).astype(float)
+    model = q.fit(x, y)
+    share = (sum(y) + 1) / (len(y) + 2)
+    total = [math.log(share / (1 - share))] * len(y)
+    tables = [{} for _ in range(3)]
+    bins = [[sum(e <= v for e in model.edges[f]) for v in x[:, f]] for f in range(3)]
+    for _ in range(3):
+        for f in range(3):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            step = plain_tree([(b, yy - pp, pp * (1 - pp)) for b, yy, pp in zip(bins[f], y, p)], len(model.edges[f]) + 1, 3)
+            for k, v in step.items():
+                tables[f][k] = tables[f].get(k, 0.0) + q.RATE * v
+            total = [t + q.RATE * step[b] for t, b in zip(total, bins[f])]
+    for f in range(3):
+        assert np.allclose(model.tables[f], [tables[f][k] for k in range(len(model.tables[f]))])
+    assert np.allclose(model.score(x), [1 / (1 + math.exp(-t)) for t in total])
+
+
+def test_pair_table_as_written_out():
+    """One cut along one axis, and one of each side along the other, by trying both axes."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        g, h, n = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.5, np.full((4, 5), 30)
+        best = None
+        for flip in (False, True):
+            gg, hh = (a.T if flip else a for a in (g, h))
+            # n only matters against LEAST_LEAF, which 30 rows a cell pass
+            rows = [(i, gg[i, j], hh[i, j]) for i in range(gg.shape[0]) for j in range(gg.shape[1]) for _ in range(1)]
+            gains = {c: sum(sum(r[1] for r in s) ** 2 / (sum(r[2] for r in s) + q.SHRINK) for s in ([r for r in rows if r[0] < c], [r for r in rows if r[0] >= c])) for c in range(1, gg.shape[0])}
+            cut = max(gains, key=lambda c: (gains[c], -c))
+            out = np.zeros_like(gg)
+            for a, b in ((0, cut), (cut, gg.shape[0])):
+                columns = [(gg[a:b, j].sum(), hh[a:b, j].sum()) for j in range(gg.shape[1])]
+                value = lambda part: sum(c[0] for c in part) / (sum(c[1] for c in part) + q.SHRINK)
+                inner = {c: sum(sum(x[0] for x in s) ** 2 / (sum(x[1] for x in s) + q.SHRINK) for s in (columns[:c], columns[c:])) for c in range(1, len(columns))}
+                c = max(inner, key=lambda c: (inner[c], -c))
+                out[a:b, :c], out[a:b, c:] = value(columns[:c]), value(columns[c:])
+            gain = (out * gg).sum() - 0.5 * (out**2 * hh).sum()
+            if best is None or gain > best[0]:
+                best = (gain, out.T if flip else out)
+        assert np.allclose(q.pair_tree(g, h, n), best[1])
