@@ -132,7 +132,7 @@ def test_pair_table_as_written_out():
         for flip in (False, True):
             gg, hh = (a.T if flip else a for a in (g, h))
             # n only matters against LEAST_LEAF, which 30 rows a cell pass
-            rows = [(i, gg[i, j], hh[i, j]) for i in range(gg.shape[0]) for j in range(gg.shape[1]) for _ in range(1)]
+            rows = [(i, gg[i, j], hh[i, j]) for i in range(gg.shape[0]) for j in range(gg.shape[1])]
             gains = {c: sum(sum(r[1] for r in s) ** 2 / (sum(r[2] for r in s) + q.SHRINK) for s in ([r for r in rows if r[0] < c], [r for r in rows if r[0] >= c])) for c in range(1, gg.shape[0])}
             cut = max(gains, key=lambda c: (gains[c], -c))
             out = np.zeros_like(gg)
@@ -141,6 +141,8 @@ def test_pair_table_as_written_out():
                 value = lambda part: sum(c[0] for c in part) / (sum(c[1] for c in part) + q.SHRINK)
                 inner = {c: sum(sum(x[0] for x in s) ** 2 / (sum(x[1] for x in s) + q.SHRINK) for s in (columns[:c], columns[c:])) for c in range(1, len(columns))}
                 c = max(inner, key=lambda c: (inner[c], -c))
+                whole = sum(x[0] for x in columns) ** 2 / (sum(x[1] for x in columns) + q.SHRINK)
+                c = c if inner[c] - whole > 1e-9 else len(columns)  # a cut must gain something
                 out[a:b, :c], out[a:b, c:] = value(columns[:c]), value(columns[c:])
             gain = (out * gg).sum() - 0.5 * (out**2 * hh).sum()
             if best is None or gain > best[0]:
