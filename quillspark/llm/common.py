@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.numbering import numbered
 from quillspark.session import cut, shared_dir, with_package
 
 __all__ = ["cut", "forget", "least_partitions", "let", "positioned", "read", "running", "same", "shared_dir", "small_batches", "texts", "written"]
@@ -79,15 +80,6 @@ def running(values: Column, step: Callable[[Column, Column], Column], first: int
     return let(values, lambda v: let(pieced(v), lambda pieces: F.flatten(F.zip_with(pieces, grown(ends(pieces), start), grown))))
 
 
-def positioned(df: DataFrame, by: list[str], name: str, part: str | None = None) -> DataFrame:
-    """df, written, with each row's place (from 0) in the order of the columns by, and the number of its partition if a name for it is given.
-
-    A range-partitioned sort gives places within partitions; the partitions' sizes, a row each, are summed up and broadcast.
-    """
-    at = written(df.repartitionByRange(least_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
-    own = part or "part"
-    number = F.shiftrightunsigned(name, 33)
-    sizes = at.groupBy(number.alias(own)).agg(F.count("*").alias("size"))
-    starts = sizes.select(own, (F.sum("size").over(Window.orderBy(own)) - F.col("size")).alias("start"))
-    placed = at.withColumn(own, number).join(F.broadcast(starts), own).withColumn(name, F.col("start") + F.col(name).bitwiseAND((1 << 33) - 1))
-    return placed.drop("start", *([] if part else [own]))
+def positioned(df: DataFrame, by: list[str], name: str, part: str | None = None, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """df with each row's place (from 0) in the order of the columns by, and the number of its sorted partition if a name for it is given."""
+    return numbered(df, [F.col(c) for c in by], name, 0, part, keep)

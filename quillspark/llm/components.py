@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node id it reaches), from edges a, b; nodes without an edge to another node are left out.
 
     Each round takes the least label among a node's neighbours, then the label of that label, so paths
-    halve at least. Sums and minima are combined before the shuffle, so a hub's edges don't meet
-    in one task; each round is checkpointed. No edges give no rows.
+    halve at least. Sums and minima are combined before the shuffle. The rows of a hub's edges, and of all nodes that share a label, meet that one node's
+    row in a join, which Spark's skew join splits where they are very many. Each round is checkpointed. No edges give no rows.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -26,7 +26,7 @@ repeated rows are repeated in the result; extra columns are left out. Shingles a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,7 @@ def _bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts.ravel()
 
 
+Keep = Callable[[DataFrame], DataFrame]
 TOKEN = T.StructType([T.StructField("token", T.LongType()), T.StructField("salt", T.IntegerType())])
 
 
@@ -216,15 +217,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n long, shingles array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bool) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, repeated: bool, held: Keep) -> DataFrame:
     """The pairs a, b whose sets link."""
-    pairs = written(pairs)
+    pairs = held(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     stored = written(_sets(docs, cut(points.join(keys, "key").select("doc_id", "key"))))
     sets = stored.dropDuplicates(["key"]) if repeated else stored
     side = lambda c: sets.select(*(F.col(x).alias(f"{c}_{x}") for x in ("key", "n", "shingles")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_key")).join(side("b"), F.col("b") == F.col("b_key"))
-    links = written(both.where(9 * F.size(F.array_intersect("a_shingles", "b_shingles")) >= 4 * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    links = held(both.where(9 * F.size(F.array_intersect("a_shingles", "b_shingles")) >= 4 * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
     forget(stored)
     return links
 
@@ -248,22 +249,22 @@ def _near(a_low: str, a_high: str, b_low: str, b_high: str) -> Column:
     return (5 * F.col(a_high) >= 4 * F.col(b_low)) & (5 * F.col(b_high) >= 4 * F.col(a_low))
 
 
-def _across(shared: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, points: DataFrame, held: Keep) -> DataFrame:
     """Pairs of different components that share a first shingle and may link by their points.
 
     Shingles with more than SMALL sets are merged into one bucket where their sets have the same member with the least hash: near copies share
     dozens of first shingles, all with much the same sets, and shall meet once or twice, not dozens of times.
     """
     known = cut(points.select("key", "n").join(labels, points.key == labels.node, "left").select("key", "n", F.coalesce("component", "key").alias("component")))
-    placed = written(shared.select("token", "key").join(_small(known), "key"))
+    placed = held(shared.select("token", "key").join(_small(known), "key"))
     buckets = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("bucket"))
-    mixed = written(placed.join(_small(buckets.where("least <> most").select("token", "size", "bucket")), "token"))
+    mixed = held(placed.join(_small(buckets.where("least <> most").select("token", "size", "bucket")), "token"))
     side = lambda df, c, names: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in names))
     # shingles of SMALL sets or less: every pair of points
     few, names = mixed.where(F.col("size") <= SMALL), ("key", "n", "component")
     met = side(few, "a", names).join(side(few, "b", names), "token").where((F.col("a_component") < F.col("b_component")) & _near("a_n", "a_n", "b_n", "b_n"))
     pair = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
-    large = _tree_met(mixed.where(F.col("size") > SMALL).select("bucket", *names).distinct(), points)
+    large = _tree_met(mixed.where(F.col("size") > SMALL).select("bucket", *names).distinct(), points, held)
     return _close(pair, points).select("a", "b").unionAll(large).distinct()
 
 
@@ -281,7 +282,7 @@ def _boxes_met(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return one.join(two, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]).where(once & _near("a_low", "a_high", "b_low", "b_high") & (9 * minima >= 4 * (F.col("a_low") + F.col("b_low"))))
 
 
-def _tree_met(members: DataFrame, points: DataFrame) -> DataFrame:
+def _tree_met(members: DataFrame, points: DataFrame, held: Keep = written) -> DataFrame:
     """Pairs a, b of different components whose points may link, of large buckets (bucket, key, n, component).
 
     A packed R-tree: within a bucket the members of its commonest component and all others are sorted by size and coordinates; LEAF neighbours
@@ -291,10 +292,10 @@ def _tree_met(members: DataFrame, points: DataFrame) -> DataFrame:
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
     common = counts.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("common"))
     sized = members.join(_small(common), "bucket").select("bucket", (F.col("component") != F.col("common")).alias("other"), F.floor(F.log(F.col("n")) / math.log(BAND)).alias("band"), "key", "n", "component")
-    placed = positioned(sized.join(points.select("key", "point", "fine"), "key"), ["bucket", "other", "band", "point", "key"], "place")
+    placed = positioned(sized.join(points.select("key", "point", "fine"), "key"), ["bucket", "other", "band", "point", "key"], "place", keep=held)
     place = lambda n: F.floor(F.col("place") / n)
     rows = F.collect_list(F.struct("key", "n", "component", "point", "fine")).alias("rows")
-    leaves = written(placed.groupBy("bucket", "other", place(LEAF * FAN).alias("node"), place(LEAF).alias("leaf")).agg(F.min("place").alias("id"), F.min("n").alias("low"), F.max("n").alias("high"), _box("point").alias("box"), rows))
+    leaves = held(placed.groupBy("bucket", "other", place(LEAF * FAN).alias("node"), place(LEAF).alias("leaf")).agg(F.min("place").alias("id"), F.min("n").alias("low"), F.max("n").alias("high"), _box("point").alias("box"), rows))
     nodes = cut(leaves.groupBy("bucket", "other", "node").agg(F.min("id").alias("id"), F.min("low").alias("low"), F.max("high").alias("high"), _box("box").alias("box")))
     near = _boxes_met(nodes, nodes, ["bucket"]).select("a_bucket", "a_id", "b_id")
     of_node = F.min("id").over(Window.partitionBy("bucket", "other", "node"))
@@ -379,16 +380,25 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     tokens = base.where("doc_id is not null").select("key", F.explode("first").alias("t")).select("key", "t.token", "t.salt")
     bucket = Window.partitionBy("token", "salt")
     met = tokens.select("*", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high"), F.count("*").over(bucket).alias("size"))
-    met = written(met.where("low <> high or salt > 0").select("token", "salt", "key", "size"))
+    scratch: list[DataFrame] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        scratch.append(written(df))
+        return scratch[-1]
+
+    met = held(met.where("low <> high or salt > 0").select("token", "salt", "key", "size"))
     # the set that meets most others is the likeliest original of its copies
     degrees = cut(met.groupBy("key").agg(F.sum("size").alias("degree")))
     central = F.max(F.struct("degree", "key")).over(bucket)["key"]
-    shared = written(met.join(_small(degrees), "key").select("token", "salt", "key", central.alias("center")))
-    points = written(_points(base, shared))
+    shared = held(met.join(_small(degrees), "key").select("token", "salt", "key", central.alias("center")))
+    points = held(_points(base, shared))
     repeated = base.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
-    links = _verified(docs, _first_partners(shared, points), points, repeated)
-    more = _across(shared, components(links), points).join(links, ["a", "b"], "left_anti")
-    return _result(base, components(links.unionAll(_verified(docs, more, points, repeated))))
+    links = _verified(docs, _first_partners(shared, points), points, repeated, held)
+    more = _across(shared, components(links), points, held).join(links, ["a", "b"], "left_anti")
+    labels = components(links.unionAll(_verified(docs, more, points, repeated, held)))
+    for table in scratch:  # labels are checkpointed
+        forget(table)
+    return _result(base, labels)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

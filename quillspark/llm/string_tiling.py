@@ -168,7 +168,7 @@ def covered(block: Block, text: str | None) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, least: int = LEAST) -> Iterator[Block]:
-    """The benchmark in blocks of at most BLOCK_TOKENS tokens (or one item); one block is on the driver at a time."""
+    """The benchmark in blocks of at most BLOCK_TOKENS tokens (or one item), made one after another; each stays broadcast while the result is in use."""
     rows, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         item = tokens(r["text"])
