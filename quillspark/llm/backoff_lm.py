@@ -275,14 +275,14 @@ def _size(docs: DataFrame) -> tuple[int, int]:
 
 
 def scored(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """doc_id, n_tokens, log_score and mean_log_score of every row of docs (doc_id, text)."""
+    """doc_id, n_tokens, mean_log_score (a token; texts of any length compare by it) and log_score (the sum) of every row of docs (doc_id, text)."""
     rows = texts(docs)
     chars, words = _size(rows)
     bits = max(0, (-(-chars // part_chars) - 1).bit_length())
     step, width = min(bits, FAN_BITS), min(64, KEPT_BITS + bits)
     blocks = _blocks(rows, block_chars)
     totals = _totals(_runs(blocks, order, step, width), -(-chars // block_chars) or 1, width - step, bits - step)
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("log_score", T.DoubleType())])
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         grams = Grams(_texts_of(table), order)
@@ -291,6 +291,6 @@ def scored(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS,
         by_level = [_whole([x for part, x in known if part >> step == n], len(grams.levels[n][1])) for n in range(order)]
         sums = _sums(grams, by_level, words)
         mean = pa.array(sums / np.maximum(grams.sizes, 1), mask=grams.sizes == 0)
-        return pa.table([table.column("ids").combine_chunks().flatten(), pa.array(grams.sizes), pa.array(np.where(grams.sizes > 0, sums, 0.0)), mean], schema.names)
+        return pa.table([table.column("ids").combine_chunks().flatten(), pa.array(grams.sizes), mean, pa.array(np.where(grams.sizes > 0, sums, 0.0))], schema.names)
 
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)
