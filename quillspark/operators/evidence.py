@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import name_key, page_text
+from quillspark.functions.text import name_key, number_in, page_text
 from quillspark.operators.numbering import numbered
 
 
@@ -66,6 +66,13 @@ def lineage(claims: DataFrame, evidence: DataFrame, records: DataFrame, pages: D
     )
 
 
+def normalized(records: DataFrame, value: str, unit: str, units: DataFrame) -> DataFrame:
+    """records with normalized_value (decimal(38,10)) and normalized_unit, by units (unit, factor, normalized_unit), one row a unit; null where the value is no number, has over 14 digits before its point, or the unit isn't known."""
+    known = units.select(F.col("unit").alias(unit), F.col("factor").cast("decimal(18,6)").alias("_factor"), "normalized_unit")
+    number = number_in(F.col(value)).try_cast("decimal(20,6)")
+    return records.join(known, unit, "left").withColumn("normalized_value", (number * F.col("_factor")).try_cast("decimal(38,10)")).drop("_factor")
+
+
 def confidence(rows: DataFrame, value: str, low: float) -> DataFrame:
     """n, low and median of a column, one row: how many values there are, how many under low, and the mean of the middle one or two. Values are placed by a range-partitioned sort."""
     known = rows.select(F.col(value).alias("v")).where("v is not null")

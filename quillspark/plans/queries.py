@@ -143,6 +143,17 @@ def value_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", number_in(F.col("n")).alias("v"))
 
 
+@query(
+    "select l_orderkey, l_linenumber, l_returnflag, case when u is not null then cast(cast(l_quantity as bigint) * f as decimal(38,10)) end normalized_value, u normalized_unit "
+    "from lineitem left join (values ('A', 1, 'kg'), ('N', 1000, 'kg')) x(k, f, u) on l_returnflag = k"
+)
+def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities in units that their flags stand for; one flag is no known unit."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("original_value"))
+    units = spark.createDataFrame([("A", 1, "kg"), ("N", 1000, "kg")], "unit string, factor int, normalized_unit string")
+    return evidence.normalized(rows, "original_value", "l_returnflag", units).select("l_orderkey", "l_linenumber", "l_returnflag", "normalized_value", "normalized_unit")
+
+
 @query("select a.event_id a_id, b.event_id b_id from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type and a.event_id < b.event_id where a.value <> b.value and cast(a.ts as date) = cast(b.ts as date)")
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fitted, page_numbers, page_text, percent_in, too_long
+from quillspark.operators import evidence
 from quillspark.operators.constraints import Violation, checked, typed, violations, with_defaults, with_ids
 from quillspark.operators.deletes import after_delete, blockers, victims
 from quillspark.schema import TABLES, references, struct_of
@@ -119,5 +120,21 @@ def test_json_keeps_nulls_and_milliseconds(spark):
     assert as_json(rows).first()[0] == '{"a":1,"b":null,"c":"2025-03-01T02:03:04.567Z"}'
 
 
+def test_normalized_values(spark):
+    rows = spark.createDataFrame([("1,250.5", "t"), ("7", "kg"), ("7", "odd"), ("x", "t"), (None, "t"), ("7", None), ("9" * 20, "t")], "v string, u string")
+    units = spark.createDataFrame([("t", 1000.0, "kg"), ("kg", 1.0, "kg")], "unit string, factor double, normalized_unit string")
+    got = {(r.v, r.u): (r.normalized_value, r.normalized_unit) for r in evidence.normalized(rows, "v", "u", units).collect()}
+    assert got == {("1,250.5", "t"): (Decimal("1250500"), "kg"), ("7", "kg"): (Decimal(7), "kg"), ("7", "odd"): (None, None), ("x", "t"): (None, "kg"), (None, "t"): (None, "kg"), ("7", None): (None, None), ("9" * 20, "t"): (None, "kg")}
+
+
+def test_confidence_and_incomplete(spark):
+    rows = spark.createDataFrame([(x,) for x in (3.0, 1.0, None, 2.0, 9.0)], "v double")
+    assert tuple(evidence.confidence(rows, "v", 2.5).first()) == (4, 2, 2.5) and tuple(evidence.confidence(rows.limit(0), "v", 1.0).first()) == (0, 0, None)
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "document_id int")
+    pages = spark.createDataFrame([(1,), (1,), (2,)], "document_id int")
+    expected = spark.createDataFrame([(1, 2), (2, 2), (3, 0)], "document_id int, pages_detected int")
+    assert [r[0] for r in evidence.incomplete(docs, pages, expected).collect()] == [2] and [r[0] for r in evidence.incomplete(docs, pages).collect()] == [3]
+
+
 def test_struct_types(spark):
     assert struct_of("documents")["uploaded_at"].dataType.simpleString() == "timestamp_ntz" and not struct_of("documents")["document_name"].nullable
