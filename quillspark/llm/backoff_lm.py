@@ -256,8 +256,8 @@ def _sums(grams: Grams, totals: list[np.ndarray], words: int) -> np.ndarray:
     return np.bincount(grams.doc, score, n_docs)
 
 
-def _size(docs: DataFrame) -> tuple[int, int]:
-    """Characters and words of all texts."""
+def _size(docs: DataFrame) -> tuple[int, int, int]:
+    """Characters and words of all texts, and the tasks that read them."""
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
 
@@ -270,18 +270,18 @@ def _size(docs: DataFrame) -> tuple[int, int]:
             words += int(np.count_nonzero(gap[:-1] & ~gap[1:]))
         yield pa.RecordBatch.from_pydict({"chars": [chars], "words": [words]})
 
-    found = docs.select("text").mapInArrow(run, "chars long, words long").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words")).first()
-    return found["chars"] or 0, found["words"] or 0
+    found = docs.select("text").mapInArrow(run, "chars long, words long").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.count("*").alias("tasks")).first()
+    return found["chars"] or 0, found["words"] or 0, found["tasks"]
 
 
 def scored(docs: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, n_tokens, mean_log_score (a token; texts of any length compare by it) and log_score (the sum) of every row of docs (doc_id, text)."""
     rows = texts(docs)
-    chars, words = _size(rows)
+    chars, words, tasks = _size(rows)
     bits = max(0, (-(-chars // part_chars) - 1).bit_length())
     step, width = min(bits, FAN_BITS), min(64, KEPT_BITS + bits)
     blocks = _blocks(rows, block_chars)
-    totals = _totals(_runs(blocks, order, step, width), -(-chars // block_chars) or 1, width - step, bits - step)
+    totals = _totals(_runs(blocks, order, step, width), -(-chars // block_chars) + tasks, width - step, bits - step)  # a task may end in a smaller block
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("log_score", T.DoubleType())])
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
