@@ -21,9 +21,10 @@ def document_text(pages: DataFrame, key: str, number: str, text: str) -> DataFra
     return pages.groupBy(key).agg(ordered.alias("pages")).select(key, page_text(F.transform("pages", lambda p: p["text"])).alias("doc_text"), F.size("pages").cast("bigint").alias("pages_detected"))
 
 
-def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every document with each of its pages, or once with nulls."""
-    return documents.join(pages, "document_id", "left")
+def documents_with_pages(documents: DataFrame, pages: DataFrame, by: str | None = None) -> DataFrame:
+    """Every document with each of its pages, or once with nulls; in the order of document_id and by if that is given."""
+    found = documents.join(pages, "document_id", "left")
+    return found.orderBy("document_id", by) if by else found
 
 
 def incomplete(documents: DataFrame, pages: DataFrame, expected: DataFrame | None = None) -> DataFrame:

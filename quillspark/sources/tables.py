@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,11 @@ def reply(rows: DataFrame, message: str, name: str | None = None) -> DataFrame:
     return given.select(F.concat(head, F.substring(body, 2, 1 << 30)).alias("json"))
 
 
+def failure(message: str) -> str:
+    """What a client is told of an exception."""
+    return json.dumps({"status": "error", "message": message}, ensure_ascii=False, separators=(",", ":"))
+
+
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
     """One JSON object a row; nulls are written out, timestamps as ISO 8601 with milliseconds."""
     stamps = (T.TimestampNTZType, T.TimestampType)

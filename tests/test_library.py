@@ -192,12 +192,13 @@ def test_one_odd_file_fails_by_itself(spark, tmp_path):
 
 
 def test_requests_and_replies(spark, tmp_path):
-    from quillspark.sources.tables import reply
+    from quillspark.sources.tables import failure, reply
 
     lib = Library(spark, str(tmp_path / "lib"))
     made = lib.add_requests(spark.createDataFrame([('{"document_name": "a", "status": "no", "odd": [1]}',)], "body string"))
     assert reply(made.select("document_id", "document_name", "status", "document_type"), "Added", "document").first()[0] == '{"status":"ok","message":"Added","document":{"document_id":1,"document_name":"a","status":"UPLOADED","document_type":null}}'
     assert reply(spark.sql("select 3 as document_id, 2 as pages_detected"), "Read").first()[0] == '{"status":"ok","message":"Read","document_id":3,"pages_detected":2}'
+    assert failure('no "x"') == '{"status":"error","message":"no \\"x\\""}'
     for body in ('{"document_type": "t"}', "no object", None):
         with pytest.raises(Violation, match="document_name"):
             lib.add_requests(spark.createDataFrame([(body,)], "body string"))
