@@ -389,8 +389,9 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     met = held(met.where("low <> high or salt > 0").select("token", "salt", "key", "size"))
     # the set that meets most others is the likeliest original of its copies
     degrees = cut(met.groupBy("key").agg(F.sum("size").alias("degree")))
-    central = F.max(F.struct("degree", "key")).over(bucket)["key"]
-    shared = held(met.join(_small(degrees), "key").select("token", "salt", "key", central.alias("center")))
+    known = met.join(_small(degrees), "key").select("token", "salt", "key", "degree")
+    centers = known.groupBy("token", "salt").agg(F.max(F.struct("degree", "key"))["key"].alias("center"))
+    shared = held(known.drop("degree").join(centers, ["token", "salt"]))
     points = held(_points(base, shared))
     repeated = base.groupBy("doc_id", "key").count().where("count > 1").limit(1).count() > 0
     links = _verified(docs, _first_partners(shared, points), points, repeated, held)
