@@ -53,7 +53,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [j.HOT, 15], ids=["usual", "salted"])
+@pytest.mark.parametrize("hot", [None, 15], ids=["usual", "salted"])
 def test_as_brute_force(spark, hot):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
