@@ -16,7 +16,7 @@ any fixed order. The order puts rare hash buckets first, counted over all docume
    buckets with much the same sets, so that a pair meets about once; a bucket's points are packed into an R-tree by size and place, whose boxes are met
    level by level before points are, first in few coordinates, then in many. Verify what survives. Links inside a component can't change it, so no pairs within groups are made.
 
-A shingle bucket with far more documents than others (HOT at most) is salted in step 3, with a second level over the salts' own centers.
+A shingle bucket with over HOT documents is salted in step 3, with a second level over the salts' own centers.
 
 Defined results: null or empty texts have the empty set, n_shingles 0, and are linked with nothing; texts of one
 to four words are one shingle; rows with a null doc_id get a null component and link nothing;
@@ -46,7 +46,7 @@ ORDER_BITS = 20
 ORDER_BUCKETS, ORDER_PARTS = 1 << ORDER_BITS, 64
 LEAF, FAN, SMALL = 128, 32, 16
 BAND = 1.05  # sizes of points that are sorted by their coordinates alone
-HOT, LEAST_HOT, OVER_MEAN = 200_000, 2_000, 16  # sets of one shingle in one task, at most: OVER_MEAN times what a bucket has on average, within the first two
+HOT = 200_000  # rows of a shingle, three numbers each, that one task sorts at most
 BROADCAST_ROWS = 200_000  # of a few numbers; some 20 MB at most
 
 
@@ -373,11 +373,10 @@ def _result(base: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(by_key, "key", "left").select("doc_id", "text_key", "n_shingles", F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def linked(docs: DataFrame, hot: int | None = None) -> DataFrame:
+def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text_key (a hash of its text), n_shingles and component_id of every row of docs (doc_id, text)."""
     docs = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    counts = _bucket_counts(docs)
-    base = written(_base(docs, counts, hot or min(HOT, max(LEAST_HOT, OVER_MEAN * int(counts.mean())))))
+    base = written(_base(docs, _bucket_counts(docs), hot))
     tokens = base.where("doc_id is not null").select("key", F.explode("first").alias("t")).select("key", "t.token", "t.salt")
     bucket = Window.partitionBy("token", "salt")
     met = tokens.select("*", F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high"), F.count("*").over(bucket).alias("size"))
