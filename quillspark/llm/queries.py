@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import backoff_lm, byte_bpe, jaccard_join, link_graph, matroska, page_diff, quality_gam, quotation, secret_scan, string_tiling
+from quillspark.llm import backoff_lm, byte_bpe, hard_negatives, jaccard_join, link_graph, matroska, page_diff, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -55,6 +55,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(texts(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_page_diff": op2_page_diff,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_link_graph": op8_link_graph,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {}
 
@@ -90,3 +95,23 @@ component as (select reach.k, min(c.least) as component_id from reach join class
 select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(component.component_id, sets.doc_id) as component_id
 from sets left join classes on sets.s = classes.s and sets.doc_id is not null left join component on component.k = classes.k
 """
+
+#: DuckDB. Every anchor against every row.
+ORACLE_SQL["op12_hard_negatives"] = """
+with vecs as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r, a.vec_id as anchor_id, b.r as o, b.vec_id as other_id, a.label = b.label as alike,
+    cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) as score
+  from vecs a join vecs b on a.r <> b.r where a.vec_id % 50 = 0),
+positives as (select * from scores where alike qualify row_number() over (partition by r order by score desc, other_id) <= 5)
+select p.anchor_id, p.other_id as positive_id,
+  cast(row_number() over (partition by p.r, p.o order by n.score desc, n.other_id) as integer) as rank,
+  n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on p.r = n.r and not n.alike and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify row_number() over (partition by p.r, p.o order by n.score desc, n.other_id) <= 3
+"""
