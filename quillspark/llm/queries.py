@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import backoff_lm, byte_bpe, hard_negatives, jaccard_join, link_graph, matroska, page_diff, quality_gam, quotation, secret_scan, string_tiling
+from quillspark.llm import backoff_lm, byte_bpe, hard_negatives, jaccard_join, link_graph, matroska, multi_index, page_diff, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -59,6 +59,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.searched(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_page_diff": op2_page_diff,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_multi_index": op13_multi_index,
 }
 ORACLE_SQL: dict[str, str] = {}
 
