@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import backoff_lm, byte_bpe, hard_negatives, jaccard_join, link_graph, matroska, multi_index, page_diff, quality_gam, quotation, secret_scan, string_tiling
+from quillspark.llm import backoff_lm, byte_bpe, hard_negatives, jaccard_join, link_graph, matroska, multi_index, page_diff, prefix_trie, quality_gam, quotation, secret_scan, string_tiling
 from quillspark.llm.common import read, texts
 
 
@@ -55,6 +55,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(texts(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(read(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_link_graph": op8_link_graph,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_multi_index": op13_multi_index,
 }
@@ -120,3 +125,39 @@ select p.anchor_id, p.other_id as positive_id,
 from positives p join scores n on p.r = n.r and not n.alike and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
 qualify row_number() over (partition by p.r, p.o order by n.score desc, n.other_id) <= 3
 """
+
+#: DuckDB. Prefixes are lists of turns; a node's descendants are the nodes that its members pass. crc32 goes bit by bit.
+ORACLE_SQL["op11_prefix_trie"] = """
+with recursive own as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t
+  from conversations where conv_id is not null),
+steps as (select unnest(range(256)) as byte),
+crc(byte, step, v) as (
+  select byte, 0, cast(byte as bigint) from steps
+  union all select byte, step + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from crc where step < 8),
+crc_table as (select list(v order by byte) as x from crc where step = 8),
+ids as (select distinct c, cast(c as varchar) as s from own),
+sums(c, s, k, v) as (
+  select c, s, 0, 4294967295 from ids
+  union all select c, s, k + 1, xor(v // 256, x[1 + xor(v % 256, ascii(s[k + 1]))]) from sums, crc_table where k < len(s)),
+convs as (select c, xor(v, 4294967295) % 6 as h from sums where k = len(s)),
+paths as (
+  select c, list_concat(
+    coalesce((select list(t order by k) from own o where o.c = convs.c - convs.c % 100 and o.k <= convs.h), []),
+    coalesce((select list(t order by k) from own o where o.c = convs.c and o.k > convs.h), [])) as p
+  from convs),
+passes as (select c, p[1:d] as p, d, len(p) as size from paths, (select unnest(range(1000)) as d) where d <= len(p)),
+nodes as (
+  select p, d as depth, min(c) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = size), '') as ends,
+    case when d = 0 then 0 else (count(*) - 1) * length(p[d].text) end as saved
+  from passes group by p, d),
+up as (select n.p as p, m.p as top from nodes m join nodes n on n.depth >= m.depth and n.p[1:m.depth] = m.p),
+kids as (select p[1:depth - 1] as p, count(*) as n from nodes where depth > 0 group by 1),
+sub as (select top, sum(n.saved) as saved, count(*) filter (kids.n is null) as leaves from up join nodes n on n.p = up.p left join kids on kids.p = n.p group by top)
+select n.conv_id, cast(n.depth as bigint) as depth, m.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children,
+  cast(sub.leaves as bigint) as n_leaves, cast(sub.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n left join nodes m on m.depth = n.depth - 1 and m.p = n.p[1:n.depth - 1]
+left join kids on kids.p = n.p join sub on sub.top = n.p
+"""
