@@ -95,6 +95,21 @@ def conflicts(items: DataFrame, key: str, same: list[str], value: str) -> DataFr
     return pairs.where((F.col("a_id") < F.col("b_id")) & (F.col(value) != F.col("b_value"))).select("a_id", "b_id")
 
 
+def conflict_classes(items: DataFrame, key: str, same: list[str], value: str) -> DataFrame:
+    """The conflicts of items that agree on the columns same (none null), factored: a row for each value of a group that has several, with
+    n (items that say so), first (their least key), rivals (items of the group that say something else) and against (the least key among those).
+
+    Each of the n items conflicts with each of the rivals, so no pair is lost, and a group makes as many rows as it has values. Values and groups are combined before the shuffle.
+    """
+    known = items.where(" and ".join(f"`{c}` is not null" for c in [*same, value]))
+    classes = known.groupBy(*same, value).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    several = classes.groupBy(*same).agg(F.sum("n").alias("_total"), F.min("first").alias("_least"), F.count("*").alias("_values")).where("_values > 1")
+    split = classes.join(several, same)
+    second = split.where(F.col("first") > F.col("_least")).groupBy(*same).agg(F.min("first").alias("_second"))
+    against = F.when(F.col("first") == F.col("_least"), F.col("_second")).otherwise(F.col("_least"))
+    return split.join(second, same).select(*same, value, "n", "first", (F.col("_total") - F.col("n")).alias("rivals"), against.alias("against"))
+
+
 def current_decision(decisions: DataFrame, of: str, at: str, key: str, keep: list[str]) -> DataFrame:
     """Of each ``of`` the columns to keep of its latest decision; the greater key wins a tie. Combined before the shuffle."""
     latest = F.max_by(F.struct(key, *keep), F.struct(at, key))

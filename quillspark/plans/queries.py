@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
-from quillspark.operators import constraints, deletes, evidence
+from quillspark.operators import constraints, deletes, evidence, names, temporal
 from quillspark.operators.numbering import numbered
 from quillspark.sources.tables import as_json
 
@@ -248,3 +248,60 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' types against names of three sizes, two of which are spelt alike."""
     entities = read(spark, sf_dir, "nation").where("n_nationkey between 1 and 4").select(F.element_at(F.array(*map(F.lit, ("Promo", " small.", "MEDIUM", "Medium "))), F.col("n_nationkey")).alias("canonical_name"), F.col("n_nationkey").alias("entity_id"))
     return evidence.resolved(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", entities).select("p_partkey", "entity_id")
+
+
+@query(
+    "select user_id, event_type, value, n, first, cast(total - n as bigint) rivals, case when first = least then later else least end against from ("
+    "select *, sum(n) over g total, min(first) over g least, count(*) over g k, nth_value(first, 2) over (partition by user_id, event_type order by first rows between unbounded preceding and unbounded following) later "
+    "from (select user_id, event_type, value, count(*) n, min(event_id) first from events where value is not null group by 1, 2, 3) window g as (partition by user_id, event_type)) where k > 1"
+)
+def conflict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.conflict_classes(read(spark, sf_dir, "events"), "event_id", ["user_id", "event_type"], "value")
+
+
+#: Claims about users at moments of the month that events cover; times are microseconds.
+CLAIMED = "1704067200000000 + (o_orderkey * 7919 % 2592000) * 1000000"
+
+
+@query(
+    f"with claims as (select o_orderkey, o_custkey % 200 user_id, {CLAIMED} claimed_at from orders) "
+    "select o_orderkey, c.user_id, claimed_at, x.event_id, x.event_type from (select o_orderkey, c.user_id, claimed_at, max({'ts': ts, 'event_id': event_id, 'event_type': event_type}) x "
+    "from claims c left join events e on e.user_id = c.user_id and epoch_us(ts) <= claimed_at group by 1, 2, 3) c"
+)
+def decision_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for claims, events for decisions about their users."""
+    claims = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("user_id"), F.expr(CLAIMED).alias("claimed_at"))
+    decisions = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("since"))
+    return temporal.in_force(claims, decisions, "user_id", "claimed_at", "since", "event_id", ["event_id", "event_type"])
+
+
+#: Periods from an hour to a day, and one in 500 of a month.
+PERIOD = "(case when o_orderkey % 500 = 0 then 720 else 1 + o_orderkey % 24 end) * 3600000000"
+
+
+@query(
+    f"select o_orderkey, count(*) n, min(event_id) first from (select o_orderkey, o_custkey % 200 u, {CLAIMED} low, {CLAIMED} + {PERIOD} high from orders) "
+    "join events on user_id = u and epoch_us(ts) >= low and epoch_us(ts) < high group by 1"
+)
+def events_in_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for reporting periods, events for what is audited."""
+    periods = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("user_id"), F.expr(CLAIMED).alias("low"), F.expr(f"{CLAIMED} + {PERIOD}").alias("high"))
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = temporal.within(events, "at", periods, "low", "high", ["user_id"])
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("select a.c_name a, b.c_name b, cast(1 as integer) edits from customer a join customer b on a.c_name < b.c_name and levenshtein(a.c_name, b.c_name) = 1")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.similar(read(spark, sf_dir, "customer"), "c_name", 1)
+
+
+@query(
+    "with recursive plain as (select lower(replace(p_name, '#', ' ')) as k, min(p_partkey) as least from part group by 1), "
+    "links as (select a.k as a, b.k as b from plain a join plain b on a.k <> b.k and levenshtein(a.k, b.k) <= 3), "
+    "reach as (select k as a, k as b from plain union select reach.a, links.b from reach join links on reach.b = links.a), "
+    "groups as (select a, min(least) as entity_id from reach join plain on k = b group by 1) "
+    "select p_partkey, p_name, entity_id from part join groups on a = lower(replace(p_name, '#', ' '))"
+)
+def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.resolved_alike(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", 3)
