@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import page_text
+from quillspark.functions.text import page_text, too_long
 from quillspark.operators.constraints import Violation, checked, with_defaults, with_ids
 from quillspark.operators.deletes import after_delete
 from quillspark.schema import TABLES, key_of, references
 from quillspark.session import cut
 from quillspark.sources import pdf
-from quillspark.sources.tables import append, read
+from quillspark.sources.tables import append, read, reply
 
 # What every uploaded file is filed under.
 UPLOAD_ORGANIZATION = "Ministry of Coal"
@@ -23,6 +23,7 @@ UPLOAD_PERIOD = "March 2025"
 UPLOAD_TYPE = "Monthly Statistical Report"
 
 LEDGER, LEDGER_SCHEMA = "_uploads", "path string, document_id int"
+REJECTED, REJECTED_SCHEMA = "_rejected", "path string, name string, error string"
 REQUEST = "document_name string, source_organization string, reporting_period string, document_type string"
 
 
@@ -59,9 +60,17 @@ class Library:
         """path of the files whose upload was ended."""
         return self.ledger().join(self.table("documents").select("document_id"), "document_id", "left_semi").select("path").distinct()
 
+    def rejected(self) -> DataFrame:
+        """path, name, error of the files that a stream set aside."""
+        return read(self.spark, self.root, REJECTED, REJECTED_SCHEMA)
+
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
+    def clock(self, message: str = "database connected") -> DataFrame:
+        """The reply to a client that asks for the time: status, message, time."""
+        return reply(now(self.spark).select(F.col("now").alias("time")), message)
+
     def documents(self) -> DataFrame:
         return newest_first(self.table("documents"))
 
@@ -87,12 +96,25 @@ class Library:
         """document_id, document_name, pages_detected of each PDF under path. An unreadable file fails the whole upload."""
         return self.store(pdf.files(self.spark, path))
 
+    def judged(self, files: DataFrame) -> DataFrame:
+        """path, name, pages and fault of each file: why it can't be uploaded, null if it can."""
+        found = pdf.parsed(files)
+        limit = next(f.limit for f in TABLES["documents"] if f.name == "document_name")
+        zero = F.exists("pages", lambda items: F.exists(items, lambda x: F.contains(x, F.lit("\0"))))
+        fault = F.when(zero, F.lit("document_pages.extracted_text: zero character")).when(too_long(F.col("name"), limit), F.lit("documents.document_name: length"))
+        return cut(found.select("path", "name", "pages", F.coalesce("error", fault).alias("fault")))
+
+    def reject(self, found: DataFrame) -> None:
+        """Keep path, name and fault of judged files that can't be uploaded."""
+        append(found.where("fault is not null").select("path", "name", F.col("fault").alias("error")), self.root, REJECTED, REJECTED_SCHEMA)
+
     def store(self, files: DataFrame) -> DataFrame:
-        found = cut(pdf.parsed(files))
+        """Upload files (path, name, content), or judged ones. One that can't be uploaded fails them all."""
+        found = files if "fault" in files.columns else self.judged(files)
         if not found.limit(1).count():
             raise Violation("no PDF file")
-        if bad := found.where("error is not null").select("name", "error").limit(1).collect():
-            raise Violation(f"{bad[0]['name']}: {bad[0]['error']}")
+        if bad := found.where("fault is not null").select("name", "fault").limit(1).collect():
+            raise Violation(f"{bad[0]['name']}: {bad[0]['fault']}")
         fixed = {"source_organization": UPLOAD_ORGANIZATION, "reporting_period": UPLOAD_PERIOD, "document_type": UPLOAD_TYPE}
         rows = found.select("path", "pages", F.col("name").alias("document_name"), *(F.lit(v).alias(k) for k, v in fixed.items()))
         checked(rows, "documents", {})
@@ -100,9 +122,6 @@ class Library:
         documents = cut(with_defaults(numbered, "documents").join(numbered.select("document_id", "pages"), "document_id"))
         pages = documents.select("document_id", F.posexplode("pages").alias("at", "items"))
         pages = pages.select("document_id", (F.col("at") + 1).alias("page_number"), page_text(F.col("items")).alias("extracted_text"))
-        broken = pages.where(F.contains("extracted_text", F.lit("\0"))).limit(1).count()
-        if broken:
-            raise Violation("document_pages.extracted_text: zero character")
         append(with_ids(pages, "document_pages", self._taken("document_pages"), ["document_id", "page_number"]), self.root, "document_pages")
         append(numbered.select("path", "document_id"), self.root, LEDGER, LEDGER_SCHEMA)
         append(documents.coalesce(1), self.root, "documents")  # one file, there or not

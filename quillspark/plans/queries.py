@@ -6,6 +6,7 @@ events and decisions, customers, orders and lines for rows that refer to one ano
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
 from quillspark.operators import constraints, deletes, evidence, names, temporal
 from quillspark.operators.numbering import numbered
+from quillspark.session import shared_dir
 from quillspark.sources.tables import as_json
+from quillspark.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,3 +308,21 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.resolved_alike(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", 3)
+
+
+@query(
+    "select time_bucket(interval 1 day, ts) start, event_type, count(distinct event_id) n from events where ts is not null group by 1, 2 "
+    "having time_bucket(interval 1 day, min(ts)) + interval 1 day <= (select max(ts) - interval 2 hours from events)"
+)
+def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read as a stream: events of each day that no more rows can join."""
+    events = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")  # a pattern, as the table may be a single file
+    found = arrivals.followed(spark, stream, events.schema, "event_id", "ts", "event_type", "1 day", "2 hours", f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select c_custkey, o_orderkey, row_number() over (order by c_custkey, o_orderkey nulls first) pos from customer left join orders on c_custkey = o_custkey")
+def pages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for documents, orders for their pages: all documents in order, with their pages in order."""
+    return numbered(documents_with_pages(spark, sf_dir), [F.col("c_custkey"), F.asc_nulls_first("o_orderkey")])

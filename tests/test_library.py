@@ -95,6 +95,37 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert lib.documents().count() == 2
 
 
+def test_a_stream_sets_bad_files_aside(spark, tmp_path):
+    files = tmp_path / "in"
+    files.mkdir()
+    lib = Library(spark, str(tmp_path / "lib"))
+    go = lambda: watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(120)
+    for name, content in (("a.pdf", pdf([PAGE])), ("bad.pdf", b"no pdf"), ("c.pdf", pdf([PAGE, PAGE])), ("zero.pdf", pdf([b"(a\\000b) Tj"]))):
+        (files / name).write_bytes(content)
+    go()
+    assert sorted(r.document_name for r in lib.documents().collect()) == ["a.pdf", "c.pdf"] and lib.table("document_pages").count() == 3
+    bad = {r.name: r.error for r in lib.rejected().collect()}
+    assert bad.keys() == {"bad.pdf", "zero.pdf"} and "zero character" in bad["zero.pdf"]
+    (files / "later.pdf").write_bytes(pdf([PAGE]))
+    go()
+    watch(spark, str(files), lib, str(tmp_path / "again")).awaitTermination(120)  # all files once more
+    assert sorted(r.document_name for r in lib.documents().collect()) == ["a.pdf", "c.pdf", "later.pdf"] and lib.rejected().count() == 2
+
+
+@pytest.mark.parametrize("table", ["_rejected", "documents"])
+def test_a_stream_that_failed_among_bad_files(spark, tmp_path, monkeypatch, table):
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "x.pdf").write_bytes(pdf([PAGE]))
+    (files / "bad.pdf").write_bytes(b"%PDF")
+    lib = Library(spark, str(tmp_path / "lib"))
+    failing(monkeypatch, table)
+    with pytest.raises(Exception, match="disk"):
+        watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(120)
+    watch(spark, str(files), lib, str(tmp_path / "at")).awaitTermination(120)
+    assert [r.document_name for r in lib.documents().collect()] == ["x.pdf"] and [r.name for r in lib.rejected().collect()] == ["bad.pdf"]
+
+
 def test_delete_through_library(spark, tmp_path):
     lib = Library(spark, str(tmp_path / "lib"))
     lib.add_document("a")
@@ -204,6 +235,15 @@ def test_requests_and_replies(spark, tmp_path):
             lib.add_requests(spark.createDataFrame([(body,)], "body string"))
 
 
+def test_the_clock_replies(spark, tmp_path):
+    import json
+    from datetime import datetime, timedelta
+
+    told = json.loads(Library(spark, str(tmp_path)).clock().first()[0])
+    assert list(told) == ["status", "message", "time"] and told["status"] == "ok" and told["message"].endswith("database connected")
+    assert abs(datetime.fromisoformat(told["time"]).replace(tzinfo=None) - datetime.utcnow()) < timedelta(minutes=1)
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 
