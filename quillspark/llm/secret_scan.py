@@ -4,15 +4,16 @@ Native: column expressions only. Every row is scanned on its own, so the plan of
 shuffle. The battery takes runs of 20 or more token characters that hold a letter (24 digits are a fixed pattern, and fewer lack LEAST_BITS),
 infers each one's encoding from the characters used, and tests whether its symbols look drawn at
 random from that alphabet: chi-squared uniformity, runs above and below the middle, and lag-one serial
-correlation, combined by Fisher's method. Tokens that aren't random are the discoveries; the
-Benjamini-Hochberg step holds their false-discovery rate within each length class (powers of
-two), over all documents. Among many identifiers that step alone would drop one random token in five, so nothing with p over LOSS is dropped,
-whatever the other rows hold. What is left undiscovered and has enough symbols is reported as
-kind ``random`` where it overlaps no span of a fixed pattern. So the rate is controlled on the side of what is dropped: of the tokens dropped as not random few are random. The reported
-ones have no such bound, as a test can't prove that a token is random; some are names.
+correlation, combined by Fisher's method. Tokens that aren't random are the discoveries of a first Benjamini-Hochberg
+step, within each length class (powers of two), over all documents; nothing with p over LOSS is dropped by it, as among many identifiers it alone would drop one random token in five.
 
-The step needs the ranks of all p-values. They are counted by length class and twentieth of
-a decade, at most LENGTH_CLASSES * P_BINS counts however large the corpus, so no rows meet in one task.
+Words of 20 letters pass three tests on 20 symbols, so what is left must also be unlike the corpus' own words. How often a letter follows another is counted over all words of WORD letters or
+more; a token's evidence is how much likelier a draw from its alphabet makes it than those pairs of letters and the habits of names (NAMES: how often letters, digits and signs follow one another). Under the
+pairs its mean is 1 at any length, so a second step, on evidence, holds the false discoveries of what is reported at REPORTED within each length class. What passes both is reported as
+kind ``random`` where it overlaps no span of a fixed pattern. Names unlike all words of the corpus may be among it, and random tokens of few symbols may not.
+
+The steps need ranks. Tokens are counted by length class, twentieth of a decade of p and tenth of a decade of evidence,
+LENGTH_CLASSES * P_BINS * E_BINS counts at most however large the corpus, so no rows meet in one task.
 
 Defined results: null text counts as empty; no spans give '' and zero counts; positions count code
 points, ends exclusive; repeated rows and ties are scanned alike; other columns are left out.
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let, running
+from quillspark.llm.common import cut, let, running
 
 # The patterns that the scan's contract names, with the least length of a match (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,17 +41,26 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ENCODINGS = (
     ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef"),
     ("HEX", r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("upper", r"^[A-Z]+$", UPPER),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", r"^[0-9a-z]+$", DIGITS + LOWER),
     ("BASE36", r"^[0-9A-Z]+$", DIGITS + UPPER),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 FDR = 0.2  # share of random tokens among those called not random
 LOSS = 0.001  # largest p at which a token may be dropped: about the chance that a random one is
+REPORTED = 0.05  # share of tokens like words among those reported
+WORD = 4  # letters of the shortest word that pairs are counted in
+OTHER = 0.2  # share of a name's pairs of letters that may be like no word
+#: How often a letter, a digit or a sign of a name is followed by a letter, a digit, a sign.
+NAMES = ((0.88, 0.06, 0.06), (0.2, 0.6, 0.2), (0.7, 0.2, 0.1))
 LEAST_BITS = 80  # symbols times bits a symbol that a reported token must have
 LENGTH_CLASSES, P_BINS, BINS_A_DECADE = 32, 400, 20
+E_BINS, E_A_DECADE = 400, 10
 CHUNK = 4096  # characters of a text that are handled together
 
 
@@ -139,36 +149,108 @@ def _p_bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_A_DECADE).cast("int"), F.lit(P_BINS - 1))
 
 
-def not_random_from(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
-    """Per length class the least p bin whose tokens are called not random, of those with p up to LOSS. At most LENGTH_CLASSES entries come to the driver."""
+def letter_pairs(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """ln of how often each letter follows each other one in words, 26 * 26 numbers; one in 1 / OTHER pairs is taken to be any, as names hold words that no text has."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[A-Za-z]{{{WORD},}}"), F.lit(0))).alias("w"))
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.lower(F.substring(F.col("w"), k, 2)))).alias("pair"))
+    seen = {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}  # 676 at most
+    rows = [[seen.get(a + b, 0) for b in LOWER] for a in LOWER]
+    return [math.log((1 - OTHER) * (n / sum(row) if any(row) else 1 / 26) + OTHER / 26) for row in rows for n in row]
+
+
+def evidence(s: Column, pairs: list[float]) -> Column:
+    """ln of how much likelier a draw from its alphabet makes a token than the words of the corpus; null without an encoding."""
+    odds = F.lit(None).cast("array<double>")
+    for _, allowed, letters in reversed(ENCODINGS):
+        share = [sum(c.isalpha() for c in letters), sum(c.isdigit() for c in letters), sum(not c.isalnum() for c in letters)]
+        own = [math.log(x / len(letters)) if x else 0.0 for x in share]  # a kind that the alphabet lacks isn't looked up
+        odds = F.when(F.regexp_like(s, F.lit(allowed)), F.lit([*own, -math.log(len({c.lower() for c in letters if c.isalpha()}))])).otherwise(odds)
+    habits, follows = F.lit([math.log(x) for row in NAMES for x in row]), F.lit(pairs)
+
+    def seen(x: Column) -> Column:
+        at = F.transform(F.filter(F.split(x["s"], ""), lambda c: c != ""), lambda c: F.instr(F.lit(LOWER + UPPER), c) - 1)
+        kinds = F.transform(F.filter(F.split(x["s"], ""), lambda c: c != ""), lambda c: F.when(F.instr(F.lit(LOWER + UPPER), c) > 0, F.lit(0)).when(F.instr(F.lit(DIGITS), c) > 0, F.lit(1)).otherwise(F.lit(2)))
+        # small letters from 0, capitals from 26, from 52 those before a small one
+        ahead = let(at, lambda v: F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.when((a >= 26) & F.coalesce((b >= 0) & (b < 26), F.lit(False)), a + 26).otherwise(a)))
+        return F.struct(x["odds"].alias("odds"), ahead.alias("at"), kinds.alias("kinds"))
+
+    def told(x: Column) -> Column:
+        rest = F.size(x["at"]) - 1
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
+        # a capital between small letters begins a word
+        pair = lambda a, b: F.when((a >= 0) & (b >= 0) & ~((a < 26) & (b >= 52)), F.get(x["odds"], F.lit(3)) - F.get(follows, a % 26 * 26 + b % 26)).otherwise(F.lit(0.0))
+        letters = F.zip_with(F.slice(x["at"], F.lit(1), rest), F.slice(x["at"], F.lit(2), rest), pair)
+        turns = F.zip_with(F.slice(x["kinds"], F.lit(1), rest), F.slice(x["kinds"], F.lit(2), rest), lambda a, b: F.get(x["odds"], b) - F.get(habits, a * 3 + b))
+        return total(letters) + total(turns)
+
+    given = F.struct(s.alias("s"), odds.alias("odds"))
+    return F.when(odds.isNotNull(), let(given, lambda x: let(seen(x), told)))
+
+
+def _e_bin(e: Column) -> Column:
+    """0 for evidence of 1 or less, more for more."""
+    return F.greatest(F.least(F.floor(e / math.log(10) * E_A_DECADE).cast("int"), F.lit(E_BINS - 1)), F.lit(0))
+
+
+def _counted(docs: DataFrame, text_col: str, pairs: list[float] | None) -> DataFrame:
+    """length_class, p_bin, e_bin, enough, count of all candidates with an encoding."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     token = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    tested = token.select(_length_class(F.col("token")).alias("length_class"), battery(F.col("token"))["p"].alias("p"))
-    counts = tested.where(F.col("p").isNotNull()).groupBy("length_class", _p_bin(F.col("p")).alias("p_bin")).count()
+    e = F.lit(0) if pairs is None else _e_bin(evidence(F.col("token"), pairs))
+    tested = token.select(_length_class(F.col("token")).alias("length_class"), battery(F.col("token")).alias("t"), e.alias("e_bin")).where("t is not null")
+    return tested.groupBy("length_class", _p_bin(F.col("t.p")).alias("p_bin"), "e_bin", (F.col("t.bits") >= LEAST_BITS).alias("enough")).count()
+
+
+def _not_random(counts: DataFrame, fdr: float) -> dict[int, int]:
     w = Window.partitionBy("length_class")
-    ranked = counts.withColumn("rank", F.sum("count").over(w.orderBy(F.desc("p_bin")))).withColumn("m", F.sum("count").over(w))
+    by_p = counts.groupBy("length_class", "p_bin").agg(F.sum("count").alias("count"))
+    ranked = by_p.withColumn("rank", F.sum("count").over(w.orderBy(F.desc("p_bin")))).withColumn("m", F.sum("count").over(w))
     # the largest p of bin b is 10 ** (-b / BINS_A_DECADE)
     found = ranked.where(F.pow(F.lit(10.0), -F.col("p_bin") / BINS_A_DECADE) <= fdr * F.col("rank") / F.col("m"))
     least = math.ceil(-math.log10(LOSS) * BINS_A_DECADE)
     return {r["length_class"]: max(least, r["p_bin"]) for r in found.groupBy("length_class").agg(F.min("p_bin").alias("p_bin")).collect()}
 
 
-def scanned(docs: DataFrame, keep: list[str], text_col: str = "text", limits: dict[int, int] | None = None) -> DataFrame:
+def not_random_from(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
+    """Per length class the least p bin whose tokens are called not random, of those with p up to LOSS. At most LENGTH_CLASSES entries come to the driver."""
+    return _not_random(_counted(docs, text_col, None), fdr)
+
+
+def limits(docs: DataFrame, text_col: str = "text", fdr: float = FDR, reported: float = REPORTED) -> tuple[list[float], dict[int, tuple[int, int]]]:
+    """Letter pairs, and per length class with anything to report the p bin from which tokens are dropped and the least bin of evidence."""
+    pairs = letter_pairs(docs, text_col)
+    counts = cut(_counted(docs, text_col, pairs))
+    dropped = _not_random(counts, fdr)
+    w = Window.partitionBy("length_class")
+    least = _by_class(F.col("length_class"), dropped, P_BINS)
+    left = counts.withColumn("left", F.when((F.col("p_bin") < least) & F.col("enough"), F.col("count")).otherwise(F.lit(0)))
+    by_e = left.groupBy("length_class", "e_bin").agg(F.sum("left").alias("left"), F.sum("count").alias("count"))
+    ranked = by_e.withColumn("k", F.sum("left").over(w.orderBy(F.desc("e_bin")))).withColumn("m", F.sum("count").over(w))
+    # the least evidence of bin b is 10 ** (b / E_A_DECADE)
+    found = ranked.where((F.col("k") > 0) & (F.pow(F.lit(10.0), F.col("e_bin") / E_A_DECADE) * reported * F.col("k") >= F.col("m")))
+    return pairs, {r["length_class"]: (dropped.get(r["length_class"], P_BINS), r["e_bin"]) for r in found.groupBy("length_class").agg(F.min("e_bin").alias("e_bin")).collect()}
+
+
+def _by_class(length_class: Column, given: dict[int, int], default: int) -> Column:
+    """The number given for a length class."""
+    return F.get(F.array(*(F.lit(given.get(c, default)) for c in range(LENGTH_CLASSES))), length_class)
+
+
+def scanned(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns to keep in a struct ``kept``, text, base and all spans: array<struct<start, kind, end>>, sorted by start, then kind as in KINDS."""
-    limits = not_random_from(docs, text_col) if limits is None else limits
+    pairs, cuts = limits(docs, text_col)
     rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda s: F.length(s) >= ASSIGN_LEAST)
     bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     parts = rows.select("kept", "text", _spans(text, ASSIGN, 0, long_enough).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, CANDIDATE, 3).alias("candidates"))
     based = parts.select("kept", "text", F.array_sort(bare(F.concat("assign", "access", "hex"))).alias("base"), "candidates")
-    limit = F.lit(P_BINS)
-    for length_class, p_bin in sorted(limits.items()):
-        limit = (lambda rest, c, b: lambda s: F.when(_length_class(s) == c, F.lit(b)).otherwise(rest(s) if callable(rest) else rest))(limit, length_class, p_bin)
+    least = lambda k, default: lambda x: _by_class(_length_class(x["found"]), {c: v[k] for c, v in cuts.items()}, default)
+    drop_from, report_from = least(0, 0), least(1, E_BINS)
 
     def random(x: Column) -> Column:
-        tested = let(battery(x["found"]), lambda t: (t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < (limit(x["found"]) if callable(limit) else limit)))
-        return F.coalesce(tested, F.lit(False))
+        drawn = let(battery(x["found"]), lambda t: (t["bits"] >= LEAST_BITS) & (_p_bin(t["p"]) < drop_from(x)))
+        return F.coalesce(F.when(drawn, _e_bin(evidence(x["found"], pairs)) >= report_from(x)), F.lit(False))
 
     more = F.when(F.size("candidates") > 0, bare(F.filter(_apart(F.col("base"), F.col("candidates")), random))).otherwise(bare(F.col("candidates")))
     return based.select("kept", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import secret_scan as s
@@ -50,7 +51,7 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     rows = [(k, f"before {x} after") for k, x in enumerate(keys + names)]
     got = {r.doc_id: r.spans for r in s.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = [k for k in range(len(keys)) if got[k] == "random:7:47"]
-    assert len(found) >= 45
+    assert len(found) >= 54
     assert sum(bool(got[k]) for k in range(len(keys), len(rows))) <= 4
 
 
@@ -91,6 +92,56 @@ def test_random_tokens_are_kept_among_many_identifiers(spark):
     assert all(found.get(kind, 0) >= 490 for kind in made), found
 
 
+def test_nothing_of_prose_is_reported(spark):
+    """At sf 0.1, where long words of invented prose once were; all spans come from the fixed patterns."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = s.report(docs).where("spans like '%random%'").select("doc_id", "spans").collect()
+    assert got == []
+
+
+def test_planted_tokens_are_found_in_prose(spark):
+    rnd = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base64": upper + lower + digits + "+/", "base62": upper + lower + digits, "base36": lower + digits, "lower": lower, "letters": upper + lower}
+    made = [(100_000 + 100 * j + k, f"so {''.join(rnd.choice(letters) for _ in range(32))} it is") for j, letters in enumerate(kinds.values()) for k in range(40)]
+    names = ["SomeVeryLongClassNameFactoryBuilder", "quick-brown-fox-jumps-over", "ThisIsAReallyLongHashtagAboutCats", "keitstlichschenverpf", "enungtzeinkeitlichch", "iertionieroupamenteux", "2024-01-02-the-report-of-the-year", "internationalization_and_localization", "path/to/some/module/with/parts"]
+    rows = docs.unionByName(spark.createDataFrame(made + [(200_000 + k, f"a {n} b") for k, n in enumerate(names)], docs.schema))
+    got = {r.doc_id: r.spans for r in s.report(rows).where("spans like '%random%'").collect()}
+    for j, kind in enumerate(kinds):
+        assert sum(got.get(100_000 + 100 * j + k) == "random:3:35" for k in range(40)) >= 36, kind
+    assert not [n for k, n in enumerate(names) if 200_000 + k in got] and len([i for i in got if i < 100_000]) == 0
+
+
+def test_evidence_as_written_out(spark):
+    import math
+    from collections import Counter
+
+    text = "Kindergarten überall wonderfulness; abcdefgh short UPPERCASE"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    pairs = s.letter_pairs(docs)
+    words = ["kindergarten", "berall", "wonderfulness", "abcdefgh", "short", "uppercase"]
+    seen = Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
+    row = lambda a: sum(seen[a + b] for b in s.LOWER)
+    follows = lambda a, b: math.log((1 - s.OTHER) * (seen[a + b] / row(a) if row(a) else 1 / 26) + s.OTHER / 26)
+    assert all(math.isclose(pairs[i * 26 + j], follows(a, b)) for i, a in enumerate(s.LOWER) for j, b in enumerate(s.LOWER))
+    kind = lambda c: 0 if c.isalpha() else 1 if c.isdigit() else 2
+
+    def told(token, letters):
+        share, low, out = Counter(map(kind, letters)), len({c.lower() for c in letters if c.isalpha()}), 0.0
+        for a, b, c in zip(token, token[1:], token[2:] + " "):
+            out += math.log(share[kind(b)] / len(letters)) - math.log(s.NAMES[kind(a)][kind(b)])
+            if a.isalpha() and b.isalpha() and not (a.islower() and b.isupper() and c.islower()):
+                out += -math.log(low) - follows(a.lower(), b.lower())
+        return out
+
+    letters = {n: x for n, _, x in s.ENCODINGS}
+    tokens = {"kindergartenwonder": "lower", "zqxjkvbpw": "lower", "A1b2C3d4": "base62", "aBCdeF": "letters", "a1-b2_cd": "base64url", "XYZ234": "base32", "aBcDE": "letters", "0a0b": "hex"}
+    got = {r.t: r.e for r in spark.createDataFrame([(t,) for t in [*tokens, "a.b"]], "t string").select("t", s.evidence(F.col("t"), pairs).alias("e")).collect()}
+    assert got.pop("a.b") is None
+    assert got == {t: pytest.approx(told(t, letters[n])) for t, n in tokens.items()}
+
+
 def test_battery_as_written_out(spark):
     import math
 
