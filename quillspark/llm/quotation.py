@@ -1,6 +1,7 @@
 """Quotation linking: who a message answers, told by what it quotes.
 
-Native: DataFrame operations only. Lines that start with > are parsed into nested levels; neighbouring
+Native: DataFrame operations only. Lines that start with > are parsed into nested levels, but for comparisons (>= or > before a digit) and prompts: a line
+of >>> and a blank is a quote only in a message that also quotes at level one or two, as what it nests in would be. Neighbouring
 lines of a level are a passage. Passages, and single lines of LEAST_WORDS words or more, are normalised and hashed,
 and joined within their conversation to the earliest message that says the same unquoted. A message's parent is
 the latest message that its least nested linked passage leads to; roots and depths follow from parents by pointer
@@ -25,15 +26,24 @@ from quillspark.llm.common import cut, let, positioned, running, same
 LEAST_WORDS = 3  # of a line that is looked up by itself
 ROUNDS = 40  # of pointer doubling; enough for 2 ** 40 nested replies
 MARK = r"^[ \t]*((?:>[ \t]*)+)"
+COMPARES, PROMPT = r"^[ \t]*>+[=0-9]", r"^[ \t]*>>>([ \t\r]|$)"
 #: Lines that introduce the quote below them and aren't the writer's words.
 INTRODUCES = r"(?i)^(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:$"
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<level, body, intro>>. A line introduces a quote only if the next line that isn't blank is quoted."""
+    """array<struct<level, body, intro, raw>>: body is for hashing, raw the line as it stands. A line introduces a quote only if the next line that isn't blank is quoted."""
     marks = lambda line: F.regexp_extract(line, MARK, 1)
-    level = lambda line: F.length(marks(line)) - F.length(F.replace(marks(line), F.lit(">"), F.lit("")))
-    split = F.transform(F.split(text, "\r?\n"), lambda line: F.struct(level(line).alias("level"), F.trim(F.regexp_replace(line, MARK, "")).alias("body")))
+    level = lambda line: F.when(F.regexp_like(line, F.lit(COMPARES)), F.lit(0)).otherwise(F.length(marks(line)) - F.length(F.replace(marks(line), F.lit(">"), F.lit(""))))
+    bare = lambda c: F.regexp_replace(c, r"^[ \r]+|[ \r]+$", "")
+    counted = F.transform(F.split(text, "\n"), lambda line: F.struct(level(line).alias("level"), F.regexp_like(line, F.lit(PROMPT)).alias("prompt"), line.alias("raw")))
+
+    def judged(lines: Column) -> Column:
+        nests = F.exists(lines, lambda x: (x["level"] == 1) | (x["level"] == 2))
+        quoted = lambda x: F.when(x["prompt"] & ~nests, F.lit(0)).otherwise(x["level"])
+        return F.transform(lines, lambda x: F.struct(quoted(x).alias("level"), bare(F.when(quoted(x) > 0, F.regexp_replace(x["raw"], MARK, "")).otherwise(x["raw"])).alias("body"), x["raw"].alias("raw")))
+
+    split = let(counted, judged)
 
     def introduced(lines: Column) -> Column:
         given = F.struct(
@@ -44,12 +54,12 @@ def _lines(text: Column) -> Column:
         def marked(n: Column) -> Column:
             after = lambda i: F.get(lines, F.get(n["said"], (F.get(n["rank"], i) + 1).cast("int")))
             intro = lambda x, i: F.when(F.regexp_like(x["body"], F.lit(INTRODUCES)), F.coalesce(after(i)["level"] > 0, F.lit(False))).otherwise(F.lit(False))
-            return F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), intro(x, i).alias("intro")))
+            return F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), intro(x, i).alias("intro"), x["raw"].alias("raw")))
 
         return let(given, marked)
 
     # without a > nothing is quoted, so nothing is introduced
-    plain = lambda lines: F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.lit(False).alias("intro")))
+    plain = lambda lines: F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.lit(False).alias("intro"), x["raw"].alias("raw")))
     return F.when(F.contains(text, F.lit(">")), let(split, introduced)).otherwise(plain(split))
 
 
@@ -74,11 +84,11 @@ def _joined(lines: Column, run: Column, glue: str) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, lines, runs, and own: what the message says itself, trimmed."""
+    """conv_id, turn, role, lines, runs, and own: what the message says itself, line by line as it stands, without blank lines before it and blanks behind it."""
     rows = messages.select("conv_id", "turn", "role", _lines(F.coalesce("text", F.lit(""))).alias("lines"))
     rows = rows.withColumn("runs", _runs(F.col("lines")))
     mine = F.filter("lines", lambda x: (x["level"] == 0) & ~x["intro"])
-    return rows.withColumn("own", F.regexp_replace(F.array_join(F.transform(mine, lambda x: x["body"]), "\n"), r"^\s+|\s+$", ""))
+    return rows.withColumn("own", F.regexp_replace(F.array_join(F.transform(mine, lambda x: x["raw"]), "\n"), r"^\s*\n|\s+$", ""))
 
 
 def _units(rows: DataFrame, quoted: bool) -> DataFrame:

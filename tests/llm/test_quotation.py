@@ -11,10 +11,14 @@ def normal(text):
 
 
 def read(text):
-    lines = []
-    for line in re.split("\r?\n", text or ""):
-        m = re.match(r"[ \t]*((?:>[ \t]*)+)", line)
-        lines.append((m[1].count(">") if m else 0, (line[m.end() :] if m else line).strip(" ")))
+    raw, lines = (text or "").split("\n"), []
+    quoted = lambda line: re.match(r"[ \t]*((?:>[ \t]*)+)", line) if not re.match(r"[ \t]*>+[=0-9]", line) else None
+    nests = any(m and m[1].count(">") in (1, 2) for m in map(quoted, raw))
+    for line in raw:
+        m = quoted(line)
+        if m and not nests and re.match(r"[ \t]*>>>([ \t\r]|$)", line):
+            m = None
+        lines.append((m[1].count(">") if m else 0, (line[m.end() :] if m else line).strip(" \r")))
     after = lambda k: next((n for n, b in lines[k + 1 :] if b), 0)
     intro = {k for k, (_, b) in enumerate(lines) if INTRODUCES.search(b) and after(k) > 0}
     runs, last = [], None
@@ -25,7 +29,8 @@ def read(text):
         elif level is not None:
             runs.append((level, [body]))
         last = level
-    own = "\n".join(b for k, (n, b) in enumerate(lines) if n == 0 and k not in intro).strip()
+    own = "\n".join(raw[k] for k, (n, _) in enumerate(lines) if n == 0 and k not in intro)
+    own = re.sub(r"\A\s*\n|\s+\Z", "", own)
     units = [(0, n, normal(" ".join(b))) for n, b in runs] + [(1, n, normal(b)) for n, b in lines if len(normal(b).split(" ")) >= q.LEAST_WORDS]
     return own, runs, [u for u in units if u[2]]
 
@@ -74,6 +79,26 @@ ROWS = [
 ]
 
 
+def texts_of(spark, texts):
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)]
+    return {r.conv_id: r.text for r in q.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+
+
+def test_text_without_quotes_stays_as_it_is(spark):
+    rnd = random.Random(13)
+    pieces = ["def f():", "    if x:", "\t\treturn 1", "", "  ", ">>> print(1)", ">>> ", "x -> y", ">= 3", ">5 items", "On Monday he wrote:", "a  b\t c", "    - item", "é > è", "\r"]
+    texts = ["def f():\n    if x:\n        return 1", "    indented first", ">>> print(1)\n1\n>>> print(2)\n2", "a\r\n  b\r\nc"]
+    texts += ["\n".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    got = texts_of(spark, texts)
+    for k, t in enumerate(texts):
+        assert got[k] == re.sub(r"\A\s*\n|\s+\Z", "", t), t
+
+
+def test_quotes_go_and_indented_answers_stay(spark):
+    got = texts_of(spark, ["> said\n    code:\n        more\n>>> deep\n>> less\nend", "> a\n>>> not a prompt here", ">>> x = 1\n> said"])
+    assert got == {0: "    code:\n        more\nend", 1: "", 2: ""}
+
+
 def check(spark, rows):
     got = q.threads(spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, position int").repartition(3)).collect()
     keep = [(r.conv_id, r.turn, r.role, r.parent_turn, r.root_turn, r.depth, r.n_quotes, r.n_linked, r.text) for r in got]
