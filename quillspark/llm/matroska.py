@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.common import small_batches
+
 # Element ids of the public EBML and Matroska specifications.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -248,6 +250,8 @@ def _block(b: bytes, start: int, end: int, media: Media, cluster: int, base: int
     frames = laced(b, at + 3, end, lacing)
     step = media.tracks.get(track, {}).get("default_ns", 0) or duration * media.scale // len(frames)
     first = (base + relative) * media.scale
+    if not -(1 << 63) <= first <= first + (len(frames) - 1) * step < 1 << 63:
+        raise Fault(f"block at {start} has a time that no long holds")
     simple = key is None
     for k, (offset, length) in enumerate(frames):
         media.packets.append((track, first + k * step, bool(flags & 128) if simple else key, simple and bool(flags & 1), LACINGS[lacing], cluster, start, offset, length))
@@ -354,21 +358,23 @@ def packet_table(df: DataFrame, key_col: str, content_col: str) -> DataFrame:
                 if media.error and not media.packets:
                     yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, 1), *(pa.nulls(1, t) for t in _ARROW), pa.nulls(1, pa.string()), pa.array([media.error], pa.string())], schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).mapInArrow(run, schema)
 
 
 def cue_table(df: DataFrame, key_col: str, content_col: str) -> DataFrame:
-    """One row per cue: the key, cue_no, track, timestamp_ns, and the place of the cluster it leads to, counted from the first byte of its segment's content."""
+    """One row per cue: the key, cue_no, track, timestamp_ns, and the place of the cluster it leads to, counted from the first byte of its segment's content; null what no long holds."""
     schema = T.StructType([T.StructField("key", df.schema[key_col].dataType), *(T.StructField(n, T.LongType()) for n in ("cue_no", "track", "timestamp_ns", "cluster_position"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, content in enumerate(batch.column("content")):
                 media = parsed(content.as_py())
-                rows = [(k, track, time * media.scale, place) for k, (time, track, place) in enumerate(media.cues)]
+                rows = [tuple(v if v < 1 << 63 else None for v in (k, track, time * media.scale, place)) for k, (time, track, place) in enumerate(media.cues)]
                 keys = batch.column("key").take(pa.array([at] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))], schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key_col).alias("key"), F.col(content_col).alias("content")).mapInArrow(run, schema)
 
 

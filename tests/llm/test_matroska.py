@@ -160,3 +160,17 @@ def test_stored_form_by_another_reader(spark):
         assert len(places) == len(clusters) and all(start + p < c <= start + p + 12 for p, c in zip(places, clusters))
         df = spark.createDataFrame([(1, bytearray(b)), (2, None), (3, bytearray(b"junk"))], "k long, c binary")
         assert [(r.key, r.cue_no, r.track, r.timestamp_ns, r.cluster_position) for r in m.cue_table(df, "k", "c").collect()] == [(1, k, 1, t * 1_000_000, p) for k, (t, p) in enumerate(zip(times, places))]
+
+
+def test_times_that_no_long_holds(spark):
+    track = m.element(m.TRACKS, m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, 1)))
+    block = m.element(m.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    far = m.element(m.CLUSTER, m.number(m.TIMESTAMP, (1 << 64) - 1) + block)
+    cue = m.element(m.CUES, m.element(m.CUE_POINT, m.number(m.CUE_TIME, (1 << 64) - 1) + m.element(m.CUE_POSITIONS, m.number(m.CUE_TRACK, 1) + m.number(m.CUE_CLUSTER, 5))))
+    head = m.element(m.EBML, m.element(m.DOC_TYPE, b"matroska"))
+    files = [(1, head + m.element(m.SEGMENT, track + far)), (2, head + m.element(m.SEGMENT, track + cue)), (3, m.mux(m.padded(b"fine")))]
+    table = spark.createDataFrame([(k, bytearray(b)) for k, b in files], "id int, content binary").repartition(2)
+    got = {r.key: r for r in m.packet_table(table, "id", "content").collect()}
+    assert "no long" in got[1].error and got[1].timestamp_ns is None and got[3].error is None
+    cues = {r.key: (r.timestamp_ns, r.cluster_position) for r in m.cue_table(table, "id", "content").collect() if r.key != 3}
+    assert cues == {2: (None, 5)}
