@@ -26,7 +26,8 @@ DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 LEAST = 1e-290  # what a host gets at least when it is first reached, so that no walk is too long or too widely shared to count
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
+#: Tags first, then what is in them: each is read once, however many tags never end.
+TAG, LINK = r"(?i)<a\s[^<>]*+", r"""(?i)href\s*+=\s*+["']?\s*+((?:https?:)?//[^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,8 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """source, target, n: absolute links between different hosts."""
-    to = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))
+    to = F.explode(F.filter(F.transform(tags, lambda tag: F.regexp_extract(tag, LINK, 1)), lambda link: link != ""))
     links = pages.select(host_of(F.col("url")).alias("source"), to.alias("to"))
     target = host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to")))
     links = links.select("source", target.alias("target")).where("source <> target and source <> '' and target <> ''")

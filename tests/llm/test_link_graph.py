@@ -101,3 +101,16 @@ def test_rank_too_small_for_a_double_still_counts(spark):
     links = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(3)] + [(f"h{k}", "x", 10**18) for k in range(3)], "source string, target string, n long")
     ranks = {r.host: r["rank"] for r in g.personalised_rank(links, spark.createDataFrame([("h0", 1e-280), ("y", 1.0)], "host string, weight double")).collect()}
     assert set(ranks) == {"h0", "h1", "h2", "h3", "x", "y"} and min(ranks.values()) > 0
+
+
+def test_tags_that_never_end_are_read_once(spark):
+    import time
+
+    from quillspark.llm import link_graph
+
+    html = "<a " * 350_000 + '<a class="x" HREF = "https://far.example/p">' + "href" * 50_000 + " " * 200_000
+    pages = spark.createDataFrame([(1, "http://near.example/", html)], "page_id long, url string, html string")
+    link_graph.host_links(pages.where("page_id = 0")).count()
+    began = time.perf_counter()
+    got = link_graph.host_links(pages).collect()
+    assert len(got) == 1 and "far.example" in str(got[0]) and time.perf_counter() - began < 10
