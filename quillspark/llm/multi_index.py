@@ -10,7 +10,7 @@ entries in cells are all that is broadcast, CENTROIDS ** 2 numbers however large
 are packed by shard (SHARD first centroids) into blocks of about ENTRY_BLOCK rows, dealt by place and not by vector, so copies spread over blocks;
 queries are packed by about QUERY_BLOCK. A block of queries meets the blocks of the shards that it visits, and leaves NEAREST rows a query.
 
-Recall on the given tables, whose vectors are mostly independent directions (the hardest case), is 0.93 or more; ``recall`` measures it.
+Recall on the given tables, whose vectors are mostly independent directions (the hardest case), was measured as 0.925 (500 and 2,000 rows), 0.943 (10,256) and 0.957 (51,282).
 
 Defined results: rows with a null vec_id or vector, a component that is null or not finite, or only zeros take no part; vectors of unlike length
 are compared as if the shorter ended in zeros; repeated rows are rows of their own, and each other's candidates; ties go to the smaller vec_id; other columns are ignored; no rows give no rows.
