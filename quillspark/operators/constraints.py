@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from quillspark.functions.text import decimal_in, fitted, too_long
 from quillspark.operators.numbering import numbered
 from quillspark.schema import TABLES, key_of
+from quillspark.session import cut
 
 
 class Violation(ValueError):
@@ -91,6 +92,35 @@ def violations(rows: DataFrame, table: str, parents: dict[str, DataFrame]) -> Da
     return reduce(DataFrame.unionByName, found, none).where("n > 0")
 
 
+def judged(rows: DataFrame, table: str, parents: dict[str, DataFrame]) -> DataFrame:
+    """rows with broken: the rules that each row breaks, as "rule: column" in the order of the rules (not null, length, unique, reference); empty where it may be written.
+
+    Rules of a row alone are one projection. Uniqueness is a count by key, combined before the shuffle, of which only keys that occur twice or more are joined back; each reference is a
+    join with the parent's distinct keys. All rows that share a key break the rule, as none of them is the right one. Null keys and null references break neither.
+    """
+    fields, key = TABLES[table], key_of(table)
+    here = [f for f in fields if f.name in rows.columns]
+    found = [F.when(F.col(f.name).isNull(), F.lit(f"not null: {f.name}")) for f in here if f.required]
+    found += [F.when(too_long(F.col(f.name), f.limit), F.lit(f"length: {f.name}")) for f in here if f.limit]
+    out, marks = rows, []
+    if key in rows.columns:
+        twice = duplicate_keys(rows.where(F.col(key).isNotNull()), [key]).select(key, F.lit(True).alias("_twice"))
+        out, marks = out.join(twice, key, "left"), [*marks, "_twice"]
+        found.append(F.when(F.col("_twice"), F.lit(f"unique: {key}")))
+    for f in here:
+        if f.parent in parents:
+            known = parents[f.parent].select(F.col(key_of(f.parent)).alias(f.name)).distinct().withColumn(f"_has_{f.name}", F.lit(True))
+            out, marks = out.join(known, f.name, "left"), [*marks, f"_has_{f.name}"]
+            found.append(F.when(F.col(f.name).isNotNull() & F.col(f"_has_{f.name}").isNull(), F.lit(f"reference: {f.name}")))
+    return out.withColumn("broken", F.array_compact(F.array(*found))).select(*rows.columns, "broken")
+
+
+def quarantined(rows: DataFrame, table: str, parents: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be written, typed, and those that break a rule, with broken. They are judged once."""
+    known = cut(judged(rows.select(*(f.name for f in TABLES[table] if f.name in rows.columns)), table, parents))
+    return typed(known.where(F.size("broken") == 0).drop("broken"), table), known.where(F.size("broken") > 0)
+
+
 def checked(rows: DataFrame, table: str, parents: dict[str, DataFrame]) -> DataFrame:
     """rows, typed, if they break no rule; otherwise Violation."""
     rows = rows.select(*(f.name for f in TABLES[table] if f.name in rows.columns))

@@ -326,3 +326,20 @@ def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers stand for documents, orders for their pages: all documents in order, with their pages in order."""
     return numbered(documents_with_pages(spark, sf_dir), [F.col("c_custkey"), F.asc_nulls_first("o_orderkey")])
+
+
+@query(
+    "with pages as (select case when o_orderkey % 200 < 2 then o_orderkey // 2 * 2 else o_orderkey end page_id, case when o_orderkey % 50 = 7 then null else o_custkey end document_id, "
+    "case when o_orderstatus = 'P' then null else cast(o_orderkey % 9 as integer) end page_number from orders) "
+    "select p.page_id, document_id, page_number, array_to_string(list_filter([case when document_id is null then 'not null: document_id' end, case when page_number is null then 'not null: page_number' end, "
+    "case when n > 1 then 'unique: page_id' end, case when document_id is not null and c_custkey is null then 'reference: document_id' end], lambda x: x is not null), ', ') broken "
+    "from (select *, count(*) over (partition by page_id) n from pages) p left join (select c_custkey from customer where c_nationkey < 20) on c_custkey = document_id where broken <> ''"
+)
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for pages, some of them with keys that occur twice or fields that are missing; customers of some nations for the documents that are there."""
+    number = F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 9).cast("int"))
+    key = F.when(F.col("o_orderkey") % 200 < 2, F.floor(F.col("o_orderkey") / 2) * 2).otherwise(F.col("o_orderkey"))
+    pages = read(spark, sf_dir, "orders").select(key.alias("page_id"), F.when(F.col("o_orderkey") % 50 != 7, F.col("o_custkey")).alias("document_id"), number.alias("page_number"))
+    documents = read(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("document_id"))
+    _, bad = constraints.quarantined(pages, "document_pages", {"documents": documents})
+    return bad.withColumn("broken", F.array_join("broken", ", "))

@@ -138,3 +138,31 @@ def test_confidence_and_incomplete(spark):
 
 def test_struct_types(spark):
     assert struct_of("documents")["uploaded_at"].dataType.simpleString() == "timestamp_ntz" and not struct_of("documents")["document_name"].nullable
+
+
+def test_quarantine_splits_rows(spark):
+    from quillspark.operators.constraints import quarantined
+
+    rows = [(1, 7, 1, "a"), (2, 7, None, "b"), (3, 9, 1, "c"), (4, None, None, "d"), (5, 7, 2, "e"), (5, 7, 3, "f"), (None, 7, 4, "g"), (6, 7, 5, None)]
+    table = spark.createDataFrame(rows, "page_id int, document_id int, page_number int, extracted_text string")
+    parents = {"documents": spark.createDataFrame([(7,), (7,), (None,)], "document_id int")}
+    good, bad = quarantined(table.withColumn("other", table.page_id), "document_pages", parents)
+    assert sorted(r.page_id for r in good.collect()) == [1, 6] and good.columns == table.columns
+    assert {(r.page_id, r.extracted_text): r.broken for r in bad.collect()} == {
+        (2, "b"): ["not null: page_number"],
+        (3, "c"): ["reference: document_id"],
+        (4, "d"): ["not null: document_id", "not null: page_number"],
+        (5, "e"): ["unique: page_id"],
+        (5, "f"): ["unique: page_id"],
+        (None, "g"): ["not null: page_id"],
+    }
+    good, bad = quarantined(table.limit(0), "document_pages", parents)
+    assert good.count() == bad.count() == 0
+
+
+def test_quarantine_knows_lengths(spark):
+    from quillspark.operators.constraints import quarantined
+
+    rows = [("x" * 256, "o"), ("x" * 255 + "  ", "o" * 300), ("fine", None), (None, "o")]
+    _, bad = quarantined(spark.createDataFrame(rows, "document_name string, source_organization string"), "documents", {})
+    assert sorted(tuple(r.broken) for r in bad.collect()) == [("length: document_name",), ("length: source_organization",), ("not null: document_name",)]
