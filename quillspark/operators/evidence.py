@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, number_in, page_text
@@ -68,10 +68,24 @@ def lineage(claims: DataFrame, evidence: DataFrame, records: DataFrame, pages: D
 
 
 def normalized(records: DataFrame, value: str, unit: str, units: DataFrame) -> DataFrame:
-    """records with normalized_value (decimal(38,10)) and normalized_unit, by units (unit, factor, normalized_unit), one row a unit; null where the value is no number, has over 14 digits before its point, or the unit isn't known."""
-    known = units.select(F.col("unit").alias(unit), F.col("factor").cast("decimal(18,6)").alias("_factor"), "normalized_unit")
-    number = number_in(F.col(value)).try_cast("decimal(20,6)")
-    return records.join(known, unit, "left").withColumn("normalized_value", (number * F.col("_factor")).try_cast("decimal(38,10)")).drop("_factor")
+    """records with normalized_value (decimal(38,10)) and normalized_unit, by units (unit, factor, normalized_unit), one row a unit; null where the value is no number, has over 14 digits before its point, or the unit isn't known.
+
+    Factors have up to 17 digits before their point and 18 behind it; one that is less than that, but not 0, is an error and not 0. Values keep 10 digits behind their point, or 6
+    where they have over 10 before it. The whole part of a factor and the rest are multiplied apart, so that no product outgrows a decimal.
+    """
+    given, exact = F.col("factor"), F.col("factor").cast("decimal(38,18)")
+    lost = F.raise_error(F.concat(F.lit("factor too small: "), given.cast("string"))).cast("decimal(38,18)")
+    factor = F.when((given.cast("double") != 0) & (exact == 0), lost).otherwise(exact)
+    known = units.select(F.col("unit").alias(unit), factor.alias("_factor"), "normalized_unit")
+    whole = F.when(F.col("_factor") < 0, F.ceil("_factor")).otherwise(F.floor("_factor"))
+    parts = whole.cast("decimal(17,0)"), (F.col("_factor") - whole).cast("decimal(18,18)")
+
+    def product(number: Column) -> Column:
+        return (number * parts[0]).try_cast("decimal(37,10)") + (number * parts[1]).try_cast("decimal(37,10)")
+
+    number = number_in(F.col(value))
+    found = F.coalesce(product(number.try_cast("decimal(20,10)")), product(number.try_cast("decimal(20,6)")))
+    return records.join(known, unit, "left").withColumn("normalized_value", found.try_cast("decimal(38,10)")).drop("_factor")
 
 
 def confidence(rows: DataFrame, value: str, low: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import evidence, names
 
@@ -54,3 +55,19 @@ def test_classes_hold_all_pairs(spark):
     assert sum(r.n * r.rivals for r in classes) == 2 * evidence.conflicts(table, "id", ["g"], "v").count()
     for r in classes:
         assert r.against == min(i for i, g, v in rows if g == r.g and v != r.v)
+
+
+def test_units_keep_digits(spark):
+    from decimal import Decimal
+
+    units = spark.createDataFrame([("nano", "0.000000001", "x"), ("kilo", "1000", "x"), ("pound", "0.45359237", "x"), ("back", "-2.5", "x")], "unit string, factor string, normalized_unit string").withColumn("factor", F.col("factor").cast("decimal(38,18)"))
+    rows = [("5,000,000,000", "nano"), ("0.12345678", "kilo"), ("3", "pound"), ("-7", "back"), ("12345678901234.5", "kilo"), ("1234567890123456", "kilo"), ("x", "kilo"), ("1", "none"), (None, "kilo"), ("0.0000000001", "kilo")]
+    got = {(r.v, r.u): r.normalized_value for r in evidence.normalized(spark.createDataFrame(rows, "v string, u string"), "v", "u", units).collect()}
+    want = ["5", "123.45678", "1.36077711", "17.5", "12345678901234500", None, None, None, None, "0.0000001"]
+    assert got == {r: w and Decimal(w) for r, w in zip(rows, want)}
+
+
+def test_a_factor_too_small_is_no_zero(spark):
+    units = spark.createDataFrame([("tiny", 1e-25, "x")], "unit string, factor double, normalized_unit string")
+    with pytest.raises(Exception, match="too small"):
+        evidence.normalized(spark.createDataFrame([("1", "tiny")], "v string, u string"), "v", "u", units).collect()
