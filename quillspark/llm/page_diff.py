@@ -50,9 +50,9 @@ ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'(
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "header", "fieldset"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "header"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of class names and ids that mark what isn't the article, and those that mark what is.
+#: Words of class names and ids that mark what isn't the article. A name is a mark if it has no other words than these and PARTS (related-links, but not related-work).
 DROPPED_WORD = re.compile(
     r"ads?|adv|ads?\d+|adsense|adslot|adbox|advert\w*|alerts?|banners?|breadcrumbs?|comment\w*|comentarios?|kommentare?|consent|cookies?|copyright|discussion|disqus|footers?"
     r"|forms?|gdpr|legal|login|masthead|menus?|modal|nav|navbar|navigation|newsletters?|notices?|notifications?|pager|pagination|paywall|popups?|promos?|promoted|promotion"
@@ -62,31 +62,58 @@ DROPPED_WORD = re.compile(
 ARTICLE_WORD = re.compile(r"alerts?|copyright|discussion|legal|promotion|responses|respond|reactions")
 #: Whole names of article elements that aren't the page's own.
 ASIDE_NAME = re.compile(r"ads?|advert\w*|comment\w*|comentarios?|kommentare?|promo|promoted|promotion|recommended|related|replies|sponsored")
-#: A name with one of these is of what stands around: with-sidebar, page-wrapper.
-WRAPS = {"has", "with", "without", "no", "container", "layout", "page", "wrap", "wrapper"}
+#: Words that leave a name's meaning to its other words.
+PARTS = set(
+    "a action actions area article articles author avatar bar block body bottom box btn button buttons card center col column container content count desktop entry field fields group head header heading holder"
+    " icon icons in inline inner input item items label left link links list main media message mobile more news outer panel post posts primary reader row rows secondary section site slot small space"
+    " stories story text this title top unit user wide wrap wrapper zone right".split()
+)
+#: Words that mark a name they end, whatever stands before them (lower-navbar); outside articles also one that they begin.
+CLEAR_WORD = re.compile(r"ads|advert\w*|breadcrumbs?|comments|cookies|disqus|footers?|masthead|nav|navbar|newsletters?|pagination|paywall|popups?|sidebars?|signup|sponsor\w*|toolbar|topbar")
+#: Whole names of what holds an article's text; on the same element only a whole name, no compound, is a mark.
+TEXT_NAME = re.compile(r"content|(?:main|page|article|post|entry|story)-?(?:content|body|text)|articlebody|chapter")
+#: A name with one of these is of what stands around (with-sidebar), or files what it names (category-forms).
+WRAPS = {"has", "with", "without", "no", "layout", "page"}
+FILED = {"category", "format", "status", "tag", "topic", "type"}
 MAIN_WORDS = ({"article"}, {"post", "body"}, {"post", "content"}, {"entry", "content"}, {"story", "body"}, {"story", "content"})
 #: An element that ends an open one of the same group when it starts.
 ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _marks(name: str, zone: int, holds_text: bool) -> bool:
+    """Whether a class name or id, in lower case and hyphened, marks an element in zone as none of the article."""
+    words = re.findall(r"[a-z0-9]+", name)
+    if not words or WRAPS & set(words) or words[0] in FILED and len(words) > 1:
+        return False
+    marks = [bool(DROPPED_WORD.fullmatch(w)) and not (zone == ARTICLE and ARTICLE_WORD.fullmatch(w)) for w in words]
+    if len(words) == 1 or holds_text or not any(marks):
+        return marks == [True]
+    if all(m or w in PARTS or w.isdigit() for m, w in zip(marks, words)):
+        return True
+    if zone == ARTICLE:
+        return bool(CLEAR_WORD.fullmatch(words[-1]))
+    return marks[-1] or bool(CLEAR_WORD.fullmatch(words[0]))
+
+
 def _zone(name: str, attributes: str, zone: int) -> int:
     """The zone inside an element that starts in zone."""
     if zone == BOILERPLATE or name in ("body", "html"):
         return zone
     given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     role = given.get("role", "").lower()
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}").lower()
-    words = [set(re.findall(r"[a-z0-9]+", x)) for x in named.split()]
+    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{given.get('class', '')} {given.get('id', '')}").lower().split()
     if name == "header" and zone == ARTICLE:
         return zone  # an article's own heading
     if "article" in (name, role) or "main" in (name, role):  # what a page calls its article may be filed under any word
-        dropped = any(ASIDE_NAME.fullmatch(x) for x in named.split())
+        dropped = any(ASIDE_NAME.fullmatch(x) for x in names)
     else:
-        dropped = any(DROPPED_WORD.fullmatch(w) and not (zone == ARTICLE and ARTICLE_WORD.fullmatch(w)) for x in words if not x & WRAPS for w in x)
+        holds_text = any(TEXT_NAME.fullmatch(x) for x in names)
+        dropped = any(_marks(x, zone, holds_text) for x in names)
     if name in DROPPED or role in DROPPED_ROLES or dropped or "hidden" in attributes.split() or given.get("aria-hidden") == "true":
         return BOILERPLATE
     if name == "article" or role == "article":
-        return BOILERPLATE if zone == ARTICLE else ARTICLE  # an article inside an article is a reader's comment
+        return ARTICLE  # one inside another is a part of it, unless what holds it or its own name says a comment
+    words = [set(re.findall(r"[a-z0-9]+", x)) for x in names]
     if zone != ARTICLE and (given.get("itemprop", "").lower() == "articlebody" or any(m <= x for m in MAIN_WORDS for x in words)):
         return ARTICLE
     if zone == OPEN and (name == "main" or role == "main"):

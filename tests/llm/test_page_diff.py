@@ -39,7 +39,7 @@ def text(page, shared=()):
         ("<title>no</title><style>p{}</style><script>var t='</p><p>x';</script><p>yes", "yes"),
         ("<nav>m</nav><header>h</header><div class='ad'>a</div><article><h1>T</h1><p><b>x<br><p>y</article><footer>f", "T x y"),
         ("<main><p>m</p><aside>no</aside></main><p>out</p>", "m"),
-        ("<article><header><h2>T</h2></header>x<section id=comments><p>no</p></section><article>no</article><form>no</form><footer>no</footer></article>", "T x"),
+        ("<article><header><h2>T</h2></header>x<section id=comments><p>no</p><article>no</article></section><article class=comment>no</article><form>no</form><footer>no</footer></article>", "T x"),
         ("<div id='cookieNotice'>no</div><div class='page with-sidebar'><div class='post-content'><p>yes</p><div class=share>no</div></div></div>", "yes"),
         ("<div role=navigation>no</div><div itemprop='articleBody'>yes<div hidden>no</div></div>", "yes"),
         ("<!-- <p>no</p> --><p title='a>b'>yes</p><!-- open <p>no", "yes"),
@@ -162,3 +162,26 @@ def test_long_pages_take_linear_time():
         began = time.perf_counter()
         p.lines(page)
         assert time.perf_counter() - began < 3, page[:20]
+
+
+@pytest.mark.parametrize("given", ["class='form-factor'", "class='formFactor'", "class=notice-period", "id='social-history'", "class='related-work'", "class='lunch-menu'", "class='verb-forms'", "class='share-price'", "class='ad-hoc'", "class='promo-code-law'", "class='tag-comments'", "class='chapter'"])
+@pytest.mark.parametrize("element", ["div", "section", "article"])
+def test_class_words_within_other_names_leave_an_articles_text(given, element):
+    assert text(f"<article><p>a</p><{element} {given}><p>size of the phone</p></{element}><p>b</p></article>") == "a size of the phone b"
+
+
+def test_parts_of_articles_that_are_no_comments():
+    assert text("<article><p>a</p><fieldset><legend>L</legend>b</fieldset><article><p>c</p></article></article>") == "a L b c"
+    assert text("<div class='content widget-area'><p>body text</p></div>") == "body text"
+    assert text("<form><fieldset>no</fieldset></form><div class='story-body lower-sidebar'>yes</div>") == "yes"
+
+
+@pytest.mark.parametrize("given", ["class=ad", "class='ad-300'", "class=inline-ads", "id=adBox", "class='x comments-area'", "class=reader-comments", "id=disqus-thread-comments", "class=related-posts", "class='share-buttons'", "class=socialLinks", "class='newsletter-box'", "class='email-newsletter'", "class=cookie-notice", "class=sidebar", "class='post-nav'", "class='comment-form'", "class='menu'", "class='ad-container'"])
+def test_names_of_what_is_no_article_are_marks_inside_one(given):
+    page = f"<article><p>a</p><div {given}><p>no</p><article class=chapter>no</article></div><p>b</p></article>"
+    assert text(page) == "a b"
+
+
+@pytest.mark.parametrize("given", ["class=footer-legalese", "class='site-footer'", "id='main-menu'", "class=sidebar-xyz", "class='top-banner'", "class='weather-widget'", "class=nav-foo", "class='menu-item-42'", "id=commentsWrapper"])
+def test_names_of_what_is_no_article_are_marks_outside(given):
+    assert text(f"<p>a</p><div {given}><p>no</p></div><p>b</p>") == "a b"
