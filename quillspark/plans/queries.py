@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
-from quillspark.operators import constraints, deletes, evidence, names, temporal
+from quillspark.operators import constraints, deletes, evidence, names, statistics, temporal, units
 from quillspark.operators.numbering import numbered
 from quillspark.session import shared_dir
 from quillspark.sources.tables import as_json
@@ -343,3 +343,52 @@ def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("document_id"))
     _, bad = constraints.quarantined(pages, "document_pages", {"documents": documents})
     return bad.withColumn("broken", F.array_join("broken", ", "))
+
+
+@query(
+    "select year(l_shipdate) \"year\", l_returnflag, l_linestatus, cast(grouping_id(year(l_shipdate), l_returnflag, l_linestatus) as bigint) \"level\", count(*) \"rows\", count(q) n, cast(sum(q) as bigint) total, min(q) least, max(q) greatest, "
+    "cast(sum(q) as double) / count(q) mean from (select *, cast(l_quantity as bigint) q from lineitem) group by cube (year(l_shipdate), l_returnflag, l_linestatus)"
+)
+def statistics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of lines by year, flag and status, and by all coarser groupings, merged from the finest ones' states."""
+    by = ["year", "l_returnflag", "l_linestatus"]
+    rows = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("bigint").alias("year"), "l_returnflag", "l_linestatus", F.col("l_quantity").cast("bigint").alias("q"), "l_suppkey")
+    found = statistics.measures(statistics.merged(statistics.states(rows, by, "q", "l_suppkey"), by, "cube"), {})
+    return found.drop("distinct").withColumn("total", F.col("total").cast("bigint"))
+
+
+@query(
+    "select cast(date_trunc('month', ts) as date) \"month\", event_type, cast(grouping_id(cast(date_trunc('month', ts) as date), event_type) as bigint) \"level\", count(*) \"rows\", count(v) n, cast(sum(v) as bigint) total, min(v) least, max(v) greatest, "
+    "true distinct_close, true median_close from (select *, cast(floor(value) as bigint) v from events) group by rollup (cast(date_trunc('month', ts) as date), event_type)"
+)
+def statistics_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' values by day, stored, and merged into months and all of them; the estimates are held against exact figures of the rows."""
+    v = F.floor("value").cast("bigint").alias("v")
+    events = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", v, "user_id")
+    path, by, month = f"{shared_dir(spark)}/{uuid.uuid4().hex}", ["month", "event_type"], F.trunc("day", "month").alias("month")
+    statistics.store_days(events, path, "day", ["event_type"], "v", "user_id")
+    kept = statistics.stored(spark, path).select("*", month)
+    found = statistics.measures(statistics.merged(kept, by, "rollup"), {"median": 0.5})
+    exact = events.select(month, "event_type", "v", "user_id").rollup(*by).agg(F.grouping_id().alias("level"), F.count_distinct("user_id").alias("users"), F.percentile("v", F.lit(0.47)).alias("under"), F.percentile("v", F.lit(0.53)).alias("over"))
+    same = (found["level"] == exact["level"]) & found["month"].eqNullSafe(exact["month"]) & found["event_type"].eqNullSafe(exact["event_type"])
+    near = F.abs(found["distinct"] - exact["users"]) <= F.greatest(F.lit(1), exact["users"] * 0.065)
+    middle = F.col("median").isNull() | F.col("median").between(F.floor("under"), F.ceil("over"))
+    return found.join(exact, same).select(found["month"], found["event_type"], found["level"], "rows", "n", F.col("total").cast("bigint").alias("total"), "least", "greatest", near.alias("distinct_close"), middle.alias("median_close"))
+
+
+@query(
+    "with recursive parts as (select p_partkey k, p_partkey // 8 block, count(*) over (partition by p_partkey // 8) size from part), "
+    "chain as (select k, block, size, k base, cast(1 as hugeint) num, cast(1 as hugeint) den from parts where k % 8 = 0 or k - 1 not in (select k from parts) "
+    "union all select p.k, p.block, p.size, base, num * (2 + p.k % 3), den * (1 + p.k % 5) from chain c join parts p on p.k = c.k + 1 and p.block = c.block) "
+    "select k p_partkey, base, case when not odd then cast(num // gcd(num, den) as bigint) end num, case when not odd then cast(den // gcd(num, den) as bigint) end den, odd contradicted "
+    "from (select *, size = 8 and block % 5 = 0 odd from chain) where size > 1"
+)
+def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for units: each is given in terms of the one before it in its block of eight, and in one block of five a last link closes a circle that doesn't fit, so that its factors are unknown."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"))
+    chain = parts.where("unit % 8 <> 0").select("unit", (F.col("unit") - 1).alias("other"), (F.col("unit") % 3 + 2).alias("num"), (F.col("unit") % 5 + 1).alias("den"))
+    closing = parts.where("unit % 8 = 7 and unit div 8 % 5 = 0").select("unit", (F.col("unit") - 7).alias("other"), F.lit(1).cast("bigint").alias("num"), F.lit(1009).cast("bigint").alias("den"))
+    there = parts.select(F.col("unit").alias("other"))
+    found = units.conversions(chain.unionAll(closing).join(there, "other", "left_semi").select("unit", "other", "num", "den"))
+    sound = lambda c: F.when(~F.col("contradicted"), F.col(c)).cast("bigint").alias(c)
+    return found.select(F.col("unit").alias("p_partkey"), "base", sound("num"), sound("den"), "contradicted")

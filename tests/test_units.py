@@ -1,0 +1,83 @@
+import random
+from decimal import Decimal
+from fractions import Fraction
+
+import pytest
+
+from quillspark.operators import evidence, units
+
+SCHEMA = "unit string, other string, num long, den long"
+
+
+def found(spark, links):
+    return {r.unit: (r.base, r.num and Fraction(int(r.num), int(r.den)), r.contradicted) for r in units.conversions(spark.createDataFrame(links, SCHEMA).repartition(3)).collect()}
+
+
+def walked(links):
+    """Bases and factors by a walk from the least unit of each group."""
+    near = {}
+    for a, b, n, d in links:
+        near.setdefault(a, []).append((b, Fraction(d, n)))
+        near.setdefault(b, []).append((a, Fraction(n, d)))
+    out = {}
+    for base in sorted(near):
+        if base in out:
+            continue
+        group, odd = {base: Fraction(1)}, False
+        todo = [base]
+        while todo:
+            u = todo.pop()
+            for v, f in near[u]:
+                if v not in group:
+                    group[v] = group[u] * f
+                    todo.append(v)
+                odd |= group[v] != group[u] * f
+        out |= {u: (base, f, odd) for u, f in group.items()}
+    return out
+
+
+def test_units_three_steps_apart_and_values_in_them(spark):
+    links = [("km", "m", 1000, 1), ("cm", "m", 1, 100), ("inch", "cm", 254, 100), ("foot", "inch", 12, 1), ("yard", "foot", 3, 1), ("nm", "m", 1, 10**9), ("s", "min", 1, 60)]
+    got = found(spark, links)
+    assert got == walked(links) and got["yard"] == ("cm", Fraction(9144, 100), False) and got["nm"][1] == Fraction(1, 10**7)
+    table = units.factors(units.conversions(spark.createDataFrame(links, SCHEMA)))
+    rows = spark.createDataFrame([("2", "yard"), ("5,000,000,000", "nm"), ("120", "s"), ("7", "unknown")], "v string, u string")
+    values = {r.u: (r.normalized_value, r.normalized_unit) for r in evidence.normalized(rows, "v", "u", table).collect()}
+    assert values == {"yard": (Decimal("182.88"), "cm"), "nm": (Decimal(500), "cm"), "s": (Decimal(2), "min"), "unknown": (None, None)} or values["s"] == (Decimal("2.0000000000"), "min")
+
+
+def test_contradictions(spark):
+    links = [("a", "b", 2, 1), ("b", "c", 3, 1), ("a", "c", 7, 1), ("x", "y", 2, 1), ("y", "z", 1, 4), ("z", "x", 2, 1), ("p", "p", 1, 1), ("q", "q", 2, 1)]
+    got = found(spark, links)
+    assert {u: odd for u, (_, _, odd) in got.items()} == {"a": True, "b": True, "c": True, "x": False, "y": False, "z": False, "p": False, "q": True}
+    at_odds = units.contradictions(spark.createDataFrame(links, SCHEMA)).collect()
+    assert {r.base for r in at_odds} == {"a", "q"} and all(Fraction(r.factor) != Fraction(r.implied) for r in at_odds)
+    assert {r.unit for r in units.factors(units.conversions(spark.createDataFrame(links, SCHEMA))).collect()} == {"x", "y", "z", "p"}
+
+
+def test_graphs_as_walked(spark):
+    rnd = random.Random(3)
+    links = []
+    for g in range(30):
+        size = {f"{g}-{k}": Fraction(rnd.randint(1, 9), rnd.randint(1, 9)) * rnd.choice([1, -1]) for k in range(rnd.randint(2, 12))}
+        for k in range(1, len(size)):
+            for _ in range(2):
+                a, b = f"{g}-{k}", f"{g}-{rnd.randrange(k)}"
+                f = size[a] / size[b] * (2 if g % 5 == 0 and rnd.random() < 0.3 else 1)
+                links += [(a, b, f.numerator * 3, f.denominator * 3)] if rnd.random() < 0.5 else [(b, a, -f.denominator, -f.numerator)]
+    got, want = found(spark, links), walked(links)
+    assert {u: (b, odd) for u, (b, _, odd) in got.items()} == {u: (b, odd) for u, (b, _, odd) in want.items()}
+    assert all(got[u] == want[u] for u in want if not want[u][2]) and any(x[2] for x in want.values())
+
+
+def test_long_chains_and_empty_tables(spark):
+    assert found(spark, [(f"{k + 1:03}", f"{k:03}", 1, 1) for k in range(200)]) == {f"{k:03}": ("000", 1, False) for k in range(201)}
+    assert found(spark, []) == {}
+    deep = found(spark, [(f"{k + 1:03}", f"{k:03}", 10, 1) for k in range(60)])
+    assert deep["037"][1] == 10**37 and deep["060"] == ("000", None, False)
+
+
+@pytest.mark.parametrize("link", [("a", "b", 0, 1), ("a", "b", 1, 0), (None, "b", 1, 1), ("a", "b", None, 1)])
+def test_links_without_a_factor_are_errors(spark, link):
+    with pytest.raises(Exception, match="a link needs"):
+        found(spark, [link])
