@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.constraints import Violation
 from quillspark.schema import key_of, references
+from quillspark.session import cut
 
 
 def victims(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
@@ -34,10 +35,16 @@ def blockers(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> DataFr
     return found
 
 
-def after_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the victims; Violation, before anything is changed, if one is still referred to."""
-    gone = victims(tables, table, ids)
+def deletable(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The victims, held fast; Violation, before anything is changed, if a row that stays refers to one."""
+    gone = {t: cut(df) for t, df in victims(tables, table, ids).items()}
     held = blockers(tables, gone)
     if held is not None and (first := held.limit(1).collect()):
         raise Violation(f"{first[0]['table']}.{first[0]['column']} refers to a row that would go")
+    return gone
+
+
+def after_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the victims; Violation if one is still referred to."""
+    gone = deletable(tables, table, ids)
     return {t: df.join(gone[t], key_of(t), "left_anti") if t in gone else df for t, df in tables.items()}

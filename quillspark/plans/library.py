@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import page_text, too_long
 from quillspark.operators.constraints import Violation, checked, with_defaults, with_ids
-from quillspark.operators.deletes import after_delete
-from quillspark.schema import TABLES, key_of, references
+from quillspark.operators.deletes import after_delete, deletable
+from quillspark.schema import TABLES, key_of, references, struct_of
 from quillspark.session import cut
-from quillspark.sources import pdf
+from quillspark.sources import files, pdf
 from quillspark.sources.tables import append, read, reply
 
 # What every uploaded file is filed under.
@@ -50,6 +50,9 @@ class Library:
         for child, f in references():
             if f.parent == table:
                 found = found.unionByName(self.table(child).select(F.col(f.name).alias(key)))
+        last = files.state(self.spark, self.root)["last"].get(table)
+        if last is not None:  # keys of deleted rows don't come again
+            found = found.unionByName(self.spark.createDataFrame([(last,)], f"{key} int"))
         return found.unionByName(self.ledger().select(key)) if table == "documents" else found
 
     def ledger(self) -> DataFrame:
@@ -128,7 +131,17 @@ class Library:
         return documents.select("document_id", "document_name", F.size("pages").alias("pages_detected"))
 
     def without_documents(self, ids: DataFrame) -> dict[str, DataFrame]:
-        """All tables as they are once the documents are deleted, for the caller to write where it wants."""
+        """All tables as they would be without the documents, for the caller to write where it wants."""
         return after_delete({t: self.table(t) for t in TABLES}, "documents", ids)
 
+    def delete(self, table: str, ids: DataFrame) -> dict[str, DataFrame]:
+        """Delete the rows of a table whose key is in ids (one column), with what goes with them: the keys, by table, that are gone. Violation if a row that stays refers to one; a failure leaves all as it was."""
+        gone = deletable({t: self.table(t) for t in TABLES}, table, ids)
+        files.without(self.spark, self.root, gone, {t: struct_of(t) for t in gone})
+        return gone
+
+    def clean(self) -> None:
+        """Remove the files that deletes have replaced."""
+        files.clean(self.spark, self.root)
+
 

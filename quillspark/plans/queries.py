@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
 from quillspark.operators import constraints, deletes, evidence, names, statistics, temporal, units
 from quillspark.operators.numbering import numbered
+from quillspark.plans.library import Library
+from quillspark.schema import key_of
 from quillspark.session import shared_dir
-from quillspark.sources.tables import as_json
+from quillspark.sources.tables import append, as_json
 from quillspark.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +325,29 @@ def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(
+    "with gone as (select c_custkey from customer where c_mktsegment = 'BUILDING') select 'documents' \"table\", c_custkey id, 1 n from customer where c_custkey not in (from gone) "
+    "union all select 'document_pages', o_orderkey, 1 from orders where o_custkey not in (from gone) "
+    "union all select 'extracted_records', l_orderkey, count(*) from lineitem semi join (select * from orders where o_custkey not in (from gone)) x on l_orderkey = o_orderkey group by 2"
+)
+def written_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library of customers as documents, orders as pages and lines as records is written, and one segment's documents are deleted from it, half of them at a time: what can be read then."""
+    library = Library(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    customers = read(spark, sf_dir, "customer")
+    given = {
+        "documents": customers.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("document_name")),
+        "document_pages": read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("document_id"), F.lit(1).alias("page_number")),
+        "extracted_records": read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("metric_name")),
+    }
+    for table, rows in given.items():
+        append(constraints.typed(constraints.with_defaults(rows, table), table), library.root, table)
+    segment = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    for half in (0, 1):
+        library.delete("documents", segment.where(F.col("c_custkey") % 2 == half))
+    left = [library.table(t).select(F.lit(t).alias("table"), F.col(key_of(t)).cast("bigint").alias("id")) for t in given]
+    return reduce(DataFrame.unionByName, left).groupBy("table", "id").agg(F.count("*").alias("n"))
+
+
 @query("select c_custkey, o_orderkey, row_number() over (order by c_custkey, o_orderkey nulls first) pos from customer left join orders on c_custkey = o_custkey")
 def pages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers stand for documents, orders for their pages: all documents in order, with their pages in order."""

@@ -10,15 +10,14 @@ from pyspark.sql import types as T
 
 from quillspark.functions.text import iso_millis
 from quillspark.schema import struct_of
+from quillspark.sources import files
 
 
 def read(spark: SparkSession, root: str, table: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """A table of the data model with its declared types, or another with the schema given; one that was never written has no rows."""
+    """A table of the data model with its declared types, or another with the schema given; one that was never written has no rows. Deleted rows aren't among them."""
     schema = schema or struct_of(table)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
+    found = files.paths(spark, root, table)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 def append(rows: DataFrame, root: str, table: str, schema: str | None = None) -> None:

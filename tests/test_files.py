@@ -1,0 +1,111 @@
+import os
+
+import pytest
+
+from quillspark.operators.constraints import Violation
+from quillspark.plans.library import Library
+from quillspark.sources import files
+
+PAGE = "document_id int, page_number int, extracted_text string"
+
+
+def ids(spark, *some):
+    return spark.createDataFrame([(i,) for i in some], "id int")
+
+
+def filled(spark, root, documents=6):
+    """A library with a file a document, and two pages each in files of their own."""
+    lib = Library(spark, str(root))
+    for k in range(1, documents + 1):
+        lib.add_document(f"d{k}")
+        lib.add("document_pages", spark.createDataFrame([(k, 1, "x"), (k, 2, "y")], PAGE).coalesce(1))
+    return lib
+
+
+def seen(lib, table="documents"):
+    return sorted(r[0] for r in lib.table(table).collect())
+
+
+def parts(root, table):
+    return {f for f in os.listdir(f"{root}/{table}") if f.endswith(".parquet")}
+
+
+def test_a_delete_cascades_and_stays(spark, tmp_path):
+    lib = filled(spark, tmp_path / "lib")
+    gone = lib.delete("documents", ids(spark, 2, 5, 5, 99))
+    assert sorted(r[0] for r in gone["documents"].collect()) == [2, 5]
+    again = Library(spark, lib.root)
+    assert seen(again) == [1, 3, 4, 6] and seen(again, "document_pages") == [1, 2, 5, 6, 7, 8, 11, 12]
+    lib.delete("documents", ids(spark, 1, 2))
+    assert seen(lib) == [3, 4, 6] and seen(lib, "document_pages") == [5, 6, 7, 8, 11, 12]
+    lib.delete("documents", ids(spark, 2))
+    lib.delete("documents", ids(spark))
+    assert files.state(spark, lib.root)["number"] == 2  # nothing to do, nothing written
+    assert [n for n in os.listdir(f"{lib.root}/_state") if not n.startswith(".")] == ["2"]
+
+
+def test_only_touched_files_are_written_anew(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    for k in range(3):
+        lib.add("documents", spark.createDataFrame([(f"d{k}{j}",) for j in range(10)], "document_name string").coalesce(1))
+    before = parts(lib.root, "documents")
+    lib.delete("documents", ids(spark, 3, 25))
+    state = files.state(spark, lib.root)
+    holding = {r["f"] for r in spark.read.parquet(f"{lib.root}/documents").where("document_id in (3, 25)").selectExpr("_metadata.file_name f").collect()}
+    assert set(state["replaced"]["documents"]) == holding and holding < before == parts(lib.root, "documents")
+    assert seen(lib) == [k for k in range(1, 31) if k not in (3, 25)]
+    lib.delete("documents", ids(spark, 4))  # may lie in a file that the first delete wrote
+    assert seen(lib) == [k for k in range(1, 31) if k not in (3, 4, 25)]
+
+
+@pytest.mark.parametrize("draft", [False, True])
+def test_a_crash_before_the_swap_leaves_the_old_rows(spark, tmp_path, monkeypatch, draft):
+    lib = filled(spark, tmp_path / "lib", 3)
+    lib.delete("documents", ids(spark, 3))
+
+    def crash(spark, root, new):
+        if draft:  # written in part, not renamed
+            with open(f"{root}/_state/.{new['number'] + 1}", "w") as f:
+                f.write('{"number"')
+        raise OSError("disk")
+
+    with monkeypatch.context() as broken, pytest.raises(OSError):
+        broken.setattr(files, "swap", crash)
+        lib.delete("documents", ids(spark, 1))
+    assert seen(lib) == [1, 2] and seen(lib, "document_pages") == [1, 2, 3, 4]
+    lib.delete("documents", ids(spark, 1))
+    lib.clean()
+    assert seen(lib) == [2] and seen(lib, "document_pages") == [3, 4]
+
+
+def test_a_refused_delete_changes_nothing(spark, tmp_path):
+    lib = filled(spark, tmp_path / "lib", 2)
+    lib.add("extracted_records", spark.createDataFrame([(1, "m")], "page_id int, metric_name string"))
+    lib.add("evidence_items", spark.createDataFrame([(1,)], "record_id int"))
+    with pytest.raises(Violation, match="evidence_items.record_id"):
+        lib.delete("documents", ids(spark, 1))
+    assert seen(lib) == [1, 2] and not os.path.exists(f"{lib.root}/_state")
+    lib.delete("evidence_items", ids(spark, 1))
+    lib.delete("documents", ids(spark, 1))
+    assert seen(lib) == [2] and not seen(lib, "extracted_records") and not seen(lib, "evidence_items")
+
+
+def test_keys_of_deleted_rows_do_not_come_again(spark, tmp_path):
+    lib = filled(spark, tmp_path / "lib", 3)
+    lib.delete("documents", ids(spark, 3, 2))
+    lib.clean()
+    assert lib.add_document("new").first()["document_id"] == 4 and seen(lib) == [1, 4]
+    new = lib.add("document_pages", spark.createDataFrame([(4, 1, "z")], PAGE))
+    assert new.first()["page_id"] == 7
+    lib.delete("documents", ids(spark, 1, 4))
+    assert seen(lib) == [] and lib.add_document("x").first()["document_id"] == 5
+
+
+def test_clean_removes_what_does_not_count(spark, tmp_path):
+    lib = filled(spark, tmp_path / "lib", 3)
+    lib.delete("documents", ids(spark, 1))
+    lib.clean()
+    assert len(parts(lib.root, "documents")) == 2 and files.state(spark, lib.root)["replaced"] == {}
+    assert seen(lib) == [2, 3] and seen(lib, "document_pages") == [3, 4, 5, 6]
+    lib.clean()
+    assert seen(lib) == [2, 3]
