@@ -2,9 +2,10 @@ import os
 
 import pytest
 
-from quillspark.operators.constraints import Violation
+from quillspark.operators.constraints import Violation, with_defaults
 from quillspark.plans.library import Library
 from quillspark.sources import files
+from quillspark.sources.tables import append
 
 PAGE = "document_id int, page_number int, extracted_text string"
 
@@ -17,8 +18,9 @@ def filled(spark, root, documents=6):
     """A library with a file a document, and two pages each in files of their own."""
     lib = Library(spark, str(root))
     for k in range(1, documents + 1):
-        lib.add_document(f"d{k}")
-        lib.add("document_pages", spark.createDataFrame([(k, 1, "x"), (k, 2, "y")], PAGE).coalesce(1))
+        rows = {"documents": spark.createDataFrame([(k, f"d{k}")], "document_id int, document_name string"), "document_pages": spark.createDataFrame([(2 * k - 1, k, 1, "x"), (2 * k, k, 2, "y")], f"page_id int, {PAGE}")}
+        for table, given in rows.items():
+            append(with_defaults(given, table).coalesce(1), lib.root, table)
     return lib
 
 
