@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import name_key, number_in, page_numbers, page_text, percent_in
-from quillspark.operators import constraints, deletes, evidence, names, statistics, temporal, units
+from quillspark.operators import constraints, deletes, evidence, names, search, statistics, temporal, units
 from quillspark.operators.numbering import numbered
 from quillspark.plans.library import Library
 from quillspark.schema import key_of
@@ -418,3 +418,21 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = units.conversions(chain.unionAll(closing).join(there, "other", "left_semi").select("unit", "other", "num", "den"))
     sound = lambda c: F.when(~F.col("contradicted"), F.col(c)).cast("bigint").alias(c)
     return found.select(F.col("unit").alias("p_partkey"), "base", sound("num"), sound("den"), "contradicted")
+
+
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(
+    f"with sizes as (select doc_id, coalesce(len({WORDS}), 0) size from documents), corpus as (select count(*) n, sum(size) / cast(count(*) as double) mean from sizes), "
+    f"tf as (select doc_id, term, count(*) f from (select doc_id, unnest({WORDS}) term from documents) group by 1, 2), df as (select term, count(*) d from tf group by 1), "
+    f"asked as (select distinct item_id, term from (select item_id, unnest({WORDS}) term from benchmark)), "
+    "scores as (select item_id, doc_id, cast(sum(cast(floor(1e6 * (ln(1e0 + (n - d + 5e-1) / (d + 5e-1)) * (f * 2.2e0 / (f + 1.2e0 * (2.5e-1 + 7.5e-1 * size / mean))))) as bigint)) as bigint) score "
+    "from asked join df using (term) join tf using (term) join sizes using (doc_id), corpus group by 1, 2) "
+    "select item_id, rank, \"found\", score from (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) rank, doc_id \"found\", score from scores) where rank <= 10"
+)
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions to an index of all documents."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    search.index(read(spark, sf_dir, "documents"), "doc_id", "text", path, buckets=16)
+    return search.search(spark, path, read(spark, sf_dir, "benchmark"), "item_id", "text", 10)

@@ -1,0 +1,61 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+from quillspark.operators import search
+
+
+def brute(docs, questions, k):
+    """The k best texts of each question, every text scored."""
+    split = {d: re.findall(r"[^\W_]+", (t or "").lower()) for d, t in docs}
+    mean, texts = sum(map(len, split.values())) / len(split), Counter(w for ws in split.values() for w in set(ws))
+    out = {}
+    for q, text in questions:
+        scores = defaultdict(int)
+        for w in set(re.findall(r"[^\W_]+", (text or "").lower())):
+            rare = math.log(1 + (len(docs) - texts[w] + 0.5) / (texts[w] + 0.5))
+            for d, ws in split.items():
+                if f := ws.count(w):
+                    scores[d] += math.floor(1e6 * (rare * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean)))))
+        out |= {(q, i + 1): (d, s) for i, (d, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k])}
+    return out
+
+
+def indexed(spark, docs, path):
+    search.index(spark.createDataFrame(docs, "d long, t string, term string, score int").repartition(3), "d", "t", path, buckets=8)
+
+
+def found(spark, path, questions, k):
+    asked = spark.createDataFrame(questions, "q int, t string")
+    return {(r.q, r["rank"]): (r.found, r.score) for r in search.search(spark, path, asked, "q", "t", k).collect()}
+
+
+def test_as_all_texts_scored(spark, tmp_path):
+    rnd, path = random.Random(3), str(tmp_path / "index")
+    vocabulary = [f"w{k}" for k in range(120)]
+    odds = [1 / (k + 1) for k in range(120)]
+    docs = [(d, " ".join(["the", *rnd.choices(vocabulary, odds, k=rnd.randint(1, 40))])) for d in range(300)]
+    docs += [(900, None), (901, ""), (902, "  !? "), (903, "Été, ÉTÉ été-the"), (904, docs[5][1]), (905, docs[5][1]), (906, "the " * 3000), (907, "only")]
+    questions = [(q, " ".join(["The", *rnd.choices(vocabulary, k=rnd.randint(1, 6))])) for q in range(12)]
+    questions += [(100, "the"), (101, docs[5][1]), (102, "été"), (103, "unheard of"), (104, None), (105, ""), (106, "Only only the")]
+    indexed(spark, [(d, t, "x", 1) for d, t in docs], path)
+    for k in (1, 5, 1000):
+        assert found(spark, path, questions, k) == brute(docs, questions, k)
+
+
+def test_only_the_buckets_of_the_words_are_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    indexed(spark, [(d, f"w{d} w{d % 7} the", None, None) for d in range(50)], path)
+    got = search.search(spark, path, spark.createDataFrame([(1, "w33")], "q int, t string"), "q", "t", 3)
+    assert [(r.found, r["rank"]) for r in got.collect()] == [(33, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "ReadSchema: struct<key:bigint,length:int,often:bigint,term:string>" in plan
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "index")
+    indexed(spark, [], path)
+    assert found(spark, path, [(1, "a")], 3) == {}
+    indexed(spark, [(1, None, None, None)], path + "2")
+    assert found(spark, path + "2", [(1, "a")], 3) == {} and found(spark, path + "2", [], 3) == {}
