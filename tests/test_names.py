@@ -71,3 +71,21 @@ def test_a_factor_too_small_is_no_zero(spark):
     units = spark.createDataFrame([("tiny", 1e-25, "x")], "unit string, factor double, normalized_unit string")
     with pytest.raises(Exception, match="too small"):
         evidence.normalized(spark.createDataFrame([("1", "tiny")], "v string, u string"), "v", "u", units).collect()
+
+
+def joined(plan):
+    """Rows that the joins of a plan made."""
+    name = plan.nodeName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if name.endswith("QueryStage") else None
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name and "semi" not in plan.toString().split("\n")[0].lower() else 0
+    return own + (joined(inner) if inner is not None else sum(joined(plan.children().apply(k)) for k in range(plan.children().size())))
+
+
+def test_serial_numbers_are_looked_at_no_more_often_than_they_are_alike(spark):
+    rows = [(f"Customer#{k:09}",) for k in range(2000)] + [(f"Customer#{k:08}",) for k in range(50)]
+    found = names.similar(spark.createDataFrame(rows, "n string"), "n", 1)
+    got = found.collect()
+    serial = sum(1 for k in range(2000) for p in range(4) for v in range(k // 10**p % 10 + 1, 10) if k + (v - k // 10**p % 10) * 10**p < 2000)
+    assert len(set(got)) == len(got) >= serial
+    assert sorted((r.a, r.b, r.edits) for r in got if len(r.a) == len(r.b) == 18)[:2] == [("Customer#000000000", f"Customer#{v:09}", 1) for v in (1, 2)]
+    assert joined(found._jdf.queryExecution().executedPlan()) == len(got)
