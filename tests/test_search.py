@@ -59,3 +59,22 @@ def test_empty_tables(spark, tmp_path):
     assert found(spark, path, [(1, "a")], 3) == {}
     indexed(spark, [(1, None, None, None)], path + "2")
     assert found(spark, path + "2", [(1, "a")], 3) == {} and found(spark, path + "2", [], 3) == {}
+
+
+def test_more_questions_than_are_broadcast(spark, tmp_path, monkeypatch):
+    rnd, path = random.Random(4), str(tmp_path / "index")
+    docs = [(d, " ".join(["the", *rnd.choices([f"w{k}" for k in range(60)], k=rnd.randint(0, 30))])) for d in range(200)]
+    questions = [(q, " ".join(["the", *rnd.choices([f"w{k}" for k in range(70)], k=5)])) for q in range(8)]
+    indexed(spark, [(d, t, "x", 1) for d, t in docs], path)
+    want = brute(docs, questions, 7)
+    assert found(spark, path, questions, 7) == want
+    monkeypatch.setattr(search, "BROADCAST", 0)
+    assert found(spark, path, questions, 7) == want
+
+
+def test_postings_are_dealt_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+    indexed(spark, [(d, f"w{d} w{d % 7} the the", None, None) for d in range(50)], path)
+    got = search.search(spark, path, spark.createDataFrame([(1, "w33 the"), (2, "the w5")], "q int, t string"), "q", "t", 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 1  # by text, and k rows a question and task
