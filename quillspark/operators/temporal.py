@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillspark.session import cut, with_package
 
-FINE = 2  # an interval is cut into pieces of a quarter to an eighth of its length
+FINE = 0  # an interval is cut into pieces of half to all of its length
 
 
 def in_force(left: DataFrame, right: DataFrame, on: str, at: str, since: str, by: str, take: list[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def in_force(left: DataFrame, right: DataFrame, on: str, at: str, since: str, by
 def within(points: DataFrame, at: str, periods: DataFrame, low: str, high: str, on: list[str]) -> DataFrame:
     """Each pair of a point and a period [low, high) that it lies in, of equal columns ``on``: all columns of both. Times are whole numbers.
 
-    A period is cut into aligned pieces of the power of two that is a quarter to an eighth of its length, nine at most, and a point is looked up once for each
+    A period is cut into aligned pieces of the power of two that is half to all of its length, three at most, as every piece is a row to shuffle, and a point is looked up once for each
     piece length that occurs: an equi-join and a last test. Long periods have lengths of their own, so they don't multiply short ones.
 
     Null times or keys and empty periods match nothing; repeated rows match each.

@@ -82,3 +82,19 @@ def test_long_periods_dont_multiply_short_ones(spark):
     assert looked_up.count() == 3000
     plan = looked_up._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_period_is_three_rows_at_most(spark):
+    rnd = random.Random(5)
+    points = spark.createDataFrame([(1, "a", 50_000)], "p int, k string, at long")
+    periods = spark.createDataFrame([(i, "a", low := rnd.randint(0, 10**5), low + 1000 + i) for i in range(1000)], "q int, k string, low long, high long")
+    found = temporal.within(points, "at", periods, "low", "high", ["k"])
+    found.collect()
+
+    def made(plan):
+        name = plan.nodeName()
+        inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if name.endswith("QueryStage") else None
+        own = plan.metrics().apply("numOutputRows").value() if name == "Generate" else 0
+        return own + (made(inner) if inner is not None else sum(made(plan.children().apply(k)) for k in range(plan.children().size())))
+
+    assert 1000 < made(found._jdf.queryExecution().executedPlan()) <= 3010
